@@ -1,10 +1,12 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import line_dedup
+from . import decontaminate, line_dedup
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
     "op4_line_dedup": line_dedup.op4_line_dedup,
 }
 ORACLES = {
+    "op1_decontaminate": decontaminate.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
 }
