@@ -1,9 +1,10 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import decontaminate, line_dedup
+from . import decontaminate, line_dedup, quality_rules
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_quality_rules": quality_rules.op2_quality_rules,
     "op4_line_dedup": line_dedup.op4_line_dedup,
 }
 ORACLES = {
