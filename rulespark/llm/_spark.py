@@ -3,14 +3,65 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a local one only where no cluster names any."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        at = tempfile.mkdtemp(prefix="checkpoints-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, written to the shared checkpoint folder and cut off from its lineage."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        at = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(at or tempfile.mkdtemp(prefix="checkpoints-"))  # a local folder only where no cluster names one
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
+
+
+class Scratch:
+    """Tables in the shared folder; drop() removes those that no result reads any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.top, self.n = spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}", 0
+
+    def written(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        df.write.parquet(at := f"{self.top}/{self.n}")
+        out = self.spark.read.schema(df.schema).parquet(at)
+        out._at = at
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(t._at)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
+    """(v, least): the least vertex of v's component for each vertex of edges (a, b) but the least ones, by alternating large and small stars."""
+    from pyspark.sql import functions as F
+
+    def state(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    at = scratch.written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    was = None
+    while (now := state(at)) != was:
+        was = now
+        both = at.union(at.select("b", "a"))
+        low = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("m"))
+        large = both.join(low, F.col("a") == F.col("v")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        mid = scratch.written(large)
+        low = mid.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m"))
+        tied = mid.join(low, F.col("a") == F.col("v")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+        new = scratch.written(tied.union(low.select("v", "m")).distinct())
+        scratch.drop(at, mid)
+        at = new
+    return at.select(F.col("a").alias("v"), F.col("b").alias("least"))

@@ -1,13 +1,15 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import decontaminate, line_dedup, quality_rules
+from . import decontaminate, jaccard_join, line_dedup, quality_rules
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op9_jaccard_join": jaccard_join.op9_jaccard_join,
 }
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
+    "op9_jaccard_join": jaccard_join.ORACLE,
 }
