@@ -1,11 +1,13 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import decontaminate, jaccard_join, line_dedup, quality_rules
+from . import decontaminate, jaccard_join, license_scan, line_dedup, quality_rules, secret_scan
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_license_scan": license_scan.op3_license_scan,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op6_secret_scan": secret_scan.op6_secret_scan,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
 }
 ORACLES = {
