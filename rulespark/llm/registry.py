@@ -1,14 +1,16 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import decontaminate, jaccard_join, license_scan, line_dedup, quality_rules, secret_scan
+from . import compression_quality, decontaminate, jaccard_join, license_scan, line_dedup, quality_rules, secret_scan, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_license_scan": license_scan.op3_license_scan,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op5_compression_quality": compression_quality.op5_compression_quality,
     "op6_secret_scan": secret_scan.op6_secret_scan,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
