@@ -13,16 +13,15 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int, most_bytes: int) -> tuple[list[tuple[int, str]], dict[int, int]]:
-    """(label, text) of at most `rows` texts of each class, of at most most_bytes each, by the order of their ids' hashes; and the
-    number of all labelled rows to learn from by class. Null labels and ids are left out; the largest of repeated labels counts."""
+    """(label, text) of at most `rows` labelled ids of each class, the first by their hashes, whose texts have at most most_bytes bytes; and
+    the number of all labelled ids to learn from by class. Null labels and ids are left out; the largest of repeated labels counts."""
     marks = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & learn).groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("y"))
     totals = {r["y"]: r["count"] for r in marks.groupBy("y").count().collect()}
-    short = docs.filter(F.octet_length("text") <= most_bytes).select("doc_id", "text").join(marks, "doc_id")
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text")]
-    out = []
-    for y in (0, 1):
-        out += [(y, r["text"]) for r in short.filter(F.col("y") == y).orderBy(*order).limit(rows).select("text").collect()]
-    return out, totals
+    chosen = [marks.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for y in (0, 1)]
+    ids = F.broadcast(chosen[0].union(chosen[1]))  # 2 * rows at most
+    short = docs.filter(F.octet_length("text") <= most_bytes).select("doc_id", "text")
+    got = [(r["y"], r["text"]) for r in short.join(ids, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("y", "text").collect()]
+    return got, totals
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
