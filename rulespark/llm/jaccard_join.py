@@ -4,13 +4,15 @@ A document's set holds its distinct n-word shingles (all its words as one, if fe
 100 * intersection >= PERCENT * union, so the smaller has at least PERCENT / 100 of the larger's size and their symmetric
 difference is at most d = (100 - PERCENT) / (100 + PERCENT) of the sum of sizes.
 
-Size bands: a scheme serves pairs whose smaller set lies in its band. Its sketch has d + 1 words for the band's largest d;
-each shingle XORs its hash into one word, so two sets differ in at most as many words as shingles: linked sets agree in one word
-at least. Sets enter their own band's scheme, and the band's below if a partner may be there. A second sketch of single bits,
+Size bands: a scheme serves pairs whose smaller set lies in its band. Each shingle XORs its hash into one of the scheme's sketch
+words, so two sets differ in at most as many words as shingles. Words stand in groups of three, more than d / 2 for the band's
+largest d: by the pigeonhole principle linked sets have a group with at most one word that differs, and the join keys are the
+three pairs of words of each group. Sets enter their own band's scheme, and the band's below if a partner may be there.
+A second sketch of single bits,
 each toggled by shingles, gives a Hamming distance that bounds the symmetric difference from below.
 
-Sketch words held by one document only are cut off by an aggregate; of the others every holder meets the least holder (a star, never
-all pairs), which is settled on Hamming distance, then on the sets of the whole texts. Words whose holders are then still
+Keys held by one document only are cut off by an aggregate; of the others every holder meets the least holder (a star, never
+all pairs), which is settled on Hamming distance, then on the sets of the whole texts. Keys whose holders are then still
 in several components are joined across components in full, so no link is lost. Components grow by alternating stars.
 
 Defined cases: null and empty texts have empty sets and link with nothing; a null doc_id links with nothing and has no component; rows
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from math import factorial
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +33,9 @@ from pyspark.sql import functions as F
 from ._spark import Scratch, components
 from ._text import LOWER, SOLID, U64, blocks, gram_hash, list_array, mix, prefix, read, span_hash, spans, to_long
 
-PERCENT, WORDS, BITS = 85, 4, 512
+PERCENT, WORDS, BITS, LIGHT = 85, 4, 2048, 2
 #: Sizes in a band grow by about (100 / PERCENT) ** BAND.
-BAND = 3
+BAND = 2
 
 
 @lru_cache(4)
@@ -62,21 +65,44 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, words: int) -> Iterator[np.
             yield gram_hash(h[a:b], b - a, seed=b - a) if b > a else np.zeros(0, U64)
 
 
-def sketch_words(x: np.ndarray, percent: int) -> np.ndarray:
-    """Join keys: one for each word of each scheme that the set takes part in."""
+@lru_cache(4096)
+def scheme(band: int, percent: int) -> tuple[int, int]:
+    """(groups of sketch words, slack) of a band. Keys that at most LIGHT shingles went into tell little and would be held by all kinds of
+    texts, so a set sends them only if more than `slack` of its groups have one. Linked sets have `slack` + 1 groups at
+    least that agree in a key: in one of them the key is heavy, or both sets have so many light ones that they send them."""
+    edges = bands(percent)
+    least = _most(edges[band + 1] - 1, percent) // 2 + 1
+    groups = least
+    for _ in range(30):
+        m = 2 * edges[band] / (3 * groups)
+        light = min(1.0, 3 * np.exp(-m) * sum(m**i / factorial(i) for i in range(LIGHT + 1)))
+        slack = int(np.ceil(groups * light + 2 * (groups * light) ** 0.5))
+        if least + slack == groups:
+            break
+        groups = least + slack
+        if groups > 1.5 * least:
+            return least, 0
+    return groups, groups - least
+
+
+def sketch_keys(x: np.ndarray, percent: int) -> np.ndarray:
+    """Join keys of each scheme that the set takes part in."""
     edges, n = bands(percent), len(x)
     own = int(np.searchsorted(edges, n, "right")) - 1
     out = []
     for band in (own, own - 1):
         if band < 0 or (band < own and n * percent > 100 * (edges[own] - 1)):
             continue
-        d = _most(edges[band + 1] - 1, percent)
-        if not d:  # equal sets only; see `sketches`
-            d = 0
-        words = np.zeros(d + 1, U64)
+        groups, slack = scheme(band, percent)
+        words = np.zeros(3 * groups, U64)
         salted = mix(x + U64(band * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-        np.bitwise_xor.at(words, (salted % U64(d + 1)).astype(np.int64), mix(salted ^ U64(0x5851F42D4C957F2D)))
-        out.append(mix(words + mix(np.arange(d + 1, dtype=U64) * U64(4096) + U64(band))))
+        at = (salted % U64(3 * groups)).astype(np.int64)
+        np.bitwise_xor.at(words, at, mix(salted ^ U64(0x5851F42D4C957F2D)))
+        words, count = words.reshape(-1, 3), np.bincount(at, minlength=3 * groups).reshape(-1, 3)
+        place = np.arange(groups, dtype=U64) * U64(4) + U64(band << 48)
+        keys = np.stack([mix(words[:, i] + mix(words[:, j] + mix(place + U64(i + j)))) for i, j in ((0, 1), (0, 2), (1, 2))], 1)
+        light = np.stack([count[:, i] + count[:, j] <= LIGHT for i, j in ((0, 1), (0, 2), (1, 2))], 1)
+        out.append(keys.ravel() if light.any(1).sum() > slack else keys[~light])
     return np.concatenate(out)
 
 
@@ -89,7 +115,7 @@ def sketches(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 n, keys, bits = [], [], np.zeros((b - a, BITS // 64), U64)
                 for row, x in enumerate(shingle_sets(data, offs, words)):
                     n.append(len(x))
-                    keys.append(sketch_words(x, percent) if len(x) else x)
+                    keys.append(sketch_keys(x, percent) if len(x) else x)
                     at = mix(x ^ U64(0x2545F4914F6CDD1D))
                     np.bitwise_xor.at(bits[row], (at >> U64(6) & U64(BITS // 64 - 1)).astype(np.int64), U64(1) << (at & U64(63)))
                 flat = pa.array(to_long(np.concatenate(keys) if keys else np.zeros(0, U64)))
@@ -139,19 +165,20 @@ def duplicate_components(docs: DataFrame, words: int = WORDS, percent: int = PER
     scratch = Scratch(spark)
     docs = docs.select("doc_id", "text")
     table = scratch.written(sketches(docs, words, percent))
-    each = table.filter("doc_id IS NOT NULL").select("doc_id", F.explode("keys").alias("key"))
+    each = table.filter("doc_id IS NOT NULL").select("doc_id", "n", F.explode("keys").alias("key"))
     leads = scratch.written(each.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).filter("lead <> last").select(F.col("key").alias("k"), "lead"))
-    held = scratch.written(each.join(leads, F.col("key") == F.col("k")).select("key", "doc_id", "lead"))
+    held = scratch.written(each.join(leads, F.col("key") == F.col("k")).select("key", "doc_id", "n", "lead"))
     stars = held.filter("doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b")).distinct()
     links = scratch.written(linked(stars, docs, table, words, percent))
     parts = components(scratch, links)
-    # What is left: words whose holders aren't yet in one component.
-    named = held.join(parts, F.col("doc_id") == F.col("v"), "left").select("key", "doc_id", "lead", F.coalesce("least", "doc_id").alias("part"))
+    # What is left: keys whose holders aren't yet in one component.
+    named = held.join(parts, F.col("doc_id") == F.col("v"), "left").select("key", "doc_id", "n", "lead", F.coalesce("least", "doc_id").alias("part"))
     split = named.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select(F.col("key").alias("k"))
-    rest = scratch.written(named.join(split, F.col("key") == F.col("k")).select("key", "doc_id", "lead", "part"))
-    other = rest.select(F.col("key").alias("k"), F.col("doc_id").alias("b"), F.col("part").alias("q"))
-    across = rest.join(other, (F.col("key") == F.col("k")) & (F.col("part") < F.col("q")) & (F.col("lead") != F.col("doc_id")) & (F.col("lead") != F.col("b")))
-    more = scratch.written(linked(across.select(F.col("doc_id").alias("a"), "b").distinct(), docs, table, words, percent))
+    rest = scratch.written(named.join(split, F.col("key") == F.col("k")).filter("doc_id <> lead").select("key", "doc_id", "n", "part"))
+    other = rest.select(F.col("key").alias("k"), F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("part").alias("q"))
+    sized = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("part") < F.col("q"))
+    across = rest.join(other, (F.col("key") == F.col("k")) & sized).select(F.col("doc_id").alias("a"), "b").distinct()
+    more = scratch.written(linked(across, docs, table, words, percent))
     if not more.isEmpty():
         parts = components(scratch, links.union(more))
     out = scratch.written(
