@@ -160,11 +160,15 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
     return tokens.mapInArrow(work, ", ".join([*(f"`{c}` {k}" for c, k in tokens.dtypes), "decoded binary"]))
 
 
-def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+def digests(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    out = decode(encode(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+    out = decode(encode(docs, path, public_tokenizers.PATTERN), path)
     return out.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(read(spark, sf_dir, "documents"))
