@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from ._fit import fold, labelled_sample, logistic, sigmoid
 from ._text import ALNUM, LOWER, blocks, prefix, read, span_hash, spans
 
-SAMPLE, SAMPLE_BYTES = 900, 16_384
-BUCKET_BITS, DIM, GRAMS, WINDOW = 16, 8, (3, 4, 5), 8
-ROUNDS, STEPS, RATE, DECAY, TOP = 3, 40, 0.05, 1e-5, 2
+SAMPLE, SAMPLE_BYTES = 700, 16_384
+BUCKET_BITS, DIM, GRAMS, WINDOW = 16, 4, (3, 4, 5), 8
+ROUNDS, STEPS, RATE, DECAY, TOP = 3, 30, 0.05, 1e-5, 2
 THRESHOLD = 0.7
 PLAIN = np.where(ALNUM, np.arange(256), 32).astype(np.uint8)
 
