@@ -21,9 +21,10 @@ def path_value(path: str, variant: Column) -> Column | None:
     return column(parse_path(path), variant)
 
 
-def json_path(df: DataFrame, json_col: str, path: str, out: str = "nodes") -> DataFrame:
-    """df with the nodes of a path, as an array of JSON texts; bad JSON has none. Paths that need no key order stay in Columns."""
-    compiled = columns(parse_path(path), F.col("__v"))
+def json_path(df: DataFrame, json_col: str, path: str, out: str = "nodes", keep_order: bool = False) -> DataFrame:
+    """df with the nodes of a path, as an array of JSON texts; bad JSON has none. Paths stay in Columns where they can; keep_order=True
+    runs them on trees, so that what a filter finds in an object keeps the document's order."""
+    compiled = None if keep_order else columns(parse_path(path), F.col("__v"))
     if compiled is not None:
         parsed = df.withColumn("__v", F.try_parse_json(F.col(json_col)))
         texts = F.coalesce(F.transform(compiled, lambda x: F.to_json(x)), F.array().cast("array<string>"))
