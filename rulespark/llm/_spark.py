@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -65,3 +66,9 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
         scratch.drop(at, mid)
         at = new
     return at.select(F.col("a").alias("v"), F.col("b").alias("least"))
+
+
+def release(spark: SparkSession) -> None:
+    """Lets go of shuffle files of finished jobs: Spark removes them once the driver has collected what refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
