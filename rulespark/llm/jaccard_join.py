@@ -13,7 +13,7 @@ each toggled by shingles, gives a Hamming distance that bounds the symmetric dif
 
 Keys held by one document only are cut off by an aggregate; of the others every holder meets the least holder (a star, never
 all pairs), which is settled on Hamming distance, then on the sets of the whole texts. Keys whose holders are then still
-in several components are joined across components in full, so no link is lost. Components grow by alternating stars.
+in several components are joined across components in full (on sizes and half the bit sketch within the join), so no link is lost. Components grow by alternating stars.
 
 Defined cases: null and empty texts have empty sets and link with nothing; a null doc_id links with nothing and has no component; rows
 that repeat a doc_id are one vertex; other columns are ignored. Shingles are compared by 64-bit hashes.
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import Scratch, components
+from ._spark import Scratch, components, release
 from ._text import LOWER, SOLID, U64, blocks, gram_hash, list_array, mix, prefix, read, span_hash, spans, to_long
 
 PERCENT, WORDS, BITS, LIGHT = 85, 4, 2048, 2
@@ -133,6 +133,11 @@ def _near(a: Column, b: Column, p: Column, q: Column, percent: int) -> Column:
     return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (apart * (100 + percent) <= (100 - percent) * (a + b))
 
 
+def _folded(bits: Column) -> Column:
+    """A sketch of half the bits; its Hamming distance is a lower bound still."""
+    return F.zip_with(F.slice(bits, 1, BITS // 128), F.slice(bits, BITS // 128 + 1, BITS // 128), lambda x, y: x.bitwiseXOR(y))
+
+
 def linked(pairs: DataFrame, docs: DataFrame, table: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets link: first by sketches, then by the whole texts."""
     for side in "ab":
@@ -168,16 +173,21 @@ def duplicate_components(docs: DataFrame, words: int = WORDS, percent: int = PER
     each = table.filter("doc_id IS NOT NULL").select("doc_id", "n", F.explode("keys").alias("key"))
     leads = scratch.written(each.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).filter("lead <> last").select(F.col("key").alias("k"), "lead"))
     held = scratch.written(each.join(leads, F.col("key") == F.col("k")).select("key", "doc_id", "n", "lead"))
+    release(spark)
     stars = held.filter("doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b")).distinct()
     links = scratch.written(linked(stars, docs, table, words, percent))
     parts = components(scratch, links)
+    release(spark)
     # What is left: keys whose holders aren't yet in one component.
     named = held.join(parts, F.col("doc_id") == F.col("v"), "left").select("key", "doc_id", "n", "lead", F.coalesce("least", "doc_id").alias("part"))
     split = named.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select(F.col("key").alias("k"))
-    rest = scratch.written(named.join(split, F.col("key") == F.col("k")).filter("doc_id <> lead").select("key", "doc_id", "n", "part"))
-    other = rest.select(F.col("key").alias("k"), F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("part").alias("q"))
-    sized = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("part") < F.col("q"))
-    across = rest.join(other, (F.col("key") == F.col("k")) & sized).select(F.col("doc_id").alias("a"), "b").distinct()
+    brief = table.select(F.col("doc_id").alias("i"), _folded(F.col("bits")).alias("bits"))
+    left = named.join(split, F.col("key") == F.col("k")).filter("doc_id <> lead").select("key", "doc_id", "n", "part")
+    rest = scratch.written(left.join(brief, F.col("doc_id") == F.col("i")).drop("i"))
+    release(spark)
+    other = rest.select(F.col("key").alias("k"), F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("part").alias("q"), F.col("bits").alias("with"))
+    apart = (F.col("part") < F.col("q")) & _near(F.col("n"), F.col("m"), F.col("bits"), F.col("with"), percent)
+    across = rest.join(other, (F.col("key") == F.col("k")) & apart).select(F.col("doc_id").alias("a"), "b").distinct()
     more = scratch.written(linked(across, docs, table, words, percent))
     if not more.isEmpty():
         parts = components(scratch, links.union(more))

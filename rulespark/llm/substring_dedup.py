@@ -29,7 +29,7 @@ from ._text import U64, blocks, list_array, mix, prefix, read, to_long, _powers
 
 SPAN, K, SHARDS = 50, 16, 4
 #: Bytes of pieces that are sorted at once, in whole keys.
-GROUP = 2 << 20
+GROUP = 1 << 18
 LAST = (1 << 63) - 1
 
 
@@ -103,17 +103,19 @@ def suffix_array(text: np.ndarray, end: np.ndarray) -> np.ndarray:
     """The suffixes of strings laid one after another, sorted up to their string's end (end[i]: where i's string ends), ties by place."""
     n, place = len(text), np.arange(len(text))
     rank, width = text.astype(np.int64) + 1, 1
-    order = np.argsort(rank, kind="stable")
+    for step in (1, 2):  # four symbols at once
+        rank = rank * (1 << 8 * step) + np.where(place + step < end, rank[np.minimum(place + step, n - 1)], 0)
+    width, both = 4, rank
     longest = int((end - place).max(initial=1))
-    while width < longest:
-        after = np.where(place + width < end, rank[np.minimum(place + width, n - 1)], 0)
-        both = rank << 32 | after
-        order = np.argsort(both, kind="stable")
+    while True:
+        order = np.argsort(both)
         s = both[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.concatenate([[1], (s[1:] != s[:-1]).astype(np.int64)]))
+        if width >= longest:
+            return np.argsort(rank * n + place)
+        both = rank << 32 | np.where(place + width < end, rank[np.minimum(place + width, n - 1)], 0)
         width *= 2
-    return order
 
 
 class Shard:
@@ -125,10 +127,10 @@ class Shard:
         text = np.frombuffer(b"".join(bodies), np.uint8)
         piece = np.repeat(np.arange(len(bodies)), self.size)
         sa = suffix_array(text, self.first[1:][piece])
-        lead = np.concatenate([[0], text[:-1].astype(np.int16) + 1])
+        lead = np.concatenate([np.zeros(1, np.uint8), text[:-1] + np.uint8(1)])
         lead[self.first[:-1]] = 0
         # The ends come first, by piece; before an end stands its piece's last symbol.
-        self.symbols = np.concatenate([text[self.first[1:] - 1].astype(np.int16) + 1, lead[sa]]).astype(np.uint16)
+        self.symbols = np.concatenate([text[self.first[1:] - 1] + np.uint8(1), lead[sa]])  # UTF-8 has no byte 255
         self.piece = np.concatenate([np.arange(len(bodies)), piece[sa]])
         self.start = np.concatenate([self.size, sa - self.first[:-1][piece[sa]]])
 
@@ -140,7 +142,9 @@ def merged_groups(shards: list[Shard], rounds: int) -> tuple[np.ndarray, np.ndar
     n = len(symbols)
     origin = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(s.symbols) for s in shards])
     interleave, group = origin, np.zeros(n, np.int32)
-    take = np.arange(n)
+    counts = np.bincount(origin, minlength=len(shards))
+    edges = np.concatenate([[0], np.cumsum(counts)])
+    take = np.arange(n, dtype=np.int32)
     for _ in range(rounds):
         here = symbols[take]
         to = np.argsort(here, kind="stable")
@@ -149,8 +153,8 @@ def merged_groups(shards: list[Shard], rounds: int) -> tuple[np.ndarray, np.ndar
         apart = np.concatenate([[False], (here[1:] != here[:-1]) | (was[1:] != was[:-1]) | (here[1:] == 0)])
         group = np.cumsum(apart, dtype=np.int32)
         # Each shard's suffixes keep their own order, so the interleave alone says which stands where.
-        take = np.empty(n, np.int64)
-        take[np.argsort(interleave, kind="stable")] = np.arange(n)
+        for s in range(len(shards)):
+            take[interleave == s] = np.arange(edges[s], edges[s + 1], dtype=np.int32)
     return take, group
 
 
