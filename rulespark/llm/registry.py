@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import bpe, compression_quality, decontaminate, jaccard_join, license_scan, line_dedup, quality_rules, secret_scan, toxicity
+from . import bpe, compression_quality, decontaminate, jaccard_join, license_scan, line_dedup, quality_rules, secret_scan, substring_dedup, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_compression_quality": compression_quality.op5_compression_quality,
     "op6_secret_scan": secret_scan.op6_secret_scan,
+    "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_bpe": bpe.op8_bpe,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_toxicity": toxicity.op10_toxicity,

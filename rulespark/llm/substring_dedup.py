@@ -103,17 +103,17 @@ def suffix_array(text: np.ndarray, end: np.ndarray) -> np.ndarray:
     """The suffixes of strings laid one after another, sorted up to their string's end (end[i]: where i's string ends), ties by place."""
     n, place = len(text), np.arange(len(text))
     rank, width = text.astype(np.int64) + 1, 1
-    for step in (1, 2):  # four symbols at once
+    for step in (1, 2):  # four symbols at once, then seven
         rank = rank * (1 << 8 * step) + np.where(place + step < end, rank[np.minimum(place + step, n - 1)], 0)
-    width, both = 4, rank
+    width, both = 7, rank << 24 | np.where(place + 4 < end, rank[np.minimum(place + 4, n - 1)], 0) >> 8
     longest = int((end - place).max(initial=1))
     while True:
         order = np.argsort(both)
         s = both[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.concatenate([[1], (s[1:] != s[:-1]).astype(np.int64)]))
-        if width >= longest:
-            return np.argsort(rank * n + place)
+        if width >= longest or rank.max(initial=0) == n:
+            return order if rank.max(initial=0) == n else np.argsort(rank * n + place)
         both = rank << 32 | np.where(place + width < end, rank[np.minimum(place + width, n - 1)], 0)
         width *= 2
 
