@@ -16,7 +16,7 @@ class Obj(list):
 
 MISSING = object()
 INTEGER = re.compile(r"[+-]?[0-9]+\Z")
-NUMBER = re.compile(r"\s*[+-]?(NaN|Infinity|((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?[fFdD]?))\s*\Z")
+NUMBER = re.compile(r"\s*[+-]?(NaN|Infinity|((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?[fFdD]?))\s*\Z", re.A)
 
 
 def parse(text: str):
