@@ -34,7 +34,7 @@ class Scratch:
 
     def written(self, df: DataFrame) -> DataFrame:
         self.n += 1
-        df.write.parquet(at := f"{self.top}/{self.n}")
+        df.write.option("compression", "zstd").parquet(at := f"{self.top}/{self.n}")
         out = self.spark.read.schema(df.schema).parquet(at)
         out._at = at
         return out

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ._spark import Scratch, release
 from ._text import U64, blocks, list_array, mix, prefix, read, to_long, _powers
 
-SPAN, K, SHARDS = 50, 16, 4
+SPAN, K, SHARDS = 50, 24, 4
 #: Bytes of pieces that are sorted at once, in whole keys.
 GROUP = 1 << 18
 LAST = (1 << 63) - 1
@@ -222,15 +222,14 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch) -> DataFrame:
     release(spark)
     cut = scratch.written(pieces(docs.join(shared, F.col("doc") == F.col("d")).select("doc", "th", "text", "shared")))
     release(spark)
-    unique = cut.groupBy("key", "body").agg(F.min("doc").alias("lead"))
-    found = scratch.written(repeats(unique).filter("size(starts) > 0").select("h1", "h2", F.transform("starts", lambda s: F.struct(s.alias("a"), (s + SPAN).alias("b"))).alias("own")))
-    leads = unique.select(F.xxhash64("body").alias("l1"), F.xxhash64("body", F.lit("second")).alias("l2"), "lead")
+    found = scratch.written(repeats(cut.groupBy("key", "body").agg(F.min("doc").alias("lead"))))
+    release(spark)
     # Every start of a piece that a smaller document has whole; of a piece of its least document, those found above.
-    rows = cut.select("doc", "th", "at", F.octet_length("body").alias("size"), *_two_hashes()).join(leads, (F.col("h1") == F.col("l1")) & (F.col("h2") == F.col("l2"))).drop("l1", "l2")
+    mine = found.select(F.col("h1").alias("l1"), F.col("h2").alias("l2"), "lead", F.transform("starts", lambda s: F.struct(s.alias("a"), (s + SPAN).alias("b"))).alias("some"))
+    rows = cut.select("doc", "th", "at", F.octet_length("body").alias("size"), *_two_hashes()).join(mine, (F.col("h1") == F.col("l1")) & (F.col("h2") == F.col("l2")))
     all_of = F.array(F.struct(F.lit(0).alias("a"), F.col("size").alias("b")))
-    later = rows.filter("doc > lead").select("doc", "th", "at", all_of.alias("own"))
-    first = rows.filter("doc = lead").join(found, ["h1", "h2"]).select("doc", "th", "at", "own")
-    ranges = later.union(first).select("doc", "th", F.explode(F.transform("own", lambda r: F.struct((F.col("at") + r["a"]).alias("a"), (F.col("at") + r["b"]).alias("b")))).alias("r"))
+    ranges = rows.withColumn("own", F.when(F.col("doc") > F.col("lead"), all_of).otherwise(F.col("some")))
+    ranges = ranges.select("doc", "th", F.explode(F.transform("own", lambda r: F.struct((F.col("at") + r["a"]).alias("a"), (F.col("at") + r["b"]).alias("b")))).alias("r"))
     out = scratch.written(ranges.groupBy("doc", "th").agg(F.sort_array(F.collect_set("r")).alias("ranges")).withColumnsRenamed({"doc": "d", "th": "h"}))
     scratch.drop(common, shared, cut, found)
     release(spark)
