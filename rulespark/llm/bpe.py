@@ -14,6 +14,7 @@ fails the task. Defined cases: null and empty texts have no tokens; repeated row
 from __future__ import annotations
 
 import base64
+import json
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,16 +22,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark import SparkContext, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._text import blocks, read
 
-CHUNK, FAR = 16 << 20, 4096
-STEP, NONE = 1_000_003, 1 << 30
-#: Two primes; a pair of token numbers stands at its remainder by one of them.
-SIZES = (524_287, 524_269)
+CHUNK, FAR, PLAN_TEXT = 16 << 20, 4096, 1 << 16
+BUCKETS, STEP, NONE = 1 << 16, 50_261, 1 << 30
 
 
 @lru_cache(2)
@@ -40,49 +39,29 @@ def ranks_of(path: str) -> dict[bytes, int]:
 
 
 @lru_cache(2)
-def _tables(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The rank map as a hash table (pairs of numbers, then their ranks), each pair in one of its two places; and the bytes' numbers."""
+def _literals(path: str) -> tuple[str, str, str]:
+    """JSON of the rank map in buckets (pairs of numbers, then their ranks) and of the bytes' numbers."""
     ranks = ranks_of(path)
-    pairs, values = np.full(SIZES[0], -1, np.int64), np.zeros(SIZES[0], np.int32)
+    buckets: list[dict[int, int]] = [{} for _ in range(BUCKETS)]
     for piece, rank in ranks.items():
         for i in range(1, len(piece)):
             a, b = ranks.get(piece[:i]), ranks.get(piece[i:])
-            if a is None or b is None:
-                continue
-            key, value = a * STEP + b, rank
-            at = key % SIZES[0]
-            for _ in range(1000):
-                key, pairs[at], value, values[at] = int(pairs[at]), key, int(values[at]), value
-                if key < 0:
-                    break
-                at = sum(key % s for s in SIZES) - at  # the other place of the one that had to move
-            else:
-                raise ValueError(f"more pairs than the table holds: {path}")
-    return pairs, values, np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-
-
-def _literal(values: np.ndarray) -> Column:
-    """An array literal of primitives; its places share one copy."""
-    from pyspark.sql.classic.column import Column as JvmColumn
-
-    gateway = SparkContext._active_spark_context._gateway
-    wide = values.dtype == np.int64
-    array = gateway.new_array(gateway.jvm.long if wide else gateway.jvm.int, len(values))
-    buffer = gateway.jvm.java.nio.ByteBuffer.wrap(values.astype(values.dtype.newbyteorder(">")).tobytes())
-    (buffer.asLongBuffer() if wide else buffer.asIntBuffer()).get(array)
-    return JvmColumn(gateway.jvm.org.apache.spark.sql.functions.lit(array))
+            if a is not None and b is not None:
+                buckets[(a * STEP + b) % BUCKETS][a * STEP + b] = rank
+    told = lambda x: json.dumps(x, separators=(",", ":"))
+    return told([list(b) for b in buckets]), told([list(b.values()) for b in buckets]), told([ranks[bytes([i])] for i in range(256)])
 
 
 def folded(word: Column, path: str) -> Column:
     """The token numbers of a word: array<int>."""
-    pairs, values, single = map(_literal, _tables(path))
+    keys, values, single = (F.from_json(F.lit(x), kind) for x, kind in zip(_literals(path), ("array<array<bigint>>", "array<array<int>>", "array<int>"), strict=True))
     hexed = F.hex(F.encode(word, "UTF-8"))
     start = F.transform(F.sequence(F.lit(1), F.length(hexed), F.lit(2)), lambda i: F.get(single, F.conv(F.substring(hexed, i, F.lit(2)), 16, 10).cast("int")))
 
     def rank(a: Column, b: Column) -> Column:
         key = a.cast("long") * STEP + b
-        places = [(key % s).cast("int") for s in SIZES]
-        return F.when(F.get(pairs, places[0]) == key, F.get(values, places[0])).when(F.get(pairs, places[1]) == key, F.get(values, places[1])).otherwise(NONE)
+        at = (key % BUCKETS).cast("int")
+        return F.coalesce(F.get(F.get(values, at), F.array_position(F.get(keys, at), key).cast("int") - 1), F.lit(NONE))
 
     def bind(value: Column, body) -> Column:
         return F.element_at(F.transform(F.array(value), body), 1)
@@ -114,7 +93,9 @@ def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[in
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids) for each row; path: a file of ranks in base64."""
-    kind = dict(docs.dtypes)["doc_id"]
+    spark, kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
+    if spark.conf.get("spark.sql.maxPlanStringLength").startswith("214748"):  # the default; plans as text would hold the rank map many times over
+        spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_TEXT))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
