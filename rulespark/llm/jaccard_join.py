@@ -13,7 +13,7 @@ each toggled by shingles, gives a Hamming distance that bounds the symmetric dif
 
 Keys held by one document only are cut off by an aggregate; of the others every holder meets the least holder (a star, never
 all pairs), which is settled on Hamming distance, then on the sets of the whole texts. Keys whose holders are then still
-in several components are joined across components in full (on sizes and half the bit sketch within the join), so no link is lost. Components grow by alternating stars.
+in several components are joined across components in full (on sizes and a quarter of the bit sketch within the join), so no link is lost. Components grow by alternating stars.
 
 Defined cases: null and empty texts have empty sets and link with nothing; a null doc_id links with nothing and has no component; rows
 that repeat a doc_id are one vertex; other columns are ignored. Shingles are compared by 64-bit hashes.
@@ -133,9 +133,12 @@ def _near(a: Column, b: Column, p: Column, q: Column, percent: int) -> Column:
     return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (apart * (100 + percent) <= (100 - percent) * (a + b))
 
 
-def _folded(bits: Column) -> Column:
-    """A sketch of half the bits; its Hamming distance is a lower bound still."""
-    return F.zip_with(F.slice(bits, 1, BITS // 128), F.slice(bits, BITS // 128 + 1, BITS // 128), lambda x, y: x.bitwiseXOR(y))
+def _folded(bits: Column, words: int = BITS // 64, times: int = 2) -> Column:
+    """A sketch of a quarter of the bits; its Hamming distance is a lower bound still."""
+    for _ in range(times):
+        words //= 2
+        bits = F.zip_with(F.slice(bits, 1, words), F.slice(bits, words + 1, words), lambda x, y: x.bitwiseXOR(y))
+    return bits
 
 
 def linked(pairs: DataFrame, docs: DataFrame, table: DataFrame, words: int, percent: int) -> DataFrame:
