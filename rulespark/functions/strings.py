@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def lift(s: Column) -> Column:
@@ -31,7 +32,7 @@ def has_key(s: Column, key: str) -> Column:
     return s.contains("${" + key + "}")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape_unicode(s: pd.Series) -> pd.Series:
     r"""\uXXXX as characters."""
 

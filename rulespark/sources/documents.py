@@ -7,6 +7,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.cursor import RuleError
 from ..functions.jsonvalue import parse
@@ -33,7 +34,7 @@ def checked_json(json: Column) -> Column:
     return F.struct(F.when(~bad, json).alias("json"), F.when(bad, F.concat(F.lit("Invalid JSON string "), F.coalesce(json, F.lit("null")))).alias("error"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def gunzip(data: pd.Series) -> pd.Series:
     """The text of gzipped bytes; null if they aren't."""
 
