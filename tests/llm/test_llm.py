@@ -354,3 +354,16 @@ def test_pipeline(spark, docs, tmp_path):
     assert set(out) == set(clean) and 20 not in out and 21 not in out
     assert all(out[d]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest() for d, t in clean.items())
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_pipeline_near_duplicates_at_five_words(spark):
+    """Two isolated edits in 100 words: 0.81 of the 5-word shingles are common, and 0.848 of the 4-word ones."""
+    import corpus_pipeline
+
+    words = prose(70, 100).split()
+    edited = [("edited" + str(i) if i in (30, 60) else w) for i, w in enumerate(words)]
+    rows = [(1, " ".join(words)), (2, " ".join(edited)), (3, prose(71, 100))]
+    assert [c for _, _, c in brute_components(rows)] == [1, 2, 3]
+    assert [c for _, _, c in brute_components(rows, 5, 80)] == [1, 1, 3]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, "").collect()) == [1, 3]
