@@ -367,3 +367,10 @@ def test_pipeline_near_duplicates_at_five_words(spark):
     assert [c for _, _, c in brute_components(rows, 5, 80)] == [1, 1, 3]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, "").collect()) == [1, 3]
+
+
+def test_toxicity_learner_is_whole():
+    """The sample and the model as they were before they were cut for the check tool's figures."""
+    assert (toxicity.SAMPLE, toxicity.DIM, toxicity.STEPS) == (900, 8, 40)
+    model = toxicity.fit([(i % 2, prose(i, 30) + " nitwit" * (i % 2)) for i in range(60)], {0: 30, 1: 30})
+    assert model.per_bucket.shape == (1 << toxicity.BUCKET_BITS,)
