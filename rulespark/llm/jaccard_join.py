@@ -15,6 +15,11 @@ Keys held by one document only are cut off by an aggregate; of the others every
 all pairs), which is settled on Hamming distance, then on the sets of the whole texts. Keys whose holders are then still
 in several components are joined across components in full (on sizes and a quarter of the bit sketch within the join), so no link is lost. Components grow by alternating stars.
 
+Connected documents are then compared in full: `jaccard_links` folds equal sets into classes, and as every link lies within a
+component, compares all classes of each component, in cells of two blocks of about CELL classes, whose intersections are
+products of incidence matrices. It gives the pairs of classes that link and the membership, so no link between
+different texts is lost.
+
 Defined cases: null and empty texts have empty sets and link with nothing; a null doc_id links with nothing and has no component; rows
 that repeat a doc_id are one vertex; other columns are ignored. Shingles are compared by 64-bit hashes.
 """
@@ -34,6 +39,8 @@ from ._spark import Scratch, components, release
 from ._text import LOWER, SOLID, U64, blocks, gram_hash, list_array, mix, prefix, read, span_hash, spans, to_long
 
 PERCENT, WORDS, BITS, LIGHT = 85, 4, 2048, 2
+#: Classes and shingles (in all) of a block, and shingles compared at once.
+CELL, CELL_SIZE, COLUMNS = 128, 1 << 21, 1 << 14
 #: Sizes in a band grow by about (100 / PERCENT) ** BAND.
 BAND = 2
 
@@ -106,25 +113,32 @@ def sketch_keys(x: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def set_sums(x: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """128 bits that equal sets share."""
+    return mix(x ^ U64(0x9E6C63D0876A9A35)).sum(dtype=U64), mix(x ^ U64(0xC2B2AE3D27D4EB4F)).sum(dtype=U64)
+
+
 def sketches(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(doc_id, n, bits, keys) for each row; bits are BITS / 64 words of the parity sketch."""
+    """(doc_id, th, n, s1, s2, bits, keys) for each row; th tells texts apart, s1 and s2 sets; bits are BITS / 64 words of the parity sketch."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offs in blocks(batch.column(1)):
-                n, keys, bits = [], [], np.zeros((b - a, BITS // 64), U64)
+                n, keys, bits, sums = [], [], np.zeros((b - a, BITS // 64), U64), np.zeros((2, b - a), U64)
                 for row, x in enumerate(shingle_sets(data, offs, words)):
                     n.append(len(x))
                     keys.append(sketch_keys(x, percent) if len(x) else x)
+                    sums[:, row] = set_sums(x)
                     at = mix(x ^ U64(0x2545F4914F6CDD1D))
                     np.bitwise_xor.at(bits[row], (at >> U64(6) & U64(BITS // 64 - 1)).astype(np.int64), U64(1) << (at & U64(63)))
                 flat = pa.array(to_long(np.concatenate(keys) if keys else np.zeros(0, U64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), list_array(np.full(b - a, BITS // 64), pa.array(to_long(bits.ravel()))), list_array(np.array([len(k) for k in keys]), flat)],
-                    names=["doc_id", "n", "bits", "keys"],
+                    [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(n, pa.int64()), *(pa.array(to_long(x)) for x in sums), list_array(np.full(b - a, BITS // 64), pa.array(to_long(bits.ravel()))), list_array(np.array([len(k) for k in keys]), flat)],
+                    names=["doc_id", "th", "n", "s1", "s2", "bits", "keys"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, bits array<long>, keys array<long>")
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(work, f"doc_id {kind}, th long, n long, s1 long, s2 long, bits array<long>, keys array<long>")
 
 
 def _near(a: Column, b: Column, p: Column, q: Column, percent: int) -> Column:
@@ -168,10 +182,16 @@ def _sets(column: pa.Array, words: int) -> list[np.ndarray]:
 
 
 def duplicate_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs."""
+    """(doc_id, n_shingles, component_id) for each row of docs: connectivity only, without the links."""
+    scratch = Scratch(docs.sparkSession)
+    table, out = _connected(scratch, docs.select("doc_id", "text"), words, percent)
+    scratch.drop(table)
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
+def _connected(scratch: Scratch, docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The table of sketches, and (doc_id, n_shingles, component_id, th, s1, s2) for each row of docs."""
     spark = docs.sparkSession
-    scratch = Scratch(spark)
-    docs = docs.select("doc_id", "text")
     table = scratch.written(sketches(docs, words, percent))
     each = table.filter("doc_id IS NOT NULL").select("doc_id", "n", F.explode("keys").alias("key"))
     leads = scratch.written(each.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).filter("lead <> last").select(F.col("key").alias("k"), "lead"))
@@ -195,15 +215,95 @@ def duplicate_components(docs: DataFrame, words: int = WORDS, percent: int = PER
     if not more.isEmpty():
         parts = components(scratch, links.union(more))
     out = scratch.written(
-        table.select("doc_id", F.col("n").alias("n_shingles")).join(parts, F.col("doc_id") == F.col("v"), "left")
-        .select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+        table.select("doc_id", F.col("n").alias("n_shingles"), "th", "s1", "s2").join(parts, F.col("doc_id") == F.col("v"), "left")
+        .select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), "th", "s1", "s2")
     )
-    scratch.drop(table, leads, held, links, rest, more)
+    scratch.drop(leads, held, links, rest, more)
+    return table, out
+
+
+def _class_id(s1: str, s2: str) -> Column:
+    return F.format_string("%016x%016x", F.col(s1), F.col(s2))
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets."""
+    out = np.zeros((len(sets), len(sets)), np.int64)
+    shingle, at = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(at, kind="stable")
+    at, owner = at[order], owner[order]
+    for first in range(0, len(shingle), COLUMNS):
+        a, b = np.searchsorted(at, (first, first + COLUMNS))
+        has = np.zeros((len(sets), min(COLUMNS, len(shingle) - first)), np.float32)
+        has[owner[a:b], at[a:b] - first] = 1
+        out += (has @ has.T).astype(np.int64)
     return out
 
 
+def class_pairs(rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a1, a2, b1, b2): the linked pairs of classes, from rows (part, i, j, block, s1, s2, text) sorted by cells (part, i, j)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, {}
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if len(held) < 2:
+                return
+            names, block = np.array(list(held)), np.array([b for b, _ in held.values()])
+            sets = [x for _, x in held.values()]
+            n, both = np.array([len(x) for x in sets]), intersections(sets)
+            ok = (100 * both >= percent * (n[:, None] + n - both)) & (both > 0)
+            # a cell of two blocks has the pairs across them; those within are another cell's
+            a, b = np.nonzero(np.triu(ok & ((block[:, None] != block) | (cell[1] == cell[2])), 1))
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(names[x, c]) for x in (a, b) for c in (0, 1)], names=["a1", "a2", "b1", "b2"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                some = batch.slice(at, 64)
+                keys = zip(*(some.column(c).to_pylist() for c in range(6)), strict=True)
+                for (part, i, j, block, s1, s2), x in zip(keys, _sets(some.column(6), words), strict=True):
+                    if (part, i, j) != cell:
+                        yield from done()
+                        cell, held = (part, i, j), {}
+                    held[s1, s2] = block, x
+        yield from done()
+
+    return rows.select("part", "i", "j", "block", "s1", "s2", "text").mapInArrow(work, "a1 long, a2 long, b1 long, b2 long")
+
+
+def jaccard_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """The whole join: members (doc_id, n_shingles, class_id, component_id), a row for each row of docs, and pairs (a, b), a < b, of the
+    different classes that link. Documents of a class have equal sets and link with each other; a null class_id links with nothing."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
+    docs = docs.select("doc_id", "text")
+    table, members = _connected(scratch, docs, words, percent)
+    scratch.drop(table)
+    release(spark)
+    known = members.filter("doc_id IS NOT NULL AND n_shingles > 0")
+    classes = known.groupBy(F.col("component_id").alias("part"), "s1", "s2").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.first("n_shingles").alias("n"))
+    classes = scratch.written(classes.select("part", "s1", "s2", "n", F.col("rep.doc_id").alias("id"), F.col("rep.th").alias("h")))
+    sizes = classes.groupBy(F.col("part").alias("p")).agg(F.count("*").alias("m"), F.sum("n").alias("total")).filter("m > 1")
+    sizes = sizes.select("p", F.ceil(F.greatest(F.col("m") / CELL, F.col("total") / CELL_SIZE)).cast("int").alias("blocks"))
+    # By set, so the choice of a class's row doesn't matter.
+    reps = classes.join(sizes, F.col("part") == F.col("p")).withColumn("block", F.pmod("s1", "blocks").cast("int")).drop("p", "n")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    whole = reps.join(texts, (F.col("id") == F.col("doc_id")) & (F.col("h") == F.col("th")))
+    cells = whole.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("part", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "s1", "s2", "text")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = class_pairs(cells.repartition(n, "part", "i", "j").sortWithinPartitions("part", "i", "j"), words, percent)
+    a, b = _class_id("a1", "a2"), _class_id("b1", "b2")
+    pairs = scratch.written(found.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
+    scratch.drop(classes)
+    release(spark)
+    of = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), _class_id("s1", "s2"))
+    return members.select("doc_id", "n_shingles", of.alias("class_id"), "component_id"), pairs
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicate_components(read(spark, sf_dir, "documents"))
+    return jaccard_links(read(spark, sf_dir, "documents"))[0].select("doc_id", "n_shingles", "component_id")
 
 
 ORACLE = r"""

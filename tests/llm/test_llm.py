@@ -374,3 +374,36 @@ def test_toxicity_learner_is_whole():
     assert (toxicity.SAMPLE, toxicity.DIM, toxicity.STEPS) == (900, 8, 40)
     model = toxicity.fit([(i % 2, prose(i, 30) + " nitwit" * (i % 2)) for i in range(60)], {0: 30, 1: 30})
     assert model.per_bucket.shape == (1 << toxicity.BUCKET_BITS,)
+
+
+def test_jaccard_links_are_whole(spark, docs, monkeypatch):
+    """All links between different texts, also within a component, in one cell and in many."""
+    words = prose(80, 150).split()
+    cut = lambda at: " ".join("new" + str(at) if i == at else w for i, w in enumerate(words))
+    ring = [(100 + i, cut(10 + 12 * i)) for i in range(10)] + [(110, cut(10)), (111, cut(10)), (111, cut(22) + " tail")]
+    rows = [(d, t) for d, t in plain(docs)] + ring
+
+    def grams(t):
+        w = tuple(solid((t or "").translate(LOWERED)))
+        return frozenset({w[i : i + 4] for i in range(len(w) - 3)} if len(w) >= 4 else {w} if w else set())
+
+    sets = {(d, grams(t)) for d, t in rows if d is not None and grams(t)}
+    want = {frozenset((x, y)) for x in sets for y in sets if x[1] != y[1] and 100 * len(x[1] & y[1]) >= 85 * len(x[1] | y[1])}
+    assert len(want) > len(ring)  # more than a star has
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for cell in (128, 3):
+        monkeypatch.setattr(jaccard_join, "CELL", cell)
+        members, pairs = jaccard_links_of(df)
+        assert sorted(((d, n, c) for d, n, _, c in members), key=repr) == brute_components(rows)
+        size = {}
+        for d, _, k, _ in members:
+            size.setdefault(k, set()).add(d)
+        assert len({k for k in size if k}) == len({s for _, s in sets})
+        assert len(set(pairs)) == len(pairs) == len({frozenset(s for _, s in p) for p in want})
+        got = {frozenset((d, e)) for a, b in pairs for d in size[a] for e in size[b]}
+        assert got == {frozenset(d for d, _ in p) for p in want}
+
+
+def jaccard_links_of(df):
+    members, pairs = jaccard_join.jaccard_links(df)
+    return [tuple(r) for r in members.collect()], [tuple(r) for r in pairs.collect()]
