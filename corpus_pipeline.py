@@ -30,15 +30,29 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each component of sets of NEAR_WORDS-word shingles at NEAR_PERCENT."""
-    firsts = jaccard_join.duplicate_components(docs, words=NEAR_WORDS, percent=NEAR_PERCENT).filter("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    return docs.join(firsts, docs["doc_id"] == firsts["_first"], "left_semi")
+    """One row of each component of sets of NEAR_WORDS-word shingles at NEAR_PERCENT: the one of the smallest doc_id.
+
+    Rows are compared, not ids: a row without an id comes after all others of its component, and rows that repeat an id are told
+    apart. Rows without words link with nothing and stay, but for those that repeat an id and its text."""
+    rows = Scratch(spark).written(docs.withColumn("_row", F.monotonically_increasing_id()))  # written, so a row keeps its number
+    parts = jaccard_join.duplicate_components(rows.select(F.col("_row").alias("doc_id"), "text"), words=NEAR_WORDS, percent=NEAR_PERCENT)
+    parts = parts.select(F.col("doc_id").alias("_of"), "n_shingles", "component_id")
+    each = rows.select("_row", F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_th"), F.coalesce(F.sha2("text", 256), F.lit("")).alias("_sha")).join(parts, F.col("_row") == F.col("_of"))
+    # The group of a row without words: its id and text, or itself where it has no id.
+    bare = F.col("n_shingles") == 0
+    named = bare & F.col("_id").isNotNull()
+    group = [F.when(~named, F.col("component_id")), F.when(named, F.col("_id")), F.when(named, F.col("_sha"))]
+    order = F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_th"), F.col("_row"))
+    firsts = each.groupBy(*[g.alias(f"_g{i}") for i, g in enumerate(group)]).agg(F.min(order).alias("_first")).select(F.col("_first._row").alias("_kept"))
+    return rows.join(firsts, rows["_row"] == firsts["_kept"], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    hit = decontaminate.contamination(docs, read(spark, sf_dir, "benchmark")).filter("n_hit > 0").select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs["doc_id"] == hit["_hit"], "left_anti")
+    """Documents without a passage of the benchmark; each row is judged by its own text, whatever its id."""
+    rows = Scratch(spark).written(docs.withColumn("_row", F.monotonically_increasing_id()))
+    judged = rows.select(F.col("_row").alias("doc_id"), "text")
+    hit = decontaminate.contamination(judged, read(spark, sf_dir, "benchmark")).filter("n_hit > 0").select(F.col("doc_id").alias("_hit")).distinct()
+    return rows.join(hit, rows["_row"] == hit["_hit"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -407,3 +407,21 @@ def test_jaccard_links_are_whole(spark, docs, monkeypatch):
 def jaccard_links_of(df):
     members, pairs = jaccard_join.jaccard_links(df)
     return [tuple(r) for r in members.collect()], [tuple(r) for r in pairs.collect()]
+
+
+def test_pipeline_null_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    near = prose(90, 100)
+    rows = [
+        (1, near, "a"), (1, near, "b"), (1, prose(91, 100), "c"), (None, near + " tail", "d"), (None, prose(92, 100), "e"), (None, prose(92, 100), "f"),
+        (2, "", "g"), (2, "", "h"), (3, "", "i"), (None, "", "j"), (None, None, "k"), (4, prose(93, 40) + " " + PASSAGE, "l"), (4, prose(94, 40), "m"), (None, prose(95, 40) + " " + PASSAGE, "n"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    spark.createDataFrame([(1, PASSAGE)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.near_duplicates(spark, df, str(tmp_path))
+    assert out.columns == df.columns
+    got = sorted(r["source"] for r in out.collect())
+    assert len(got) == 10 and [len(set(got) & set(s)) for s in ("ab", "d", "ef", "gh")] == [1, 0, 1, 1] and set(got) >= set("cijklmn")
+    clean = corpus_pipeline.decontaminated(spark, df, str(tmp_path))
+    assert clean.columns == df.columns and "".join(sorted(r["source"] for r in clean.collect())) == "abcdefghijkm"
