@@ -1,7 +1,7 @@
 """Line dedup: ranges of line hashes, sorted by document and position, streamed for first occurrences.
 
 Only DataFrame functions. A line's key is the line without ASCII white space at its ends, A-Z lower-cased; keys of
-`min_chars` code points or more stand as two 64-bit hashes, so texts never move for the comparison.
+`min_chars` code points or more stand as two 64-bit hashes (the second with its salt first, as Spark chains columns), so texts never move for the comparison.
 
 Two passes keep a hot line from landing in one task. The first deals (key, salt of the document) out by range, sorted by
 document and position, and streams each group's first document: what isn't first there is dropped for good. The second
@@ -45,7 +45,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     keyed = (
         split.select("doc_id", "th", F.size("lines").alias("n_lines"), F.posexplode("lines").alias("pos", "line"))
         .withColumn("key", _key(F.col("line"))).filter(F.length("key") >= min_chars)
-        .select(F.xxhash64("key").alias("h1"), F.xxhash64("key", F.lit("second")).alias("h2"), "doc_id", "th", "n_lines", "pos", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"))
+        .select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"), "doc_id", "th", "n_lines", "pos", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"))
     )
     order = [F.col("doc_id").asc_nulls_last(), F.col("th"), F.col("pos")]
 

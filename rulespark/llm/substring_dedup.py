@@ -209,7 +209,7 @@ def repeats(unique: DataFrame) -> DataFrame:
 
 
 def _two_hashes():
-    return F.xxhash64("body").alias("h1"), F.xxhash64("body", F.lit("second")).alias("h2")
+    return F.xxhash64("body").alias("h1"), F.xxhash64(F.lit("second"), "body").alias("h2")
 
 
 def repeated_ranges(docs: DataFrame, scratch: Scratch) -> DataFrame:

@@ -425,3 +425,13 @@ def test_pipeline_null_and_repeated_ids(spark, tmp_path):
     assert len(got) == 10 and [len(set(got) & set(s)) for s in ("ab", "d", "ef", "gh")] == [1, 0, 1, 1] and set(got) >= set("cijklmn")
     clean = corpus_pipeline.decontaminated(spark, df, str(tmp_path))
     assert clean.columns == df.columns and "".join(sorted(r["source"] for r in clean.collect())) == "abcdefghijkm"
+
+
+def test_second_hash_is_not_of_the_first(spark):
+    """The second hash of a line and of a piece starts from its salt: chained after the first one, it would be a function of it."""
+    df = spark.createDataFrame([("the key of a line",)], "body string")
+    h1, h2 = df.select(*substring_dedup._two_hashes()).first()
+    first = spark.createDataFrame([(1,)], "x int").select(F.xxhash64(F.lit("second"), F.lit("the key of a line"))).first()[0]
+    assert h1 == df.select(F.xxhash64("body")).first()[0] and h2 == first
+    plan = line_dedup.dropped_lines(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().analyzed().toString()
+    assert re.search(r"xxhash64\(second, key#\d+, 42\) AS h2", plan) and not re.search(r"xxhash64\(key#\d+, second", plan)
