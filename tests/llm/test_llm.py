@@ -435,3 +435,13 @@ def test_second_hash_is_not_of_the_first(spark):
     assert h1 == df.select(F.xxhash64("body")).first()[0] and h2 == first
     plan = line_dedup.dropped_lines(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().analyzed().toString()
     assert re.search(r"xxhash64\(second, key#\d+, 42\) AS h2", plan) and not re.search(r"xxhash64\(key#\d+, second", plan)
+
+
+def test_quality_strata_are_values(spark, monkeypatch):
+    values = [None, "", "\x00", *(f"l{i}" for i in range(300))]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "doc_id long, lang string")
+    assert not quality_rules.many_strata(df)
+    assert quality_rules.with_stratum(df).select("stratum").distinct().count() == len(values)
+    monkeypatch.setattr(quality_rules, "MAX_STRATA", 100)
+    assert quality_rules.many_strata(df)
+    assert quality_rules.with_stratum(df, folded=True).select("stratum").distinct().count() <= 100
