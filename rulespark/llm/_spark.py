@@ -39,6 +39,17 @@ class Scratch:
         out._at = at
         return out
 
+    def bucketed(self, df: DataFrame, key: str) -> DataFrame:
+        """Written in as many buckets of the key as shuffles have partitions, so a join or group by it doesn't move its rows."""
+        self.n += 1
+        name, n = f"bucketed_{uuid.uuid4().hex}", int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.format("parquet").option("compression", "zstd").option("path", at := f"{self.top}/{self.n}").bucketBy(n, key).saveAsTable(name)
+        out = self.spark.table(name)
+        out.schema  # resolved, so the files alone are needed from now on
+        self.spark.sql(f"DROP TABLE {name}")
+        out._at = at
+        return out
+
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(t._at)

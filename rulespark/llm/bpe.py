@@ -1,35 +1,50 @@
 """Byte-level BPE: higher-order functions fold ranked merges over the bytes of distinct words.
 
-Texts are cut into chunks of about CHUNK bytes. Each chunk's distinct words (matches of the split pattern) are gathered by
-word, so that a word is folded once for every FAR chunks, not once for every place. The fold is a Spark expression: a word's bytes
-become token numbers, and `aggregate` merges, again and again, the adjacent pair of the least rank, which it finds in a literal
-map of pairs to ranks (from the rank file, so its size doesn't grow with the texts). The chunk's words and numbers then meet its texts,
-which travel as one compressed row, and every text's numbers are looked up in order. Decoding puts the pieces of the numbers, from
-a literal table, one after another.
-
-Chunks are told apart by partition and order, which a scan of files repeats alike; a word that is missing when texts and words meet
-fails the task. Defined cases: null and empty texts have no tokens; repeated rows each give a row; other columns are ignored.
+Texts are cut into chunks of about CHUNK bytes, each split once into words (matches of the split pattern) and written, in a table
+bucketed by chunk, as its list of distinct words and its texts as places in that list. The lists are gathered by word over all
+partitions, so a word is folded once, however many chunks have it (once for every 2 ** FAR_BITS partitions: that bounds the
+list of the chunks that have a common word). The fold is a Spark expression: a word's bytes become token numbers, and `aggregate` merges, again and
+again, the adjacent pair of the least rank, which it finds in a literal map of pairs to ranks (from the rank file, so its size doesn't
+grow with the texts). Words of more than LONG bytes, for which a fold is too slow, are merged in the same order by a heap. Numbers go back to the chunks as places and numbers, without the words; the texts stay where their buckets are.
+Decoding puts the pieces of the numbers, from a literal table, one after another.
+
+Chunks are numbered once, when they are written; a word that has no numbers when texts and words meet fails the task.
+Defined cases: null and empty texts have no tokens; repeated rows each give a row; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import json
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._spark import Scratch
 from ._text import blocks, read
 
-CHUNK, FAR, PLAN_TEXT = 16 << 20, 4096, 1 << 16
-BUCKETS, STEP, NONE = 1 << 16, 50_261, 1 << 30
+CHUNK, PLAN_TEXT = 16 << 20, 1 << 16
+#: A place in a chunk's list (a chunk has no more words than bytes, but for one text longer than CHUNK: 2 ** 31 at most), chunks in a partition.
+PLACE_BITS, CHUNK_BITS, FAR_BITS = 31, 12, 12
+PLACE = (1 << PLACE_BITS) - 1
+#: Places of words that are packed at once on their way back.
+HELD = 1 << 20
+#: Words that are folded in one row; the fold is quadratic in a word's length, so longer ones than LONG bytes are merged by a heap.
+MANY, LONG = 1 << 15, 1024
+#: Bits of a number and of a rank, so vocabularies have fewer than NONE pieces; a word's place takes what is left.
+ID_BITS, RANK_AT, BUCKET_BITS, STEP = 18, 45, 16, 262_147
+ID = NONE = (1 << ID_BITS) - 1
 
 
 @lru_cache(2)
@@ -39,105 +54,257 @@ def ranks_of(path: str) -> dict[bytes, int]:
 
 
 @lru_cache(2)
-def _literals(path: str) -> tuple[str, str, str]:
-    """JSON of the rank map in buckets (pairs of numbers, then their ranks) and of the bytes' numbers."""
+def _literal(path: str) -> str:
+    """JSON of the rank map: pairs (as low and high part of a number) and their ranks in buckets, and the bytes' numbers."""
     ranks = ranks_of(path)
-    buckets: list[dict[int, int]] = [{} for _ in range(BUCKETS)]
+    if max(ranks.values()) >= NONE:
+        raise ValueError(f"ranks of {NONE} and more don't fit")
+    keys, values = ([[] for _ in range(1 << BUCKET_BITS)] for _ in range(2))
     for piece, rank in ranks.items():
         for i in range(1, len(piece)):
             a, b = ranks.get(piece[:i]), ranks.get(piece[i:])
             if a is not None and b is not None:
-                buckets[(a * STEP + b) % BUCKETS][a * STEP + b] = rank
-    told = lambda x: json.dumps(x, separators=(",", ":"))
-    return told([list(b) for b in buckets]), told([list(b.values()) for b in buckets]), told([ranks[bytes([i])] for i in range(256)])
+                at = (a * STEP + b) & (1 << BUCKET_BITS) - 1
+                keys[at].append((a * STEP + b) >> BUCKET_BITS)
+                values[at].append(rank)
+    return json.dumps({"k": keys, "v": values, "s": [ranks[bytes([i])] for i in range(256)]}, separators=(",", ":"))
 
 
-def folded(word: Column, path: str) -> Column:
-    """The token numbers of a word: array<int>."""
-    keys, values, single = (F.from_json(F.lit(x), kind) for x, kind in zip(_literals(path), ("array<array<bigint>>", "array<array<int>>", "array<int>"), strict=True))
-    hexed = F.hex(F.encode(word, "UTF-8"))
-    start = F.transform(F.sequence(F.lit(1), F.length(hexed), F.lit(2)), lambda i: F.get(single, F.conv(F.substring(hexed, i, F.lit(2)), 16, 10).cast("int")))
+def folded(words: Column, tail: Column, path: str) -> Column:
+    """The token numbers of each of the words (arrays of bytes): array<array<int>>.
 
-    def rank(a: Column, b: Column) -> Column:
-        key = a.cast("long") * STEP + b
-        at = (key % BUCKETS).cast("int")
-        return F.coalesce(F.get(F.get(values, at), F.array_position(F.get(keys, at), key).cast("int") - 1), F.lit(NONE))
+    A word's state is an array of longs, one for each piece: the rank of its pair with the next piece, its place and its number. The least
+    one is the pair of the least rank, the leftmost if there are several. The map is parsed once for an array of words;
+    tail, an empty text, keeps it from being a part of every task as an object."""
+    table = F.from_json(F.concat(F.lit(_literal(path)), tail), "k array<array<int>>, v array<array<int>>, s array<int>")
 
     def bind(value: Column, body) -> Column:
         return F.element_at(F.transform(F.array(value), body), 1)
 
-    def merge(state: Column, _) -> Column:
-        ids, r = state["ids"], state["ranks"]
+    def fold(m: Column, word: Column) -> Column:
+        def rank(a: Column, b: Column) -> Column:
+            def found(key: Column) -> Column:
+                at = key.bitwiseAND((1 << BUCKET_BITS) - 1).cast("int")
+                place = F.array_position(F.get(m["k"], at), F.shiftright(key, BUCKET_BITS).cast("int"))
+                return F.coalesce(F.get(F.get(m["v"], at), place.cast("int") - 1), F.lit(NONE))
 
-        def at(k: Column) -> Column:
-            new = F.element_at(r, k)
-            left = F.when(k > 1, F.concat(F.slice(r, F.lit(1), k - 2), F.array(rank(F.element_at(ids, k - 1), new)))).otherwise(F.slice(r, F.lit(1), F.lit(0)))
-            right = F.when(k < F.size(r), F.concat(F.array(rank(new, F.element_at(ids, k + 2))), F.slice(r, k + 2, F.size(r)))).otherwise(F.slice(r, F.lit(1), F.lit(0)))
-            return F.struct(F.concat(F.slice(ids, F.lit(1), k - 1), F.array(new), F.slice(ids, k + 2, F.size(ids))).alias("ids"), F.concat(left, right).alias("ranks"))
+            return F.shiftleft(bind(a * STEP + b, found).cast("long"), RANK_AT)
 
-        least = F.array_min(r)
-        return F.when(F.coalesce(least, F.lit(NONE)) >= NONE, state).otherwise(bind(F.array_position(r, least).cast("int"), at))
+        def merge(state: Column, _) -> Column:
+            def at(least: Column) -> Column:
+                def cut(k: Column) -> Column:
+                    new, own = F.shiftright(least, RANK_AT), least.bitwiseAND(((1 << RANK_AT) - 1) ^ ID)
+                    after = F.when(k + 1 < F.size(state), rank(new, F.element_at(state, k + 2).bitwiseAND(ID))).otherwise(F.lit(NONE << RANK_AT))
+                    merged = after + own + new
+                    before = bind(F.element_at(state, k - 1), lambda e: rank(e.bitwiseAND(ID), new) + e.bitwiseAND((1 << RANK_AT) - 1))
+                    rest = F.slice(state, k + 2, F.size(state))
+                    return F.when(k > 1, F.concat(F.slice(state, F.lit(1), F.greatest(k - 2, F.lit(0))), F.array(before, merged), rest)).otherwise(F.concat(F.array(merged), rest))
 
-    first = bind(start, lambda s: F.struct(s.alias("ids"), F.zip_with(F.slice(s, F.lit(1), F.size(s) - 1), F.slice(s, F.lit(2), F.size(s)), rank).alias("ranks")))
-    return F.when(F.length(hexed) == 2, start).otherwise(F.aggregate(F.sequence(F.lit(2), (F.length(hexed) / 2).cast("int")), first, merge, lambda s: s["ids"]))
+                return F.when(least >= NONE << RANK_AT, state).otherwise(bind(F.array_position(state, least).cast("int"), cut))
 
+            return bind(F.array_min(state), at)
 
-def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """(number, rows) of pieces of about CHUNK bytes."""
-    n = TaskContext.get().partitionId() << 32
-    for batch in batches:
-        for a, b, _, _ in blocks(batch.column(column), CHUNK):
-            yield n, batch.slice(a, b - a)
-            n += 1
+        first = bind(
+            F.transform(word, lambda b: F.get(m["s"], b.cast("int")).cast("long")),
+            lambda ids: F.transform(ids, lambda x, i: F.when(i + 1 < F.size(ids), rank(x, F.get(ids, i + 1))).otherwise(F.lit(NONE << RANK_AT)) + F.shiftleft(i.cast("long"), ID_BITS) + x),
+        )
+        return F.aggregate(F.slice(word, F.lit(1), F.size(word) - 1), first, merge, lambda s: F.transform(s, lambda x: x.bitwiseAND(ID).cast("int")))
+
+    return bind(table, lambda m: F.transform(words, lambda w: fold(m, w)))
+
+
+def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The token numbers of one very long word, by a heap of pairs."""
+    start, after, before = list(range(len(word))), list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
+    end = [i + 1 for i in start]
+    pair = lambda i: ranks.get(word[i : end[after[i]]]) if after[i] < len(word) else None
+    heap = [(r, i, i + 2) for i in start if (r := pair(i)) is not None]
+    heapq.heapify(heap)
+    gone = bytearray(len(word))
+    while heap:
+        _, i, stop = heapq.heappop(heap)
+        if gone[i] or after[i] >= len(word) or end[after[i]] != stop:
+            continue
+        j = after[i]
+        gone[j], end[i], after[i] = 1, stop, after[j]
+        if after[i] < len(word):
+            before[after[i]] = i
+        for k in (i, before[i]):
+            if k >= 0 and (r := pair(k)) is not None:
+                heapq.heappush(heap, (r, k, end[after[k]]))
+    return [ranks[word[i : end[i]]] for i in start if not gone[i]]
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """int32 values with their lowest bytes first, then the next ones: far smaller when compressed."""
+    return np.ascontiguousarray(x.astype(np.int32).view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _values(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+
+
+def _packed(table: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(blob: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(blob).read_next_batch()
+
+
+def _one(array: pa.Array) -> pa.Array:
+    """A list of one row that holds the array."""
+    return pa.LargeListArray.from_arrays(pa.array([0, len(array)], pa.int64()), array)
+
+
+def chunked(rows: DataFrame, pattern: str) -> DataFrame:
+    """(chunk, words, texts) for each chunk of rows (doc_id, text): its distinct words, and its texts as places in that list."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = regex.compile(pattern)
+        n = TaskContext.get().partitionId() << CHUNK_BITS
+        for batch in batches:
+            for a, b, _, _ in blocks(batch.column(1), CHUNK):
+                places: dict[str, int] = defaultdict(count().__next__)
+                found = []
+                for text in batch.column(1).slice(a, b - a):
+                    found.append(np.fromiter(map(places.__getitem__, split.findall(text.as_py())), np.int32))
+                texts = pa.RecordBatch.from_arrays(
+                    [_one(batch.column(0).slice(a, b - a)), pa.array([_planes(np.array([len(x) for x in found]))]), pa.array([_planes(np.concatenate(found))])], names=["docs", "sizes", "places"]
+                )
+                words = pa.RecordBatch.from_arrays([pa.array(list(places), pa.string())], names=["word"])
+                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([_packed(words)]), pa.array([_packed(texts)])], names=["chunk", "words", "texts"])
+                n += 1
+                if not n & (1 << CHUNK_BITS) - 1:
+                    raise OverflowError("a partition has too many chunks: read it in smaller ones")
+
+    return rows.mapInArrow(work, "chunk long, words binary, texts binary")
+
+
+def distinct_words(chunks: DataFrame) -> DataFrame:
+    """(word, far, at): every different word once for FAR partitions of texts; at: chunk << PLACE_BITS | place, for each chunk that has it."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = _unpacked(blob.as_py()).column(0)
+                at = np.arange(len(words), dtype=np.int64) + (chunk << PLACE_BITS)
+                for i in range(0, len(words), 50_000):
+                    yield pa.RecordBatch.from_arrays([words.slice(i, 50_000), pa.array(at[i : i + 50_000])], names=["word", "at"])
+
+    each = chunks.select("chunk", "words").mapInArrow(work, "word string, at long")
+    return each.groupBy("word", F.shiftright("at", PLACE_BITS + CHUNK_BITS + FAR_BITS).alias("far")).agg(F.collect_list("at").alias("at"))
+
+
+def in_rows(words: DataFrame) -> DataFrame:
+    """(words, long, at, tail): up to MANY of the distinct words in a row, as bytes; those of over LONG bytes in `long`, where others are null."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            word = table.column(0)
+            long = pc.greater(pc.binary_length(word), LONG)
+            short = pc.if_else(long, pa.scalar(b"", pa.binary()), word)
+            offsets = np.frombuffer(short.buffers()[1], np.int32)[short.offset : short.offset + len(short) + 1]
+            data = np.frombuffer(short.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+            bytes_ = pa.ListArray.from_arrays(pa.array(offsets - offsets[0]), pa.array(data.astype(np.int16)))
+            only = pc.if_else(long, word, pa.scalar(None, pa.binary()))
+            whole = [pa.ListArray.from_arrays(pa.array([0, len(word)], pa.int32()), x) for x in (bytes_, only, table.column(1))]
+            return pa.RecordBatch.from_arrays([*whole, pa.array([""])], names=["words", "long", "at", "tail"])
+
+        held, n = [], 0
+        for batch in batches:
+            held, n = [*held, batch], n + batch.num_rows
+            if n >= MANY:
+                yield row(held)
+                held, n = [], 0
+        if n:
+            yield row(held)
+
+    return words.select(F.encode("word", "UTF-8").alias("word"), "at").mapInArrow(work, "words array<array<smallint>>, long array<binary>, at array<array<long>>, tail string")
+
+
+def by_chunk(known: DataFrame, path: str) -> DataFrame:
+    """(chunk, n, blob) from rows (ids, long, at) of many words: numbers of words gathered for the chunks that have them; n words in a blob."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def done() -> pa.RecordBatch:
+            at, size = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+            first = np.cumsum(size) - size
+            ids = np.concatenate([x[2] for x in held])
+            order = np.argsort(at)
+            at, size, first = at[order], size[order], first[order]
+            chunk = at >> PLACE_BITS
+            edge = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]]))
+            blobs = []
+            for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(at)], strict=True):
+                some = size[a:b]
+                take = np.arange(some.sum()) + np.repeat(first[a:b] - (np.cumsum(some) - some), some)
+                blobs.append(pack(_planes(np.diff(at[a:b] & PLACE, prepend=0)) + _planes(some) + _planes(ids[take])))
+            return pa.RecordBatch.from_arrays([pa.array(chunk[edge]), pa.array(np.diff(np.append(edge, len(at)))), pa.array(blobs, pa.binary())], names=["chunk", "n", "blob"])
+
+        pack = zstandard.ZstdCompressor(3).compress
+        for batch in batches:
+            ids, long, at = (batch.column(i).flatten() for i in range(3))
+            if len(long) > long.null_count:
+                ids = pa.array([x if w is None else merged(w, ranks_of(path)) for x, w in zip(ids.to_pylist(), long.to_pylist(), strict=True)], ids.type)
+            sizes, times = (np.diff(np.asarray(x.offsets)) for x in (ids, at))
+            # A word's numbers stand once for each chunk that has it.
+            flat, many = np.asarray(ids.flatten()), np.repeat(sizes, times)
+            start = np.repeat(np.cumsum(sizes) - sizes, times)
+            held.append((np.asarray(at.flatten()), many, flat[np.arange(many.sum()) + np.repeat(start - (np.cumsum(many) - many), many)]))
+            if sum(len(x[0]) for x in held) >= HELD:
+                yield done()
+                held = []
+        if sum(len(x[0]) for x in held):
+            yield done()
+
+    return known.select("ids", "long", "at").mapInArrow(work, "chunk long, n long, blob binary")
+
+
+def _encoded(texts: pa.Table, known: pa.Table) -> tuple[pa.Array, pa.Array]:
+    """Ids of the texts of one chunk, and their token numbers."""
+    open_ = zstandard.ZstdDecompressor().decompress
+    size, parts = np.zeros(0, np.int64), []
+    for n, blob in zip(known.column("n").to_pylist(), known.column("blob"), strict=True):
+        raw = open_(blob.as_py())
+        at, some, ids = np.cumsum(_values(raw[: 4 * n])), _values(raw[4 * n : 8 * n]), _values(raw[8 * n :])
+        parts.append((at, some, ids))
+    if parts:
+        size = np.full(max(int(at.max()) for at, _, _ in parts) + 1, -1, np.int64)
+        for at, some, _ in parts:
+            size[at] = some
+    first, flat, base = np.zeros(len(size), np.int64), np.concatenate([np.zeros(0, np.int32), *(x for _, _, x in parts)]), 0
+    for at, some, ids in parts:
+        first[at], base = base + np.cumsum(some) - some, base + len(ids)
+    row = _unpacked(texts.column("texts")[0].as_py())
+    lengths, places = (_values(row.column(i)[0].as_py()) for i in (1, 2))
+    if len(places) and (int(places.max()) >= len(size) or (size < 0).any()):
+        raise ValueError("a word of the chunk has no numbers")
+    many = size[places]
+    ends = np.concatenate([[0], np.cumsum(many)])
+    values = flat[np.arange(ends[-1]) + np.repeat(first[places] - ends[:-1], many)]
+    offsets = ends[np.concatenate([[0], np.cumsum(lengths)])]
+    return row.column(0).flatten(), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, pa.int32()))
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids) for each row; path: a file of ranks in base64."""
-    spark, kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
+    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     if spark.conf.get("spark.sql.maxPlanStringLength").startswith("214748"):  # the default; plans as text would hold the rank map many times over
         spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_TEXT))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = regex.compile(pattern)
-        for n, batch in _chunks(batches, 1):
-            found: set[str] = set()
-            for text in batch.column(1):
-                found.update(split.findall(text.as_py()))
-            for part in pa.array(sorted(found), pa.string()).to_pandas().groupby(lambda i: i // 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(part[1]), pa.array(np.full(len(part[1]), n))], names=["word", "chunk"])
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for n, batch in _chunks(batches, 1):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_batch(batch)
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([sink.getvalue().to_pybytes()])], names=["chunk", "texts"])
+    chunks = Scratch(spark).bucketed(chunked(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), pattern), "chunk")
+    known = by_chunk(in_rows(distinct_words(chunks)).select(folded(F.col("words"), F.col("tail"), path).alias("ids"), "long", "at"), path)
 
     def joined(texts: pa.Table, known: pa.Table) -> pa.Table:
-        split = regex.compile(pattern)
-        ids = known.column("ids").combine_chunks()
-        flat, offs = np.asarray(ids.values if isinstance(ids, pa.ListArray) else ids.chunk(0).values), np.asarray(ids.offsets)
-        place = {w: i for i, w in enumerate(known.column("word").to_pylist())}
-        out = []
-        for blob in texts.column("texts"):
-            for batch in pa.ipc.open_stream(blob.as_py()):
-                for doc, text in zip(batch.column(0), batch.column(1)):
-                    at = np.fromiter(map(place.__getitem__, split.findall(text.as_py())), np.int64)
-                    size = offs[at + 1] - offs[at]
-                    start = np.repeat(offs[at] - (np.cumsum(size) - size), size)
-                    out.append((doc, pa.array(flat[start + np.arange(len(start))], pa.int32())))
-        values = pa.concat_arrays([x for _, x in out]) if out else pa.array([], pa.int32())
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for _, x in out])]).astype(np.int32)), values)
-        return pa.table({"doc_id": pa.array([d.as_py() for d, _ in out], id_type), "ids": lists})
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    id_type = to_arrow_type(docs.schema["doc_id"].dataType)
-    distinct = rows.mapInArrow(words, "word string, chunk long").groupBy("word", F.floor(F.col("chunk") / FAR).alias("far")).agg(F.collect_list("chunk").alias("chunks"))
-    known = distinct.select("word", folded(F.col("word"), path).alias("ids"), "chunks").select("word", "ids", F.explode("chunks").alias("chunk"))
-    texts = rows.mapInArrow(packed, "chunk long, texts binary")
-    return texts.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(joined, f"doc_id {kind}, ids array<int>")
+        return pa.table(_encoded(texts, known), names=["doc_id", "ids"])
+
+    return chunks.select("chunk", "texts").groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(joined, f"doc_id {kind}, ids array<int>")
 
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:
