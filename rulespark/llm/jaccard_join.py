@@ -12,13 +12,17 @@ A second sketch of single bits,
 each toggled by shingles, gives a Hamming distance that bounds the symmetric difference from below.
 
 Keys held by one document only are cut off by an aggregate; of the others every holder meets the least holder (a star, never
-all pairs), which is settled on Hamming distance, then on the sets of the whole texts. Keys whose holders are then still
-in several components are joined across components in full (on sizes and a quarter of the bit sketch within the join), so no link is lost. Components grow by alternating stars.
+all pairs), which is settled on Hamming distance, then on the sets of the whole texts. Components grow by alternating stars.
 
-Connected documents are then compared in full: `jaccard_links` folds equal sets into classes, and as every link lies within a
-component, compares all classes of each component, in cells of two blocks of about CELL classes, whose intersections are
-products of incidence matrices. It gives the pairs of classes that link and the membership, so no link between
-different texts is lost.
+Keys whose holders are then still in several components: any set C will do to tell the holders' difference, since X ^ Y = (X ^ C) ^ (Y ^ C). With the
+shingles that most holders have as C, the differences are short. Two holders whose differences are together within the bound link
+for certain, so a star around the one that is nearest to C settles them; two others that link share an element of their differences. So the
+elements are the next keys, held by far fewer, and so on (LEVELS rounds; what is left is then compared in cells of blocks, so no link is lost).
+
+Connected documents are compared in full: equal sets fold into classes, and as every link lies within a component, all classes of
+each component are compared by their differences from a common set, in cells of two blocks of about CELL classes, whose intersections are
+products of incidence matrices. Only counts of links come out, or pairs of classes if asked for. Groups of more than SPREAD rows are dealt
+out in parts, each with a copy of what they are held against.
 
 Defined cases: null and empty texts have empty sets and link with nothing; a null doc_id links with nothing and has no component; rows
 that repeat a doc_id are one vertex; other columns are ignored. Shingles are compared by 64-bit hashes.
@@ -32,15 +36,19 @@ from math import factorial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._spark import Scratch, components, release
 from ._text import LOWER, SOLID, U64, blocks, gram_hash, list_array, mix, prefix, read, span_hash, spans, to_long
 
 PERCENT, WORDS, BITS, LIGHT = 85, 4, 2048, 2
-#: Classes and shingles (in all) of a block, and shingles compared at once.
-CELL, CELL_SIZE, COLUMNS = 128, 1 << 21, 1 << 14
+#: Rows of a group that are dealt out together, and texts that make a group's reference set.
+SPREAD, SAMPLE = 1000, 15
+#: Rounds of keys from differences, before what is left is compared in cells.
+LEVELS = 4
+#: Rows and elements (in all) of a block of a cell, and elements compared at once.
+CELL, CELL_SIZE, COLUMNS = 768, 1 << 20, 1 << 13
 #: Sizes in a band grow by about (100 / PERCENT) ** BAND.
 BAND = 2
 
@@ -147,34 +155,102 @@ def _near(a: Column, b: Column, p: Column, q: Column, percent: int) -> Column:
     return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (apart * (100 + percent) <= (100 - percent) * (a + b))
 
 
-def _folded(bits: Column, words: int = BITS // 64, times: int = 2) -> Column:
-    """A sketch of a quarter of the bits; its Hamming distance is a lower bound still."""
-    for _ in range(times):
-        words //= 2
-        bits = F.zip_with(F.slice(bits, 1, words), F.slice(bits, words + 1, words), lambda x, y: x.bitwiseXOR(y))
-    return bits
+def _spread(groups: DataFrame, n: int = SPREAD) -> DataFrame:
+    """groups (g, id, ...) with salts, into how many parts the group is dealt, and salt, the row's part."""
+    hot = groups.groupBy("g").agg(F.count("*").alias("_m")).filter(F.col("_m") > n).select(F.col("g").alias("_g"), F.ceil(F.col("_m") / n).cast("int").alias("_s"))
+    out = groups.join(hot, F.col("g") == F.col("_g"), "left").withColumn("salts", F.coalesce("_s", F.lit(1)))
+    return out.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).drop("_g", "_s")
 
 
-def linked(pairs: DataFrame, docs: DataFrame, table: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link: first by sketches, then by the whole texts."""
-    for side in "ab":
-        mine = table.select(F.col("doc_id").alias(f"{side}_id"), F.col("n").alias(f"{side}_n"), F.col("bits").alias(f"{side}_bits"))
-        pairs = pairs.join(mine, F.col(side) == F.col(f"{side}_id")).drop(f"{side}_id")
-    pairs = pairs.filter(_near(F.col("a_n"), F.col("b_n"), F.col("a_bits"), F.col("b_bits"), percent)).select("a", "b").distinct()
-    for side in "ba":
-        pairs = pairs.join(docs.select(F.col("doc_id").alias(f"{side}_id"), F.col("text").alias(f"{side}_text")), F.col(side) == F.col(f"{side}_id")).drop(f"{side}_id")
+def _leads(rows: DataFrame) -> DataFrame:
+    """(g, salt) once for each part of each group of _spread."""
+    return rows.groupBy("g").agg(F.max("salts").alias("salts")).select("g", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+
+
+def against(rows: DataFrame, refs: DataFrame, keep: list[str], words: int, percent: int, most: int = 0) -> DataFrame:
+    """Rows (g, salt, text, *keep) of _spread groups, each with its set's difference from the group's reference set.
+
+    refs (g, salt, text): the texts that make the reference, for each part of a group. With most = 0 a row is held against each of them and (*keep) comes
+    back if it links with one. Else the reference is the set of the shingles that more than half of refs' texts have, or of the
+    group's own first `most` texts where refs has none; (*keep, n, r, elems) comes back: the size, the difference, and
+    r = (100 + percent) * |elems| - (100 - percent) * n. Two rows of a group whose r add up to at most 0 link, and other rows that link share elems."""
+    out = [(c, dict(rows.dtypes)[c]) for c in keep]
+    named = [F.col(c) for c in ("g", "salt")]
+    flagged = refs.select(*named, F.lit(0).alias("flag"), "text", *[F.lit(None).cast(k).alias(f"k_{c}") for c, k in out])
+    both = flagged.unionByName(rows.select(*named, F.lit(1).alias("flag"), "text", *[F.col(c).alias(f"k_{c}") for c in keep]))
+    names = [c for c, _ in out]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, given, waiting, ref = None, [], [], None
+
+        def told(some: list[tuple[pa.RecordBatch, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            nonlocal ref
+            if not some:
+                return
+            if most == 0:
+                far = lambda x, y: (100 + percent) * (len(x) + len(y) - 2 * (i := len(np.intersect1d(x, y, assume_unique=True)))) > (100 - percent) * (len(x) + len(y)) or i == 0
+                some = [w for w in some if not all(far(w[2], y) for y in given)]
+                extra = []
+            else:
+                if ref is None:
+                    ref = majority(given or [x for _, _, x in some[:most]])
+                elems = [np.setxor1d(x, ref, assume_unique=True) for _, _, x in some]
+                n, d = np.array([len(x) for _, _, x in some]), np.array([len(x) for x in elems])
+                extra = [pa.array(n, pa.int64()), pa.array((100 + percent) * d - (100 - percent) * n, pa.int64()), list_array(d, pa.array(to_long(np.concatenate(elems))))]
+            if some:
+                yield pa.RecordBatch.from_arrays([*pa.Table.from_batches([b.slice(i, 1) for b, i, _ in some]).select([f"k_{c}" for c in names]).combine_chunks().to_batches()[0].columns, *extra], names=[*names, *(["n", "r", "elems"] if most else [])])
+
         for batch in batches:
-            # small slices: a and b come side by side, and a batch's sets are held at once only for one block of each
             for at in range(0, batch.num_rows, 64):
                 rows = batch.slice(at, 64)
-                p, q = (x for x in (_sets(rows.column("a_text"), words), _sets(rows.column("b_text"), words)))
-                ok = [100 * (i := len(np.intersect1d(x, y, assume_unique=True))) >= percent * (len(x) + len(y) - i) and i > 0 for x, y in zip(p, q, strict=True)]
-                yield rows.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+                keys = zip(*(rows.column(i).to_pylist() for i in range(3)), strict=True)
+                for i, ((g, salt, flag), x) in enumerate(zip(keys, _sets(rows.column(3), words), strict=True)):
+                    if (g, salt) != group:
+                        yield from told(waiting)
+                        group, given, waiting, ref = (g, salt), [], [], None
+                    if not len(x):
+                        continue  # empty sets link with nothing
+                    if flag == 0:
+                        given.append(x)
+                    else:
+                        waiting.append((rows, i, x))
+                        if len(waiting) >= max(most, 64):
+                            yield from told(waiting)
+                            waiting = []
+        yield from told(waiting)
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = both.repartition(n, "g", "salt").sortWithinPartitions("g", "salt", "flag")
+    return dealt.mapInArrow(work, ", ".join([*(f"{c} {k}" for c, k in out), *(["n long", "r long", "elems array<long>"] if most else [])]))
+
+
+def majority(sets: list[np.ndarray]) -> np.ndarray:
+    """What more than half of the sets have."""
+    x, n = np.unique(np.concatenate(sets), return_counts=True)
+    return x[2 * n > len(sets)]
 
-    kind = dict(pairs.dtypes)["a"]
-    return pairs.select("a", "b", "a_text", "b_text").mapInArrow(work, f"a {kind}, b {kind}")
+
+def linked(pairs: DataFrame, docs: DataFrame, table: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets link: first by sketches, then by the whole texts. Many a may meet one b, which is then dealt out with copies of b."""
+    brief = lambda side: table.select(F.col("doc_id").alias(f"{side}_id"), F.col("n").alias(f"{side}_n"), F.col("bits").alias(f"{side}_bits"))
+    rows = _spread(pairs.select(F.col("a").alias("id"), F.col("b").alias("g")))
+    some = rows.join(brief("a"), F.col("id") == F.col("a_id")).drop("a_id")
+    leads = _leads(rows).join(brief("b"), F.col("g") == F.col("b_id")).select(F.col("g").alias("b_g"), F.col("salt").alias("b_salt"), "b_n", "b_bits")
+    some = some.join(leads, (F.col("g") == F.col("b_g")) & (F.col("salt") == F.col("b_salt")))
+    some = some.filter(_near(F.col("a_n"), F.col("b_n"), F.col("a_bits"), F.col("b_bits"), percent)).select("g", "id", "salts", "salt").distinct()
+    texts = docs.select(F.col("doc_id").alias("_id"), "text")
+    whole = some.join(texts, F.col("id") == F.col("_id")).select("g", "salt", "text", F.col("id").alias("a"), F.col("g").alias("b"))
+    refs = _leads(some).join(texts, F.col("g") == F.col("_id")).select("g", "salt", "text")
+    return against(whole, refs, ["a", "b"], words, percent).distinct()
+
+
+def differences(groups: DataFrame, texts: DataFrame, on: Column, keep: list[str], words: int, percent: int) -> DataFrame:
+    """(*keep, n, r, elems) for groups (g, id, ...) joined with texts; see `against`. Groups in several parts share a reference of SAMPLE of their texts."""
+    whole = _spread(groups).join(texts, on)
+    first = F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("id"), "id"))
+    some = _spread(groups).filter("salts > 1").withColumn("_n", first).filter(F.col("_n") <= SAMPLE).join(texts, on)
+    refs = some.select("g", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "text")
+    return against(whole, refs, keep, words, percent, SAMPLE)
 
 
 def _sets(column: pa.Array, words: int) -> list[np.ndarray]:
@@ -193,35 +269,57 @@ def _connected(scratch: Scratch, docs: DataFrame, words: int, percent: int) -> t
     """The table of sketches, and (doc_id, n_shingles, component_id, th, s1, s2) for each row of docs."""
     spark = docs.sparkSession
     table = scratch.written(sketches(docs, words, percent))
-    each = table.filter("doc_id IS NOT NULL").select("doc_id", "n", F.explode("keys").alias("key"))
+    each = table.filter("doc_id IS NOT NULL").select("doc_id", F.explode("keys").alias("key"))
     leads = scratch.written(each.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).filter("lead <> last").select(F.col("key").alias("k"), "lead"))
-    held = scratch.written(each.join(leads, F.col("key") == F.col("k")).select("key", "doc_id", "n", "lead"))
+    held = scratch.written(each.join(leads, F.col("key") == F.col("k")).filter("doc_id <> lead").select("key", "doc_id", "lead"))
+    scratch.drop(leads)
     release(spark)
-    stars = held.filter("doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b")).distinct()
+    stars = held.select(F.col("doc_id").alias("a"), F.col("lead").alias("b")).distinct()
     links = scratch.written(linked(stars, docs, table, words, percent))
-    parts = components(scratch, links)
-    release(spark)
-    # What is left: keys whose holders aren't yet in one component.
-    named = held.join(parts, F.col("doc_id") == F.col("v"), "left").select("key", "doc_id", "n", "lead", F.coalesce("least", "doc_id").alias("part"))
-    split = named.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select(F.col("key").alias("k"))
-    brief = table.select(F.col("doc_id").alias("i"), _folded(F.col("bits")).alias("bits"))
-    left = named.join(split, F.col("key") == F.col("k")).filter("doc_id <> lead").select("key", "doc_id", "n", "part")
-    rest = scratch.written(left.join(brief, F.col("doc_id") == F.col("i")).drop("i"))
     release(spark)
-    other = rest.select(F.col("key").alias("k"), F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("part").alias("q"), F.col("bits").alias("with"))
-    apart = (F.col("part") < F.col("q")) & _near(F.col("n"), F.col("m"), F.col("bits"), F.col("with"), percent)
-    across = rest.join(other, (F.col("key") == F.col("k")) & apart).select(F.col("doc_id").alias("a"), "b").distinct()
-    more = scratch.written(linked(across, docs, table, words, percent))
-    if not more.isEmpty():
-        parts = components(scratch, links.union(more))
+    parts = components(scratch, links)
+    for level in range(LEVELS + 1):
+        release(spark)
+        groups = scratch.written(_unsettled(held, parts))
+        scratch.drop(held)
+        if groups.isEmpty():
+            break
+        texts = docs.select(F.col("doc_id").alias("_id"), "text")
+        far = scratch.written(differences(groups, texts, F.col("id") == F.col("_id"), ["g", "id", "part"], words, percent))
+        if level == LEVELS:
+            more = scratch.written(_cells(far.withColumns({"s1": F.xxhash64("id"), "w": F.lit(1)}), percent, "id"))
+        else:
+            more, held = _by_elements(scratch, far, docs, table, words, percent)
+        old, links = links, scratch.written(links.union(more.select("a", "b")))
+        scratch.drop(old, groups, far)
+        parts = components(scratch, links)
     out = scratch.written(
         table.select("doc_id", F.col("n").alias("n_shingles"), "th", "s1", "s2").join(parts, F.col("doc_id") == F.col("v"), "left")
         .select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), "th", "s1", "s2")
     )
-    scratch.drop(leads, held, links, rest, more)
+    scratch.drop(links)
     return table, out
 
 
+def _unsettled(held: DataFrame, parts: DataFrame) -> DataFrame:
+    """(g, id, part): the holders of keys that are in several components, grouped by the least holder, which has met them all already and isn't among them."""
+    named = held.join(parts, F.col("doc_id") == F.col("v"), "left").select("key", F.col("lead").alias("g"), F.col("doc_id").alias("id"), F.coalesce("least", "doc_id").alias("part"))
+    split = named.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select(F.col("key").alias("k"))
+    return named.join(split, F.col("key") == F.col("k"), "left_semi").select("g", "id", "part").distinct()
+
+
+def _by_elements(scratch: Scratch, far: DataFrame, docs: DataFrame, table: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links of the groups by their differences, and the next keys (key, doc_id, lead): holders of one element, grouped as before by the least."""
+    center = far.groupBy("g").agg(F.min(F.struct("r", "id")).alias("c")).select(F.col("g").alias("of"), F.col("c.r").alias("c_r"), F.col("c.id").alias("b"))
+    sure = far.join(center, F.col("g") == F.col("of")).filter((F.col("r") + F.col("c_r") <= 0) & (F.col("id") != F.col("b"))).select(F.col("id").alias("a"), "b")
+    each = far.select("id", "part", F.explode("elems").alias("elem"), "g").select(F.xxhash64("g", "elem").alias("key"), "id", "part")
+    firsts = each.groupBy("key").agg(F.min(F.struct("id", "part")).alias("first"), F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q")
+    firsts = firsts.select(F.col("key").alias("k"), F.col("first.id").alias("lead"), F.col("first.part").alias("lead_part"))
+    held = scratch.written(each.join(firsts, F.col("key") == F.col("k")).filter("id <> lead").select("key", F.col("id").alias("doc_id"), "lead", (F.col("part") != F.col("lead_part")).alias("new")))
+    stars = held.filter("new").select(F.col("doc_id").alias("a"), F.col("lead").alias("b")).distinct()
+    return scratch.written(sure.union(linked(stars, docs, table, words, percent))), held
+
+
 def _class_id(s1: str, s2: str) -> Column:
     return F.format_string("%016x%016x", F.col(s1), F.col(s2))
 
@@ -229,81 +327,116 @@ def _class_id(s1: str, s2: str) -> Column:
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of all pairs of sets."""
     out = np.zeros((len(sets), len(sets)), np.int64)
-    shingle, at = np.unique(np.concatenate(sets), return_inverse=True)
+    elem, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    shared = (times > 1)[at]  # what one set alone has is in no intersection but its own
+    out[np.arange(len(sets)), np.arange(len(sets))] = [len(x) for x in sets]
+    some, at = np.unique(at[shared], return_inverse=True)
+    owner = owner[shared]
     order = np.argsort(at, kind="stable")
     at, owner = at[order], owner[order]
-    for first in range(0, len(shingle), COLUMNS):
+    for first in range(0, len(some), COLUMNS):
         a, b = np.searchsorted(at, (first, first + COLUMNS))
-        has = np.zeros((len(sets), min(COLUMNS, len(shingle) - first)), np.float32)
+        has = np.zeros((len(sets), min(COLUMNS, len(some) - first)), np.float32)
         has[owner[a:b], at[a:b] - first] = 1
-        out += (has @ has.T).astype(np.int64)
+        both = (has @ has.T).astype(np.int64)
+        np.fill_diagonal(both, 0)
+        out += both
     return out
 
 
-def class_pairs(rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a1, a2, b1, b2): the linked pairs of classes, from rows (part, i, j, block, s1, s2, text) sorted by cells (part, i, j)."""
+def _cells(far: DataFrame, percent: int, name: str | None = None) -> DataFrame:
+    """The links within the groups of rows (g, s1, w, n, elems), told by their differences, in cells of two blocks of about CELL rows: the pairs (a, b)
+    of the column `name`, or if there is none (g, s1, s2, links), the sums of the partners' w in each cell that has some."""
+    sizes = far.groupBy(F.col("g").alias("p")).agg(F.count("*").alias("m"), F.sum(F.size("elems") + 1).alias("total")).filter("m > 1")
+    sizes = sizes.select("p", F.ceil(F.greatest(F.col("m") / CELL, F.col("total") / CELL_SIZE)).cast("int").alias("blocks"))
+    rows = far.join(sizes, F.col("g") == F.col("p")).withColumn("block", F.pmod(F.xxhash64("s1"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    own = [name] if name else ["s1", "s2"]
+    rows = rows.select("g", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "n", "w", "elems", *own)
+    kinds = dict(rows.dtypes)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, held = None, {}
+        cell, held = None, []
 
         def done() -> Iterator[pa.RecordBatch]:
             if len(held) < 2:
                 return
-            names, block = np.array(list(held)), np.array([b for b, _ in held.values()])
-            sets = [x for _, x in held.values()]
-            n, both = np.array([len(x) for x in sets]), intersections(sets)
-            ok = (100 * both >= percent * (n[:, None] + n - both)) & (both > 0)
+            block, n, w = (np.array([h[k] for h in held]) for k in range(3))
+            sets = [h[3] for h in held]
+            d, both = np.array([len(x) for x in sets]), intersections(sets)
+            ok = (100 + percent) * (d[:, None] + d - 2 * both) <= (100 - percent) * (n[:, None] + n)
             # a cell of two blocks has the pairs across them; those within are another cell's
-            a, b = np.nonzero(np.triu(ok & ((block[:, None] != block) | (cell[1] == cell[2])), 1))
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(names[x, c]) for x in (a, b) for c in (0, 1)], names=["a1", "a2", "b1", "b2"])
+            ok &= ~np.eye(len(held), dtype=bool) & ((block[:, None] != block) | (cell[1] == cell[2]))
+            tags = pa.Table.from_batches([h[4] for h in held]).combine_chunks().to_batches()[0]
+            if name:
+                a, b = (pa.array(x) for x in np.nonzero(np.triu(ok, 1)))
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([tags.column(name).take(a), tags.column(name).take(b)], names=["a", "b"])
+            else:
+                sums = ok.astype(np.float64) @ w
+                some = pa.array(sums > 0)
+                yield pa.RecordBatch.from_arrays([*(tags.column(c).filter(some) for c in ("g", *own)), pa.array(sums[sums > 0].astype(np.int64))], names=["g", *own, "links"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                some = batch.slice(at, 64)
-                keys = zip(*(some.column(c).to_pylist() for c in range(6)), strict=True)
-                for (part, i, j, block, s1, s2), x in zip(keys, _sets(some.column(6), words), strict=True):
-                    if (part, i, j) != cell:
-                        yield from done()
-                        cell, held = (part, i, j), {}
-                    held[s1, s2] = block, x
+            keys = zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True)
+            flat, ends = np.asarray(batch.column(6).flatten()).view(U64), np.asarray(batch.column(6).offsets)
+            ends = ends - ends[0]
+            for row, (g, i, j, block, n, w) in enumerate(keys):
+                if (g, i, j) != cell:
+                    yield from done()
+                    cell, held = (g, i, j), []
+                held.append((block, n, w, flat[ends[row] : ends[row + 1]].copy(), batch.slice(row, 1)))
         yield from done()
 
-    return rows.select("part", "i", "j", "block", "s1", "s2", "text").mapInArrow(work, "a1 long, a2 long, b1 long, b2 long")
+    n = int(far.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    what = f"a {kinds[name]}, b {kinds[name]}" if name else f"g {kinds['g']}, s1 long, s2 long, links long"
+    return rows.repartition(n, "g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(work, what)
 
 
-def jaccard_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """The whole join: members (doc_id, n_shingles, class_id, component_id), a row for each row of docs, and pairs (a, b), a < b, of the
-    different classes that link. Documents of a class have equal sets and link with each other; a null class_id links with nothing."""
+def _classes(scratch: Scratch, docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """members; the classes (g, s1, s2, w) of equal sets in their components, w: how many ids they have; and the
+    differences (g, s1, s2, w, n, r, elems) of those in components of several classes."""
     spark = docs.sparkSession
-    scratch = Scratch(spark)
-    docs = docs.select("doc_id", "text")
     table, members = _connected(scratch, docs, words, percent)
     scratch.drop(table)
     release(spark)
     known = members.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = known.groupBy(F.col("component_id").alias("part"), "s1", "s2").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.first("n_shingles").alias("n"))
-    classes = scratch.written(classes.select("part", "s1", "s2", "n", F.col("rep.doc_id").alias("id"), F.col("rep.th").alias("h")))
-    sizes = classes.groupBy(F.col("part").alias("p")).agg(F.count("*").alias("m"), F.sum("n").alias("total")).filter("m > 1")
-    sizes = sizes.select("p", F.ceil(F.greatest(F.col("m") / CELL, F.col("total") / CELL_SIZE)).cast("int").alias("blocks"))
-    # By set, so the choice of a class's row doesn't matter.
-    reps = classes.join(sizes, F.col("part") == F.col("p")).withColumn("block", F.pmod("s1", "blocks").cast("int")).drop("p", "n")
+    classes = known.groupBy(F.col("component_id").alias("g"), "s1", "s2").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.count_distinct("doc_id").alias("w"))
+    classes = scratch.written(classes.select("g", "s1", "s2", "w", F.col("rep.doc_id").alias("id"), F.col("rep.th").alias("h")))
+    several = classes.groupBy(F.col("g").alias("of")).count().filter("count > 1")
     texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    whole = reps.join(texts, (F.col("id") == F.col("doc_id")) & (F.col("h") == F.col("th")))
-    cells = whole.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("part", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "s1", "s2", "text")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = class_pairs(cells.repartition(n, "part", "i", "j").sortWithinPartitions("part", "i", "j"), words, percent)
-    a, b = _class_id("a1", "a2"), _class_id("b1", "b2")
-    pairs = scratch.written(found.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
-    scratch.drop(classes)
-    release(spark)
-    of = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), _class_id("s1", "s2"))
-    return members.select("doc_id", "n_shingles", of.alias("class_id"), "component_id"), pairs
+    on = (F.col("id") == F.col("doc_id")) & (F.col("h") == F.col("th"))
+    # A row that stands more than once has one set.
+    far = differences(classes.join(several, F.col("g") == F.col("of"), "left_semi"), texts, on, ["g", "s1", "s2", "w"], words, percent)
+    return members, classes, scratch.written(far.dropDuplicates(["g", "s1", "s2"]))
+
+
+def jaccard_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The whole join: (doc_id, n_shingles, class_id, component_id, n_links) for each row of docs. Documents of a class have equal sets and link with each other;
+    n_links counts all other documents that link with the row's, in its class and in others. A null class_id links with nothing."""
+    scratch = Scratch(docs.sparkSession)
+    docs = docs.select("doc_id", "text")
+    members, classes, far = _classes(scratch, docs, words, percent)
+    others = _cells(far, percent).groupBy("g", "s1", "s2").agg(F.sum("links").alias("more")).withColumnsRenamed({"g": "o_g", "s1": "o1", "s2": "o2"})
+    counted = classes.join(others, (F.col("g") == F.col("o_g")) & (F.col("s1") == F.col("o1")) & (F.col("s2") == F.col("o2")), "left")
+    # Only sets that link with something: the rest counts 0.
+    counted = counted.select(F.col("g").alias("c_g"), F.col("s1").alias("c1"), F.col("s2").alias("c2"), (F.col("w") - 1 + F.coalesce("more", F.lit(0))).alias("links")).filter("links > 0")
+    known = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    out = members.join(counted, (F.col("component_id") == F.col("c_g")) & (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")), "left")
+    return out.select("doc_id", "n_shingles", F.when(known, _class_id("s1", "s2")).alias("class_id"), "component_id", F.coalesce(F.when(known, F.col("links")), F.lit(0)).cast("long").alias("n_links"))
+
+
+def jaccard_pairs(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(a, b), a < b: the pairs of different classes (see jaccard_links) that link."""
+    scratch = Scratch(docs.sparkSession)
+    _, _, far = _classes(scratch, docs.select("doc_id", "text"), words, percent)
+    found = _cells(far.withColumn("class_id", _class_id("s1", "s2")), percent, "class_id")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_links(read(spark, sf_dir, "documents"))[0].select("doc_id", "n_shingles", "component_id")
+    return jaccard_links(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 ORACLE = r"""
@@ -313,5 +446,6 @@ n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
 p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM g x JOIN g y USING (g) WHERE x.doc_id <> y.doc_id GROUP BY ALL),
 l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
 r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.b) AS component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN r ON r.a = d.doc_id GROUP BY ALL
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.b) AS component_id, coalesce(any_value(k.n), 0) AS n_links FROM documents d
+LEFT JOIN n USING (doc_id) JOIN r ON r.a = d.doc_id LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) k ON k.a = d.doc_id GROUP BY d.doc_id, n.n
 """

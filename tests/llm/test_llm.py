@@ -390,13 +390,16 @@ def test_jaccard_links_are_whole(spark, docs, monkeypatch):
     sets = {(d, grams(t)) for d, t in rows if d is not None and grams(t)}
     want = {frozenset((x, y)) for x in sets for y in sets if x[1] != y[1] and 100 * len(x[1] & y[1]) >= 85 * len(x[1] | y[1])}
     assert len(want) > len(ring)  # more than a star has
+    n_links = lambda v: sum(w != v and (w[1] == v[1] or frozenset((v, w)) in want) for w in sets)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for cell in (128, 3):
         monkeypatch.setattr(jaccard_join, "CELL", cell)
-        members, pairs = jaccard_links_of(df)
-        assert sorted(((d, n, c) for d, n, _, c in members), key=repr) == brute_components(rows)
+        members = [tuple(r) for r in jaccard_join.jaccard_links(df).collect()]
+        pairs = [tuple(r) for r in jaccard_join.jaccard_pairs(df).collect()]
+        assert sorted(((d, n, c) for d, n, _, c, _ in members), key=repr) == brute_components(rows)
+        assert Counter((d, n) for d, _, _, _, n in members) == Counter((d, 0 if d is None else n_links((d, grams(t)))) for d, t in rows)
         size = {}
-        for d, _, k, _ in members:
+        for d, _, k, _, _ in members:
             size.setdefault(k, set()).add(d)
         assert len({k for k in size if k}) == len({s for _, s in sets})
         assert len(set(pairs)) == len(pairs) == len({frozenset(s for _, s in p) for p in want})
@@ -404,9 +407,26 @@ def test_jaccard_links_are_whole(spark, docs, monkeypatch):
         assert got == {frozenset(d for d, _ in p) for p in want}
 
 
-def jaccard_links_of(df):
-    members, pairs = jaccard_join.jaccard_links(df)
-    return [tuple(r) for r in members.collect()], [tuple(r) for r in pairs.collect()]
+@pytest.mark.parametrize("levels", [0, 4])
+def test_jaccard_large_group_below_the_threshold(spark, monkeypatch, levels):
+    """Copies of one text that differ too much from each other, in which some pairs link and some form nested groups; also dealt out in parts."""
+    monkeypatch.setattr(jaccard_join, "LEVELS", levels)
+    monkeypatch.setattr(jaccard_join, "SPREAD", 20)
+    monkeypatch.setattr(jaccard_join, "SAMPLE", 7)
+    rng, words, rows = np.random.default_rng(8), prose(81, 200).split(), []
+    edits = lambda base, n, tag: " ".join(f"e{tag}x{i}" if i in set(rng.choice(len(base), n, replace=False)) else w for i, w in enumerate(base))
+    for i in range(60):
+        rows.append((len(rows), edits(words, 4, i)))
+    for g in range(4):
+        inner = edits(words, 5, f"g{g}").split()
+        for i in range(8):
+            rows.append((len(rows), edits(inner, 1 + i % 3, f"{g}y{i}")))
+    rng.shuffle(rows)
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    want = brute_components(rows)
+    assert len({c for _, _, c in want}) > 20
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert rows_of(jaccard_join.duplicate_components(df)) == want
 
 
 def test_pipeline_null_and_repeated_ids(spark, tmp_path):
