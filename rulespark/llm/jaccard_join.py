@@ -14,14 +14,13 @@ each toggled by shingles, gives a Hamming distance that bounds the symmetric dif
 Keys held by one document only are cut off by an aggregate; of the others every holder meets the least holder (a star, never
 all pairs), which is settled on Hamming distance, then on the sets of the whole texts. Components grow by alternating stars.
 
-Keys whose holders are then still in several components: any set C will do to tell the holders' difference, since X ^ Y = (X ^ C) ^ (Y ^ C). With the
-shingles that most holders have as C, the differences are short. Two holders whose differences are together within the bound link
-for certain, so a star around the one that is nearest to C settles them; two others that link share an element of their differences. So the
-elements are the next keys, held by far fewer, and so on (LEVELS rounds; what is left is then compared in cells of blocks, so no link is lost).
+Keys whose holders are then still in several components: the holders are grouped by the lead that they have met, and the sketches of a group compared across
+components, in cells of two blocks of about NEAR_CELL rows, in one vectorised pass each. Pairs within the bound are verified on the whole texts, in two rounds:
+first stars that cover them, then whatever is still in different components. No link is lost, and no pair comes out that the sketch rules out.
 
 Connected documents are compared in full: equal sets fold into classes, and as every link lies within a component, all classes of
-each component are compared by their differences from a common set, in cells of two blocks of about CELL classes, whose intersections are
-products of incidence matrices. Only counts of links come out, or pairs of classes if asked for. Groups of more than SPREAD rows are dealt
+each component are compared by their differences from a common set C (X ^ Y = (X ^ C) ^ (Y ^ C); with the shingles that most have as C they are
+short), in cells of two blocks of about CELL classes, whose intersections are products of incidence matrices. Only counts of links come out, or pairs of classes if asked for. Groups of more than SPREAD rows are dealt
 out in parts, each with a copy of what they are held against.
 
 Defined cases: null and empty texts have empty sets and link with nothing; a null doc_id links with nothing and has no component; rows
@@ -36,6 +35,7 @@ from math import factorial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,10 +45,8 @@ from ._text import LOWER, SOLID, U64, blocks, gram_hash, list_array, mix, prefix
 PERCENT, WORDS, BITS, LIGHT = 85, 4, 2048, 2
 #: Rows of a group that are dealt out together, and texts that make a group's reference set.
 SPREAD, SAMPLE = 1000, 15
-#: Rounds of keys from differences, before what is left is compared in cells.
-LEVELS = 4
-#: Rows and elements (in all) of a block of a cell, and elements compared at once.
-CELL, CELL_SIZE, COLUMNS = 768, 1 << 20, 1 << 13
+#: Rows of a block of sketches; rows and elements (in all) of a block of differences, and elements compared at once.
+NEAR_CELL, CELL, CELL_SIZE, COLUMNS = 1024, 768, 1 << 20, 1 << 13
 #: Sizes in a band grow by about (100 / PERCENT) ** BAND.
 BAND = 2
 
@@ -172,8 +170,7 @@ def against(rows: DataFrame, refs: DataFrame, keep: list[str], words: int, perce
 
     refs (g, salt, text): the texts that make the reference, for each part of a group. With most = 0 a row is held against each of them and (*keep) comes
     back if it links with one. Else the reference is the set of the shingles that more than half of refs' texts have, or of the
-    group's own first `most` texts where refs has none; (*keep, n, r, elems) comes back: the size, the difference, and
-    r = (100 + percent) * |elems| - (100 - percent) * n. Two rows of a group whose r add up to at most 0 link, and other rows that link share elems."""
+    group's own first `most` texts where refs has none; (*keep, n, elems) comes back: the size and the difference."""
     out = [(c, dict(rows.dtypes)[c]) for c in keep]
     named = [F.col(c) for c in ("g", "salt")]
     flagged = refs.select(*named, F.lit(0).alias("flag"), "text", *[F.lit(None).cast(k).alias(f"k_{c}") for c, k in out])
@@ -195,10 +192,9 @@ def against(rows: DataFrame, refs: DataFrame, keep: list[str], words: int, perce
                 if ref is None:
                     ref = majority(given or [x for _, _, x in some[:most]])
                 elems = [np.setxor1d(x, ref, assume_unique=True) for _, _, x in some]
-                n, d = np.array([len(x) for _, _, x in some]), np.array([len(x) for x in elems])
-                extra = [pa.array(n, pa.int64()), pa.array((100 + percent) * d - (100 - percent) * n, pa.int64()), list_array(d, pa.array(to_long(np.concatenate(elems))))]
+                extra = [pa.array([len(x) for _, _, x in some], pa.int64()), list_array(np.array([len(x) for x in elems]), pa.array(to_long(np.concatenate(elems))))]
             if some:
-                yield pa.RecordBatch.from_arrays([*pa.Table.from_batches([b.slice(i, 1) for b, i, _ in some]).select([f"k_{c}" for c in names]).combine_chunks().to_batches()[0].columns, *extra], names=[*names, *(["n", "r", "elems"] if most else [])])
+                yield pa.RecordBatch.from_arrays([*pa.Table.from_batches([b.slice(i, 1) for b, i, _ in some]).select([f"k_{c}" for c in names]).combine_chunks().to_batches()[0].columns, *extra], names=[*names, *(["n", "elems"] if most else [])])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
@@ -221,7 +217,7 @@ def against(rows: DataFrame, refs: DataFrame, keep: list[str], words: int, perce
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = both.repartition(n, "g", "salt").sortWithinPartitions("g", "salt", "flag")
-    return dealt.mapInArrow(work, ", ".join([*(f"{c} {k}" for c, k in out), *(["n long", "r long", "elems array<long>"] if most else [])]))
+    return dealt.mapInArrow(work, ", ".join([*(f"{c} {k}" for c, k in out), *(["n long", "elems array<long>"] if most else [])]))
 
 
 def majority(sets: list[np.ndarray]) -> np.ndarray:
@@ -230,14 +226,14 @@ def majority(sets: list[np.ndarray]) -> np.ndarray:
     return x[2 * n > len(sets)]
 
 
-def linked(pairs: DataFrame, docs: DataFrame, table: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link: first by sketches, then by the whole texts. Many a may meet one b, which is then dealt out with copies of b."""
-    brief = lambda side: table.select(F.col("doc_id").alias(f"{side}_id"), F.col("n").alias(f"{side}_n"), F.col("bits").alias(f"{side}_bits"))
-    rows = _spread(pairs.select(F.col("a").alias("id"), F.col("b").alias("g")))
-    some = rows.join(brief("a"), F.col("id") == F.col("a_id")).drop("a_id")
-    leads = _leads(rows).join(brief("b"), F.col("g") == F.col("b_id")).select(F.col("g").alias("b_g"), F.col("salt").alias("b_salt"), "b_n", "b_bits")
-    some = some.join(leads, (F.col("g") == F.col("b_g")) & (F.col("salt") == F.col("b_salt")))
-    some = some.filter(_near(F.col("a_n"), F.col("b_n"), F.col("a_bits"), F.col("b_bits"), percent)).select("g", "id", "salts", "salt").distinct()
+def linked(pairs: DataFrame, docs: DataFrame, words: int, percent: int, table: DataFrame | None = None) -> DataFrame:
+    """The pairs (a, b) whose sets link: by the sketches of table if given, then by the whole texts. Many a may meet one b, which is then dealt out with copies of b."""
+    some = _spread(pairs.select(F.col("a").alias("id"), F.col("b").alias("g")))
+    if table is not None:
+        brief = lambda side: table.select(F.col("doc_id").alias(f"{side}_id"), F.col("n").alias(f"{side}_n"), F.col("bits").alias(f"{side}_bits"))
+        leads = _leads(some).join(brief("b"), F.col("g") == F.col("b_id")).select(F.col("g").alias("b_g"), F.col("salt").alias("b_salt"), "b_n", "b_bits")
+        some = some.join(brief("a"), F.col("id") == F.col("a_id")).drop("a_id").join(leads, (F.col("g") == F.col("b_g")) & (F.col("salt") == F.col("b_salt")))
+        some = some.filter(_near(F.col("a_n"), F.col("b_n"), F.col("a_bits"), F.col("b_bits"), percent)).select("g", "id", "salts", "salt").distinct()
     texts = docs.select(F.col("doc_id").alias("_id"), "text")
     whole = some.join(texts, F.col("id") == F.col("_id")).select("g", "salt", "text", F.col("id").alias("a"), F.col("g").alias("b"))
     refs = _leads(some).join(texts, F.col("g") == F.col("_id")).select("g", "salt", "text")
@@ -245,7 +241,7 @@ def linked(pairs: DataFrame, docs: DataFrame, table: DataFrame, words: int, perc
 
 
 def differences(groups: DataFrame, texts: DataFrame, on: Column, keep: list[str], words: int, percent: int) -> DataFrame:
-    """(*keep, n, r, elems) for groups (g, id, ...) joined with texts; see `against`. Groups in several parts share a reference of SAMPLE of their texts."""
+    """(*keep, n, elems) for groups (g, id, ...) joined with texts; see `against`. Groups in several parts share a reference of SAMPLE of their texts."""
     whole = _spread(groups).join(texts, on)
     first = F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("id"), "id"))
     some = _spread(groups).filter("salts > 1").withColumn("_n", first).filter(F.col("_n") <= SAMPLE).join(texts, on)
@@ -275,24 +271,20 @@ def _connected(scratch: Scratch, docs: DataFrame, words: int, percent: int) -> t
     scratch.drop(leads)
     release(spark)
     stars = held.select(F.col("doc_id").alias("a"), F.col("lead").alias("b")).distinct()
-    links = scratch.written(linked(stars, docs, table, words, percent))
-    release(spark)
-    parts = components(scratch, links)
-    for level in range(LEVELS + 1):
+    links = scratch.written(linked(stars, docs, words, percent, table))
+    for cover in (True, False):
         release(spark)
+        parts = components(scratch, links)
         groups = scratch.written(_unsettled(held, parts))
-        scratch.drop(held)
         if groups.isEmpty():
             break
-        texts = docs.select(F.col("doc_id").alias("_id"), "text")
-        far = scratch.written(differences(groups, texts, F.col("id") == F.col("_id"), ["g", "id", "part"], words, percent))
-        if level == LEVELS:
-            more = scratch.written(_cells(far.withColumns({"s1": F.xxhash64("id"), "w": F.lit(1)}), percent, "id"))
-        else:
-            more, held = _by_elements(scratch, far, docs, table, words, percent)
-        old, links = links, scratch.written(links.union(more.select("a", "b")))
-        scratch.drop(old, groups, far)
+        more = linked(_near_pairs(groups, table, percent, cover), docs, words, percent)
+        old, links = links, scratch.written(links.union(more))
+        scratch.drop(old, groups)
+    else:
         parts = components(scratch, links)
+    scratch.drop(held)
+    release(spark)
     out = scratch.written(
         table.select("doc_id", F.col("n").alias("n_shingles"), "th", "s1", "s2").join(parts, F.col("doc_id") == F.col("v"), "left")
         .select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), "th", "s1", "s2")
@@ -308,16 +300,75 @@ def _unsettled(held: DataFrame, parts: DataFrame) -> DataFrame:
     return named.join(split, F.col("key") == F.col("k"), "left_semi").select("g", "id", "part").distinct()
 
 
-def _by_elements(scratch: Scratch, far: DataFrame, docs: DataFrame, table: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links of the groups by their differences, and the next keys (key, doc_id, lead): holders of one element, grouped as before by the least."""
-    center = far.groupBy("g").agg(F.min(F.struct("r", "id")).alias("c")).select(F.col("g").alias("of"), F.col("c.r").alias("c_r"), F.col("c.id").alias("b"))
-    sure = far.join(center, F.col("g") == F.col("of")).filter((F.col("r") + F.col("c_r") <= 0) & (F.col("id") != F.col("b"))).select(F.col("id").alias("a"), "b")
-    each = far.select("id", "part", F.explode("elems").alias("elem"), "g").select(F.xxhash64("g", "elem").alias("key"), "id", "part")
-    firsts = each.groupBy("key").agg(F.min(F.struct("id", "part")).alias("first"), F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q")
-    firsts = firsts.select(F.col("key").alias("k"), F.col("first.id").alias("lead"), F.col("first.part").alias("lead_part"))
-    held = scratch.written(each.join(firsts, F.col("key") == F.col("k")).filter("id <> lead").select("key", F.col("id").alias("doc_id"), "lead", (F.col("part") != F.col("lead_part")).alias("new")))
-    stars = held.filter("new").select(F.col("doc_id").alias("a"), F.col("lead").alias("b")).distinct()
-    return scratch.written(sure.union(linked(stars, docs, table, words, percent))), held
+def _blocks(rows: DataFrame, total: Column, by: Column, cell: int) -> DataFrame:
+    """rows (g, ...) once for each cell (i, j) of two blocks of its group; block: the row's own. A block has about `cell` rows and CELL_SIZE in total."""
+    sizes = rows.groupBy(F.col("g").alias("p")).agg(F.count("*").alias("m"), F.sum(total).alias("total")).filter("m > 1")
+    sizes = sizes.select("p", F.ceil(F.greatest(F.col("m") / cell, F.col("total") / CELL_SIZE)).cast("int").alias("blocks"))
+    rows = rows.join(sizes, F.col("g") == F.col("p")).withColumn("block", F.pmod(F.xxhash64(by), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with")}).drop("p", "blocks", "with")
+
+
+def _dealt(cells: DataFrame) -> DataFrame:
+    n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cells.repartition(n, "g", "i", "j").sortWithinPartitions("g", "i", "j")
+
+
+def _near_pairs(groups: DataFrame, table: DataFrame, percent: int, cover: bool) -> DataFrame:
+    """The pairs (a, b) of rows (g, id, part) of one group but different parts that may link by size and Hamming distance.
+
+    If cover, those that a star has: the row with most such partners meets them all, pairs among them wait, and so on. So a
+    group in which all link gives as many pairs as rows."""
+    brief = table.select(F.col("doc_id").alias("_id"), "n", "bits")
+    cells = _blocks(groups.join(brief, F.col("id") == F.col("_id")).drop("_id"), F.lit(0), F.col("id"), NEAR_CELL)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if len(held) < 2:
+                return
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            block, n = (np.asarray(rows.column(c)) for c in ("block", "n"))
+            part = np.asarray(pc.dictionary_encode(rows.column("part")).indices)
+            bits = np.asarray(rows.column("bits").flatten()).view(U64).reshape(len(n), -1)
+            ok = np.zeros((len(n), len(n)), bool)
+            for at in range(0, len(n), 32):
+                some = slice(at, at + 32)
+                apart = np.bitwise_count(bits[some, None] ^ bits[None, at:]).sum(2, dtype=np.int64)
+                m, k = n[some, None], n[None, at:]
+                good = (100 * np.minimum(m, k) >= percent * np.maximum(m, k)) & ((100 + percent) * apart <= (100 - percent) * (m + k)) & (part[some, None] != part[None, at:])
+                # a cell of two blocks has the pairs across them; those within are another cell's
+                ok[some, at:] = good & ((block[some, None] != block[None, at:]) | (cell[1] == cell[2]))
+            ok |= ok.T
+            if cover:
+                found = []
+                while (degree := ok.sum(1)).any():
+                    v = int(degree.argmax())
+                    u = np.flatnonzero(ok[v])
+                    found.append((np.full(len(u), v), u))
+                    ok[v] = ok[:, v] = False
+                    ok[np.ix_(u, u)] = False
+                a, b = (np.concatenate([x[k] for x in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
+            else:
+                a, b = np.nonzero(np.triu(ok, 1))
+            if len(a):
+                ids = rows.column("id")
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b))], names=["a", "b"])
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True))
+            edge = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            for p, q in zip(edge, edge[1:], strict=False):
+                if p < q and keys[p] != cell:
+                    yield from done()
+                    cell, held = keys[p], []
+                held.append(batch.slice(p, q - p))
+        yield from done()
+
+    kind = dict(groups.dtypes)["id"]
+    found = _dealt(cells.select("g", "i", "j", "block", "n", "part", "id", "bits")).mapInArrow(work, f"a {kind}, b {kind}")
+    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def _class_id(s1: str, s2: str) -> Column:
@@ -348,12 +399,8 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
 def _cells(far: DataFrame, percent: int, name: str | None = None) -> DataFrame:
     """The links within the groups of rows (g, s1, w, n, elems), told by their differences, in cells of two blocks of about CELL rows: the pairs (a, b)
     of the column `name`, or if there is none (g, s1, s2, links), the sums of the partners' w in each cell that has some."""
-    sizes = far.groupBy(F.col("g").alias("p")).agg(F.count("*").alias("m"), F.sum(F.size("elems") + 1).alias("total")).filter("m > 1")
-    sizes = sizes.select("p", F.ceil(F.greatest(F.col("m") / CELL, F.col("total") / CELL_SIZE)).cast("int").alias("blocks"))
-    rows = far.join(sizes, F.col("g") == F.col("p")).withColumn("block", F.pmod(F.xxhash64("s1"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     own = [name] if name else ["s1", "s2"]
-    rows = rows.select("g", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "n", "w", "elems", *own)
+    rows = _blocks(far, F.size("elems") + 1, F.col("s1"), CELL).select("g", "i", "j", "block", "n", "w", "elems", *own)
     kinds = dict(rows.dtypes)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,14 +436,13 @@ def _cells(far: DataFrame, percent: int, name: str | None = None) -> DataFrame:
                 held.append((block, n, w, flat[ends[row] : ends[row + 1]].copy(), batch.slice(row, 1)))
         yield from done()
 
-    n = int(far.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     what = f"a {kinds[name]}, b {kinds[name]}" if name else f"g {kinds['g']}, s1 long, s2 long, links long"
-    return rows.repartition(n, "g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(work, what)
+    return _dealt(rows).mapInArrow(work, what)
 
 
 def _classes(scratch: Scratch, docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """members; the classes (g, s1, s2, w) of equal sets in their components, w: how many ids they have; and the
-    differences (g, s1, s2, w, n, r, elems) of those in components of several classes."""
+    differences (g, s1, s2, w, n, elems) of those in components of several classes."""
     spark = docs.sparkSession
     table, members = _connected(scratch, docs, words, percent)
     scratch.drop(table)

@@ -407,10 +407,9 @@ def test_jaccard_links_are_whole(spark, docs, monkeypatch):
         assert got == {frozenset(d for d, _ in p) for p in want}
 
 
-@pytest.mark.parametrize("levels", [0, 4])
-def test_jaccard_large_group_below_the_threshold(spark, monkeypatch, levels):
+def test_jaccard_large_group_below_the_threshold(spark, monkeypatch):
     """Copies of one text that differ too much from each other, in which some pairs link and some form nested groups; also dealt out in parts."""
-    monkeypatch.setattr(jaccard_join, "LEVELS", levels)
+    monkeypatch.setattr(jaccard_join, "NEAR_CELL", 16)
     monkeypatch.setattr(jaccard_join, "SPREAD", 20)
     monkeypatch.setattr(jaccard_join, "SAMPLE", 7)
     rng, words, rows = np.random.default_rng(8), prose(81, 200).split(), []
