@@ -19,8 +19,40 @@ INTEGER = re.compile(r"[+-]?[0-9]+\Z")
 NUMBER = re.compile(r"\s*[+-]?(NaN|Infinity|((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?[fFdD]?))\s*\Z", re.A)
 
 
+#: Levels of nesting that are read; deeper texts count as no valid JSON, so one bad document doesn't stop a job.
+DEPTH = 300
+_SURROGATE = re.compile(r"\\u[dD][89a-fA-F]")
+
+
 def parse(text: str):
-    return json.loads(text, object_pairs_hook=Obj)
+    """The tree of a JSON text. ValueError for what is no JSON: NaN and Infinity too, and nesting beyond DEPTH. Lone surrogates become U+FFFD."""
+    try:
+        out = json.loads(text, object_pairs_hook=Obj, parse_constant=_refused)
+    except RecursionError:
+        raise ValueError("nested too deeply") from None
+    if text.count("[") + text.count("{") > DEPTH and _depth(out) > DEPTH:
+        raise ValueError("nested too deeply")
+    return _repaired(out) if _SURROGATE.search(text) else out
+
+
+def _refused(name: str):
+    raise ValueError(f"{name} is no JSON")
+
+
+def _depth(v) -> int:
+    level, n = [v], 0
+    while level:
+        n += 1
+        level = [x for y in level if isinstance(y, list) for x in ((c for _, c in y) if isinstance(y, Obj) else y)]
+    return n
+
+
+def _repaired(v):
+    if isinstance(v, Obj):
+        return Obj((_repaired(k), _repaired(x)) for k, x in v)
+    if isinstance(v, list):
+        return [_repaired(x) for x in v]
+    return v.encode("utf-16", "surrogatepass").decode("utf-16", "replace") if isinstance(v, str) else v
 
 
 def dump(v) -> str:

@@ -7,6 +7,8 @@ predicate is for makes it false. Names and argument types are checked at compile
 from __future__ import annotations
 
 import re
+
+import regex
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -169,7 +171,7 @@ def _any_find(patterns: Callable) -> tuple[Callable, Callable]:
             found = found | s.rlike(p)
         return found
 
-    return _text(column, lambda s, args: any(re.search(p, s) for p in patterns(args)))
+    return _text(column, lambda s, args: any(regex.search(p, s) for p in patterns(args)))
 
 
 def _utf16(s: str) -> int:
@@ -233,6 +235,12 @@ class ValueRule:
             self._args(t, p)
         except ValueError as e:
             return [f"type error({e}):: {shown}"]
+        if t.name == "_regex":
+            for a in t.args:
+                try:
+                    regex.compile(a)
+                except regex.error as e:
+                    return [f"bad regex({e}):: {shown}"]
         return []
 
     @staticmethod

@@ -119,28 +119,47 @@ class Relation:
         except RuleError as e:
             raise RuleError({"type": "Object Syntax error", "value": text, "result": [e.tree]}) from None
 
-    # -- Columns: (truth, failed)
+    # -- Columns
 
     def column(self, v: Column) -> tuple[Column, Column]:
-        return self._truth(self.tree, v)
+        """(truth, failed)."""
+        at = self.outcome(v)
+        return at == 0, at == 2
 
-    def _truth(self, t: Op, v: Column) -> tuple[Column, Column]:
+    def outcome(self, v: Column) -> Column:
+        """0: it holds, 1: it doesn't, 2: it can't be evaluated. Each field is looked up once, however often it is named."""
+        fields = list(dict.fromkeys(self._fields(self.tree)))
+        found = F.array(F.struct(F.lit(0).alias("none"), *[self._field_column(f, v).alias(f"f{i}") for i, f in enumerate(fields)]))
+
+        def told(s: Column) -> Column:
+            truth, failed = self._truth(self.tree, {f: s[f"f{i}"] for i, f in enumerate(fields)})
+            return F.when(failed, 2).when(truth, 0).otherwise(1)
+
+        return F.get(F.transform(found, told), 0)
+
+    def _fields(self, t) -> list[Field]:
+        return [t] if isinstance(t, Field) else [] if isinstance(t, Number) else self._fields(t.left) + self._fields(t.right)
+
+    def _truth(self, t: Op, v: dict[Field, Column]) -> tuple[Column, Column]:
         if t.sign in ("&&", "||"):
             (a, x), (b, y) = self._truth(t.left, v), self._truth(t.right, v)
             return (a & b if t.sign == "&&" else a | b), x | y
         out = COMPARE[t.sign](self._value(t.left, v), self._value(t.right, v))
         return F.coalesce(out, F.lit(False)), out.isNull()
 
-    def _value(self, t, v: Column) -> Column:
+    def _field_column(self, t: Field, v: Column) -> Column:
         kind = "double" if self.as_float else "bigint"
+        x = F.try_variant_get(v, variant_path(t.path.split(".")), "variant")
+        text = (double_of if self.as_float else long_of)(text_of(x))
+        number = F.try_variant_get(x, "$", "double") if self.as_float else F.when(is_whole(x), F.try_variant_get(x, "$", "bigint")).otherwise(F.try_variant_get(x, "$", "double").try_cast("bigint"))
+        got = F.when(is_text(x), text).when(is_whole(x) | is_fraction(x), number)
+        return got if t.default is None else F.coalesce(got, F.lit(t.default).cast(kind))
+
+    def _value(self, t, v: dict[Field, Column]) -> Column:
         if isinstance(t, Number):
-            return F.lit(t.value).cast(kind)
+            return F.lit(t.value).cast("double" if self.as_float else "bigint")
         if isinstance(t, Field):
-            x = F.try_variant_get(v, variant_path(t.path.split(".")), "variant")
-            text = (double_of if self.as_float else long_of)(text_of(x))
-            number = F.try_variant_get(x, "$", "double") if self.as_float else F.when(is_whole(x), F.try_variant_get(x, "$", "bigint")).otherwise(F.try_variant_get(x, "$", "double").try_cast("bigint"))
-            got = F.when(is_text(x), text).when(is_whole(x) | is_fraction(x), number)
-            return got if t.default is None else F.coalesce(got, F.lit(t.default).cast(kind))
+            return v[t]
         a, b = self._value(t.left, v), self._value(t.right, v)
         if t.sign == "/":
             return F.try_divide(a, b) if self.as_float else F.when(b != 0, _div(a, b))

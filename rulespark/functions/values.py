@@ -7,6 +7,8 @@ Columns over a string column, NULL for a failure, for plans that stay in generat
 from __future__ import annotations
 
 import re
+
+import regex
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -90,7 +92,7 @@ FUNCTIONS: dict[str, tuple[tuple[type, ...], Callable]] = {
     "toDoubleSepOr": ((str, int), lambda v, c, d: (lambda s: _default(lambda: to_double(s), float(d)))(_separated(v, c))),
     "subString": ((int, int), _substring),
     "replace": ((str, str), lambda v, a, b: _text(v).replace(a, b)),
-    "regexReplace": ((str, str), lambda v, p, r: re.sub(p, java_replacement(r), _text(v))),
+    "regexReplace": ((str, str), lambda v, p, r: regex.sub(p, java_replacement(r), _text(v))),
     "replaceIf": ((str, str, str), lambda v, x, t, f: t if _text(v) == x else f),
     "subStringBetween": ((str, str, str), _between),
     "abs": ((), _abs),
@@ -120,8 +122,8 @@ def compile_chain(calls: tuple[Function, ...], documented: bool = False) -> list
             raise RuleError(f"arguments of {c.name} must be ({', '.join(k.__name__ for k in kinds)}) :: {c.args}")
         if name == "regexReplace":
             try:
-                re.compile(c.args[0])
-            except re.error as e:
+                regex.compile(c.args[0])
+            except regex.error as e:
                 raise RuleError(f"bad regex {c.args[0]}: {e}") from None
         out.append((c.name, DOCUMENTED.get(name, run) if documented else run, c.args))
     return out
@@ -175,4 +177,8 @@ COLUMNS: dict[str, Callable[..., Column]] = {
     "toStringOr": lambda s, d: F.coalesce(s.cast("string"), F.lit(d)),
 }
 
-__all__ = ["FUNCTIONS", "ALIASES", "COLUMNS", "compile_chain", "run_chain", "register", "units", "double_text"]
+#: What a function takes and gives in a chain of Columns, where it isn't text.
+TAKES = {"abs": "number", "toString": "any", "toStringOr": "any"}
+GIVES = {"abs": "number"} | {n: "number" for n in FUNCTIONS if n.startswith(("toLong", "toDouble"))}
+
+__all__ = ["FUNCTIONS", "ALIASES", "COLUMNS", "TAKES", "GIVES", "compile_chain", "run_chain", "register", "units", "double_text"]

@@ -24,7 +24,7 @@ try:
 except ImportError:  # the plain search below finds the same
     ahocorasick = None
 
-NATIVE_TERMS = 400
+NATIVE_TERMS = 4
 HITS = "array<struct<rule_id:int,rule:string,occurrences:array<struct<keyword:string,loc:array<int>>>>>"
 
 

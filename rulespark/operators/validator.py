@@ -45,12 +45,12 @@ class Leaf:
     def errors(self, v: Column, path: Column) -> Column:
         nested = kind_of(v).rlike("^(OBJECT|ARRAY)")
         shown = F.coalesce(F.try_variant_get(v, "$", "string"), F.lit("null"))
-        return F.when(nested, F.array(error(path, NO_TYPE, "must be a value"))).when(~self.rule.column(v), F.array(error(path, FALSE, shown))).otherwise(none())
+        return F.when(nested, F.array(error(path, NO_TYPE, "must be JValue"))).when(~self.rule.column(v), F.array(error(path, FALSE, shown))).otherwise(none())
 
     def check(self, v):
         """(value, None) or (None, error)."""
         if isinstance(v, list):
-            return None, Obj([("type", NO_TYPE), ("value", v), ("error", "must be " + "JValue")])
+            return None, Obj([("type", NO_TYPE), ("value", v), ("error", "must be JValue")])
         if not self.rule.test(v):
             return None, Obj([("type", FALSE), ("value", scalar_text(v)), ("result", self.rule.text)])
         return (v,), None
@@ -81,9 +81,9 @@ class Fields:
     def errors(self, v: Column, path: Column) -> Column:
         parts = []
         if self.relation is not None:
-            truth, failed = self.relation.column(v)
             here = F.concat(path, F.lit("." + RELATION))
-            parts.append(F.when(failed, F.array(error(here, REL_ERROR, self.relation.text))).when(~truth, F.array(error(here, REL_FALSE, self.relation.text))).otherwise(none()))
+            outcomes = F.array(none(), F.array(error(here, REL_FALSE, self.relation.text)), F.array(error(here, REL_ERROR, self.relation.text)))
+            parts.append(F.get(outcomes, self.relation.outcome(v)))
         for key, optional, node in self.fields:
             x, at = F.try_variant_get(v, variant_path([key]), "variant"), F.concat(path, F.lit("." + key))
             absent = none() if optional else F.array(error(at, NO_KEY, f"Key({key}) must exist."))
