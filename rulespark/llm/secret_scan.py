@@ -28,12 +28,13 @@ _parser = re._parser
 
 @dataclass(frozen=True)
 class Rule:
-    """Matches of fewer than `least` characters in the group are dropped."""
+    """Matches of fewer than `least` characters in the group are dropped; a span begins where the group `start` does."""
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 1
+    start: int = 0
 
 
 # The base rules, in order.
@@ -50,7 +51,8 @@ MORE = (
     Rule("live_key", r"sk_live_[0-9A-Za-z]+", 0, 24),
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("slack_token", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15),
-    Rule("url_password", r"[A-Za-z][A-Za-z0-9+.-]*://[^\s:/@]+:[^\s:/@]+@"),
+    # From the beginning of a run only, so a long run without "://" is read once.
+    Rule("url_password", r"(?<![A-Za-z0-9+.-])[0-9+.-]*([A-Za-z][A-Za-z0-9+.-]*)://[^\s:/@]+:[^\s:/@]+@", start=1),
 )
 RULES = BASE + MORE
 
@@ -176,7 +178,7 @@ class Index:
             for d in np.flatnonzero(self.answer(query, postings)).tolist():
                 if d not in raw:
                     raw[d] = data[offs[d] : offs[d + 1]].tobytes()
-                found[d] += [(m.start(), i, m.end()) for m in regex.finditer(raw[d]) if m.end(rule.group) - m.start(rule.group) >= rule.least]
+                found[d] += [(m.start(rule.start), i, m.end()) for m in regex.finditer(raw[d]) if m.end(rule.group) - m.start(rule.group) >= rule.least]
         for d, x in enumerate(found):
             if x:
                 lead = np.concatenate([[0], np.cumsum((data[offs[d] : offs[d + 1]] & 0xC0) != 0x80)])

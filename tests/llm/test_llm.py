@@ -231,12 +231,12 @@ def test_toxicity(spark, docs):
 
 
 def test_secrets(docs):
-    kinds = [(r.kind, re.compile(r.pattern.encode()), r.group, r.least) for r in secret_scan.RULES]
+    kinds = [(r.kind, re.compile(r.pattern.encode()), r.group, r.least, r.start) for r in secret_scan.RULES]
     extra = ['é password = \'abcdefg\'', "API_KEY:abc token=\"zzzzzzz", "ghp_" + "a1" * 20, "secret: abc secret: abcdef", "0" * 24 + "é" + "a" * 23, "https://me:pw@host"]
     for r in secret_scan.scan(docs.unionByName(docs.sparkSession.createDataFrame([(100 + i, t) for i, t in enumerate(extra)], "doc_id long, text string"), allowMissingColumns=True)).collect():
         t = ({**TEXTS, None: LINE} | {100 + i: x for i, x in enumerate(extra)})[r["doc_id"]]
         raw = (t or "").encode()
-        spans = [(len(raw[: m.start()].decode()), i, k, len(raw[: m.end()].decode())) for i, (k, p, g, n) in enumerate(kinds) for m in p.finditer(raw) if m.end(g) - m.start(g) >= n]
+        spans = [(len(raw[: m.start(b)].decode()), i, k, len(raw[: m.end()].decode())) for i, (k, p, g, n, b) in enumerate(kinds) for m in p.finditer(raw) if m.end(g) - m.start(g) >= n]
         assert [(x["start"], x["kind"], x["end"]) for x in r["spans"]] == [(a, k, b) for a, _, k, b in sorted(spans)]
 
 
@@ -464,3 +464,56 @@ def test_quality_strata_are_values(spark, monkeypatch):
     monkeypatch.setattr(quality_rules, "MAX_STRATA", 100)
     assert quality_rules.many_strata(df)
     assert quality_rules.with_stratum(df, folded=True).select("stratum").distinct().count() <= 100
+
+
+def test_quality_guarantee_holds():
+    """Simulated ladders whose true rejection rates are known: a step in use rejects more than ALPHA in at most DELTA of the runs (and chance)."""
+    rng = np.random.default_rng(3)
+    rates = np.array([0.005, 0.01, 0.02, 0.028, 0.031, 0.04, 0.08, 0.2])  # of good documents, up to each step
+    bad = [10] * len(rates) + [0]
+    wrong = used = 0
+    for _ in range(400):
+        good = rng.multinomial(800, np.diff(np.append(np.concatenate([[0], rates]), 1))).tolist()
+        at = quality_rules.certify(good, bad, quality_rules.ALPHA, quality_rules.DELTA, weight=0)
+        used, wrong = used + (at is not None), wrong + (at is not None and rates[at] > quality_rules.ALPHA)
+    assert used > 300 and wrong <= 400 * quality_rules.DELTA + 3 * (400 * quality_rules.DELTA) ** 0.5
+
+
+def test_quality_verdict_against_brute_force(spark):
+    """The cutoffs of several strata, and `kept`, by plain loops."""
+    rng, rows = np.random.default_rng(4), []
+    for i in range(1600):
+        text = " ".join(w + ("%" * int(rng.integers(0, 6)) if i % 5 == 0 and rng.random() < 0.5 else "") for w in prose(i, 55).split())
+        rows.append((i, text, ["en", "de", None][i % 3]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 5 > 0)) for i in range(1600)], "doc_id long, quality int")
+    counts = {r["doc_id"]: r for r in quality_rules.text_counts(docs, ["doc_id"]).collect()}
+    ratio = lambda i, rule: counts[i][quality_rules.RULES[rule][0]] / max(1, counts[i][quality_rules.RULES[rule][1]])
+    rejects = lambda i, t: any(ratio(i, rule) > quality_rules.ladder(rule)[t] for rule in quality_rules.RULES)
+    step = {}
+    for lang in ("en", "de", None):
+        best, ids = 0.0, [i for i, _, x in rows if x == lang]
+        good, bad = ([i for i in ids if (i % 5 > 0) == want] for want in (True, False))
+        for t in range(quality_rules.STEPS):
+            x = sum(rejects(i, t) for i in good)
+            if quality_rules.binomial_tail(x, len(good), quality_rules.ALPHA) > quality_rules.DELTA / 3:
+                break
+            gain = sum(rejects(i, t) for i in bad) / len(bad) - quality_rules.WEIGHT * x / len(good)
+            if gain > best:
+                best, step[lang] = gain, t
+    assert len(step) == 3
+    for r in quality_rules.judged(docs, labels).collect():
+        c = counts[r["doc_id"]]
+        base = c["n_words"] < 50 or 100 * c["n_repeat_words"] > 50 * c["n_words"]
+        assert r["base_failed"] == base and r["kept"] == (not base and not rejects(r["doc_id"], step[rows[r["doc_id"]][2]]))
+
+
+def test_secret_scan_of_a_long_run():
+    """A run of a million letters in a text that has "://" is read once."""
+    import time
+
+    data = np.frombuffer(("x" * 1_000_000 + " 9+ab.c://user:word@host y").encode(), np.uint8)
+    began = time.time()
+    (found,) = secret_scan.Index(secret_scan.RULES).scan(data, np.array([0, len(data)]))
+    i = [r.kind for r in secret_scan.RULES].index("url_password")
+    assert [(a, b) for a, k, b in found if k == i] == [(1_000_003, 1_000_020)] and time.time() - began < 20
