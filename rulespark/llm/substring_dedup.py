@@ -1,7 +1,7 @@
 """Suffix-array dedup: repeated SPAN-byte strings, found by merging Burrows-Wheeler transforms of shards.
 
 Only text that may repeat is sorted. The least hash of the K-byte strings within each SPAN-byte string is its key: equal strings have equal
-keys. Keys that one document has alone are cut off by an aggregate (two rounds: keys, then the keys of each document); for the
+keys. Keys that one document has alone are cut off in one shuffle of keys (then the keys that are left go back to their documents); for the
 others the maximal runs of starts with one key are cut out as pieces of SPAN to 2 * SPAN bytes. Equal pieces become one, with its
 least document; what is left, the different pieces of each key, is where suffixes are sorted.
 
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._spark import Scratch, release
@@ -31,6 +31,9 @@ SPAN, K, SHARDS = 50, 24, 4
 #: Bytes of pieces that are sorted at once, in whole keys.
 GROUP = 1 << 18
 LAST = (1 << 63) - 1
+#: Keys that are sorted at once before they are shuffled; kinds of rows then.
+HELD = 1 << 21
+SINGLE, WITNESS, SURE = 0, 1, 2
 
 
 def start_keys(data: np.ndarray) -> np.ndarray:
@@ -54,19 +57,48 @@ def _per_text(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int, np
         yield i, a, keys[a : max(a, b - SPAN + 1)]
 
 
-def document_keys(docs: DataFrame) -> DataFrame:
-    """(doc, keys): the different keys of each row's starts."""
+def shared_keys(docs: DataFrame) -> DataFrame:
+    """(d, shared): for each doc the keys of its starts that other docs have too.
+
+    Keys are shuffled once. What several docs of a stretch of about HELD keys have is known to be shared: their rows need no group, and one witness
+    (the least and the largest of them) stands for all, so a key of very many docs is a few rows."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(keys: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
+            order = np.lexsort((doc, keys))
+            keys, doc = keys[order], doc[order]
+            new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])])
+            keys, doc = keys[new], doc[new]
+            edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            size = np.diff(np.append(edge, len(keys)))
+            sure, many = np.repeat(size > 1, size), edge[size > 1]
+            k, d = keys.view(np.int64), doc
+            groups = [k[~sure], k[many], to_long(mix(keys[sure] ^ mix(doc[sure].view(U64))))]
+            of = [d[~sure], d[many], d[sure]]
+            more = [np.zeros(int((~sure).sum()), np.int64), d[many + size[size > 1] - 1], k[sure]]
+            kind = np.repeat(np.array([SINGLE, WITNESS, SURE], np.int8), [len(x) for x in groups])
+            return pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in (groups, of, more)), pa.array(kind)], names=["g", "doc", "more", "kind"])
+
+        keys, doc, n = [], [], 0
         for batch in batches:
-            for a, b, data, offs in blocks(batch.column(1)):
-                found = []
-                for _, _, keys in _per_text(data, offs):
-                    turn = keys[np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))] if len(keys) else keys
-                    found.append(np.unique(turn))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), list_array(np.array([len(x) for x in found]), pa.array(to_long(np.concatenate(found))))], names=["doc", "keys"])
-
-    return docs.select("doc", "text").mapInArrow(work, "doc long, keys array<long>")
+            for a, _, data, offs in blocks(batch.column(1)):
+                for i, _, x in _per_text(data, offs):
+                    if len(x):
+                        x = np.unique(x[np.concatenate([[True], x[1:] != x[:-1]])])
+                        keys.append(x)
+                        doc.append(np.full(len(x), batch.column(0)[a + i].as_py(), np.int64))
+                        n += len(x)
+                if n >= HELD:
+                    yield told(np.concatenate(keys), np.concatenate(doc))
+                    keys, doc, n = [], [], 0
+        if n:
+            yield told(np.concatenate(keys), np.concatenate(doc))
+
+    w = Window.partitionBy("g")
+    each = docs.select("doc", "text").mapInArrow(work, "g long, doc long, more long, kind byte")
+    each = each.select("*", F.min("doc").over(w).alias("lo"), F.max(F.when(F.col("kind") == WITNESS, F.col("more")).otherwise(F.col("doc"))).over(w).alias("hi"))
+    each = each.filter((F.col("kind") == SURE) | ((F.col("kind") == SINGLE) & (F.col("lo") != F.col("hi"))))
+    return each.groupBy(F.col("doc").alias("d")).agg(F.collect_list(F.when(F.col("kind") == SURE, F.col("more")).otherwise(F.col("g"))).alias("shared"))
 
 
 def pieces(docs: DataFrame) -> DataFrame:
@@ -215,12 +247,10 @@ def _two_hashes():
 def repeated_ranges(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc, th, ranges): for each text with repeats the maximal runs (a, b) of bytes to remove, from (doc, th, text)."""
     spark = docs.sparkSession
-    keyed = document_keys(docs).select("doc", F.explode("keys").alias("key"))
-    common = scratch.written(keyed.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo <> hi").select(F.col("key").alias("k")))
-    release(spark)
-    shared = scratch.written(keyed.join(common, F.col("key") == F.col("k")).groupBy("doc").agg(F.collect_list("key").alias("shared")).withColumnRenamed("doc", "d"))
+    shared = scratch.written(shared_keys(docs))
     release(spark)
     cut = scratch.written(pieces(docs.join(shared, F.col("doc") == F.col("d")).select("doc", "th", "text", "shared")))
+    scratch.drop(shared)
     release(spark)
     found = scratch.written(repeats(cut.groupBy("key", "body").agg(F.min("doc").alias("lead"))))
     release(spark)
@@ -231,7 +261,7 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch) -> DataFrame:
     ranges = rows.withColumn("own", F.when(F.col("doc") > F.col("lead"), all_of).otherwise(F.col("some")))
     ranges = ranges.select("doc", "th", F.explode(F.transform("own", lambda r: F.struct((F.col("at") + r["a"]).alias("a"), (F.col("at") + r["b"]).alias("b")))).alias("r"))
     out = scratch.written(ranges.groupBy("doc", "th").agg(F.sort_array(F.collect_set("r")).alias("ranges")).withColumnsRenamed({"doc": "d", "th": "h"}))
-    scratch.drop(common, shared, cut, found)
+    scratch.drop(cut, found)
     release(spark)
     return out
 
