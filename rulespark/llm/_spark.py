@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one only where no cluster names any."""
+    """The folder in spark.checkpoint.dir; in local mode one of our own where it is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -26,6 +29,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What is executed within lets go of its shuffle files at its end; a table that has been written doesn't need them any more."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+
+
 class Scratch:
     """Tables in the shared folder; drop() removes those that no result reads any more."""
 
@@ -34,7 +49,8 @@ class Scratch:
 
     def written(self, df: DataFrame) -> DataFrame:
         self.n += 1
-        df.write.option("compression", "zstd").parquet(at := f"{self.top}/{self.n}")
+        with shuffles_removed(self.spark):
+            df.write.option("compression", "zstd").parquet(at := f"{self.top}/{self.n}")
         out = self.spark.read.schema(df.schema).parquet(at)
         out._at = at
         return out
@@ -43,7 +59,8 @@ class Scratch:
         """Written in as many buckets of the key as shuffles have partitions, so a join or group by it doesn't move its rows."""
         self.n += 1
         name, n = f"bucketed_{uuid.uuid4().hex}", int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        df.write.format("parquet").option("compression", "zstd").option("path", at := f"{self.top}/{self.n}").bucketBy(n, key).saveAsTable(name)
+        with shuffles_removed(self.spark):
+            df.write.format("parquet").option("compression", "zstd").option("path", at := f"{self.top}/{self.n}").bucketBy(n, key).saveAsTable(name)
         out = self.spark.table(name)
         out.schema  # resolved, so the files alone are needed from now on
         self.spark.sql(f"DROP TABLE {name}")
@@ -77,9 +94,3 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
         scratch.drop(at, mid)
         at = new
     return at.select(F.col("a").alias("v"), F.col("b").alias("least"))
-
-
-def release(spark: SparkSession) -> None:
-    """Lets go of shuffle files of finished jobs: Spark removes them once the driver has collected what refers to them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

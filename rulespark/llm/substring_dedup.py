@@ -3,7 +3,8 @@
 Only text that may repeat is sorted. The least hash of the K-byte strings within each SPAN-byte string is its key: equal strings have equal
 keys. Keys that one document has alone are cut off in one shuffle of keys (then the keys that are left go back to their documents); for the
 others the maximal runs of starts with one key are cut out as pieces of SPAN to 2 * SPAN bytes. Equal pieces become one, with its
-least document; what is left, the different pieces of each key, is where suffixes are sorted.
+least document; what is left, the different pieces of each key, is where suffixes are sorted (but for pieces of which no string has a hash
+that another document's have).
 
 A task's pieces form shards by document. Each shard has its suffix array and Burrows-Wheeler transform. The transforms are merged by
 refining their interleave: a stable distribution of the interleaved symbols orders the suffixes of all shards by one more
@@ -24,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._spark import Scratch, release
-from ._text import U64, blocks, list_array, mix, prefix, read, to_long, _powers
+from ._spark import Scratch
+from ._text import U64, blocks, list_array, mix, prefix, read, span_hash, to_long, _powers
 
 SPAN, K, SHARDS = 50, 24, 4
 #: Bytes of pieces that are sorted at once, in whole keys.
@@ -208,6 +209,24 @@ def repeated_starts(bodies: list[bytes], docs: np.ndarray, span: int = SPAN) ->
     return np.split(start[order], np.searchsorted(piece[order], np.arange(1, len(bodies))))
 
 
+def may_repeat(bodies: list[bytes], docs: np.ndarray, span: int = SPAN) -> np.ndarray:
+    """Whether a piece has a string of `span` bytes whose hash pieces of other documents have too; the others needn't be sorted."""
+    size = np.array([len(b) for b in bodies])
+    data = np.frombuffer(b"".join(bodies), np.uint8)
+    windows = np.maximum(size - span + 1, 0)
+    piece = np.repeat(np.arange(len(bodies)), windows)
+    start = np.repeat(np.cumsum(size) - size, windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+    out = np.zeros(len(bodies), bool)
+    if len(start):
+        h = span_hash(prefix(data), start, start + span)
+        order = np.argsort(h)
+        h, of = h[order], docs[piece[order]]
+        edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        apart = np.minimum.reduceat(of, edge) < np.maximum.reduceat(of, edge)
+        out[piece[order][np.repeat(apart, np.diff(np.append(edge, len(h))))]] = True
+    return out
+
+
 def repeats(unique: DataFrame) -> DataFrame:
     """(h1, h2, lead, starts) from (key, body, lead); starts that repeat a smaller document's string in another piece."""
 
@@ -219,6 +238,7 @@ def repeats(unique: DataFrame) -> DataFrame:
             # A key with one piece only needs no sorting.
             keys = np.array([r[0] for r in rows])
             some = np.flatnonzero(np.isin(keys, keys[1:][keys[1:] == keys[:-1]])) if len(keys) > 1 else np.zeros(0, np.int64)
+            some = some[may_repeat([rows[i][1] for i in some], np.array([rows[i][2] for i in some]))] if len(some) else some
             starts: list = [[]] * len(rows)
             if len(some):
                 for i, x in zip(some.tolist(), repeated_starts([rows[i][1] for i in some], np.array([rows[i][2] for i in some])), strict=True):
@@ -246,14 +266,10 @@ def _two_hashes():
 
 def repeated_ranges(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc, th, ranges): for each text with repeats the maximal runs (a, b) of bytes to remove, from (doc, th, text)."""
-    spark = docs.sparkSession
     shared = scratch.written(shared_keys(docs))
-    release(spark)
     cut = scratch.written(pieces(docs.join(shared, F.col("doc") == F.col("d")).select("doc", "th", "text", "shared")))
     scratch.drop(shared)
-    release(spark)
     found = scratch.written(repeats(cut.groupBy("key", "body").agg(F.min("doc").alias("lead"))))
-    release(spark)
     # Every start of a piece that a smaller document has whole; of a piece of its least document, those found above.
     mine = found.select(F.col("h1").alias("l1"), F.col("h2").alias("l2"), "lead", F.transform("starts", lambda s: F.struct(s.alias("a"), (s + SPAN).alias("b"))).alias("some"))
     rows = cut.select("doc", "th", "at", F.octet_length("body").alias("size"), *_two_hashes()).join(mine, (F.col("h1") == F.col("l1")) & (F.col("h2") == F.col("l2")))
@@ -262,7 +278,6 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch) -> DataFrame:
     ranges = ranges.select("doc", "th", F.explode(F.transform("own", lambda r: F.struct((F.col("at") + r["a"]).alias("a"), (F.col("at") + r["b"]).alias("b")))).alias("r"))
     out = scratch.written(ranges.groupBy("doc", "th").agg(F.sort_array(F.collect_set("r")).alias("ranges")).withColumnsRenamed({"doc": "d", "th": "h"}))
     scratch.drop(cut, found)
-    release(spark)
     return out
 
 
