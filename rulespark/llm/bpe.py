@@ -108,7 +108,7 @@ def folded(words: Column, tail: Column, path: str) -> Column:
             F.transform(word, lambda b: F.get(m["s"], b.cast("int")).cast("long")),
             lambda ids: F.transform(ids, lambda x, i: F.when(i + 1 < F.size(ids), rank(x, F.get(ids, i + 1))).otherwise(F.lit(NONE << RANK_AT)) + F.shiftleft(i.cast("long"), ID_BITS) + x),
         )
-        return F.aggregate(F.slice(word, F.lit(1), F.size(word) - 1), first, merge, lambda s: F.transform(s, lambda x: x.bitwiseAND(ID).cast("int")))
+        return F.aggregate(F.slice(word, F.lit(1), F.greatest(F.size(word) - 1, F.lit(0))), first, merge, lambda s: F.transform(s, lambda x: x.bitwiseAND(ID).cast("int")))
 
     return bind(table, lambda m: F.transform(words, lambda w: fold(m, w)))
 
@@ -191,12 +191,16 @@ def distinct_words(chunks: DataFrame) -> DataFrame:
         for batch in batches:
             for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = _unpacked(blob.as_py()).column(0)
-                at = np.arange(len(words), dtype=np.int64) + (chunk << PLACE_BITS)
+                order = pc.sort_indices(words)  # neighbours have much in common, so they take less room in the shuffle
+                words, at = words.take(order), np.asarray(order).astype(np.int64) + (chunk << PLACE_BITS)
                 for i in range(0, len(words), 50_000):
                     yield pa.RecordBatch.from_arrays([words.slice(i, 50_000), pa.array(at[i : i + 50_000])], names=["word", "at"])
 
     each = chunks.select("chunk", "words").mapInArrow(work, "word string, at long")
-    return each.groupBy("word", F.shiftright("at", PLACE_BITS + CHUNK_BITS + FAR_BITS).alias("far")).agg(F.collect_list("at").alias("at"))
+    # A chunk has a word once, so nothing can be gathered before the shuffle.
+    n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = each.withColumn("far", F.shiftright("at", PLACE_BITS + CHUNK_BITS + FAR_BITS)).repartition(n, "word", "far")
+    return dealt.groupBy("word", "far").agg(F.collect_list("at").alias("at"))
 
 
 def in_rows(words: DataFrame) -> DataFrame:

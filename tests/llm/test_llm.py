@@ -517,3 +517,24 @@ def test_secret_scan_of_a_long_run():
     (found,) = secret_scan.Index(secret_scan.RULES).scan(data, np.array([0, len(data)]))
     i = [r.kind for r in secret_scan.RULES].index("url_password")
     assert [(a, b) for a, k, b in found if k == i] == [(1_000_003, 1_000_020)] and time.time() - began < 20
+
+
+def test_bpe_words_are_distinct_over_all_partitions(spark, monkeypatch):
+    """A word of several partitions and chunks is one row of the fold; its numbers reach every chunk. Digests as registered equal tiktoken's."""
+    import public_tokenizers as P
+    import tiktoken
+
+    monkeypatch.setattr(bpe, "CHUNK", 400)
+    monkeypatch.setattr(bpe, "LONG", 40)
+    rows = [(i, prose(i % 3, 40) + " " + "abc" * 30 + " é" * (i % 4)) for i in range(24)] + [(90, None), (91, ""), (91, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    chunks = bpe.chunked(df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), P.PATTERN)
+    words = bpe.distinct_words(chunks).collect()
+    assert len({w["word"] for w in words}) == len(words) and max(len(w["at"]) for w in words) > 4
+    path = P.path("byte_bpe_50k.tiktoken")
+    known = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.ranks_of(path), special_tokens={})
+    want = Counter()
+    for d, t in rows:
+        ids = known.encode_ordinary(t or "")
+        want[d, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()] += 1
+    assert Counter(tuple(r) for r in bpe.digests(df).collect()) == want
