@@ -175,7 +175,9 @@ def chunked(rows: DataFrame, pattern: str) -> DataFrame:
                 texts = pa.RecordBatch.from_arrays(
                     [_one(batch.column(0).slice(a, b - a)), pa.array([_planes(np.array([len(x) for x in found]))]), pa.array([_planes(np.concatenate(found))])], names=["docs", "sizes", "places"]
                 )
-                words = pa.RecordBatch.from_arrays([pa.array(list(places), pa.string())], names=["word"])
+                words = pa.array(list(places), pa.string())
+                order = pc.sort_indices(words)  # neighbours have much in common, so they take less room here and in the shuffle
+                words = pa.RecordBatch.from_arrays([_one(words.take(order)), pa.array([_planes(np.asarray(order))])], names=["words", "places"])
                 yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([_packed(words)]), pa.array([_packed(texts)])], names=["chunk", "words", "texts"])
                 n += 1
                 if not n & (1 << CHUNK_BITS) - 1:
@@ -190,9 +192,8 @@ def distinct_words(chunks: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = _unpacked(blob.as_py()).column(0)
-                order = pc.sort_indices(words)  # neighbours have much in common, so they take less room in the shuffle
-                words, at = words.take(order), np.asarray(order).astype(np.int64) + (chunk << PLACE_BITS)
+                row = _unpacked(blob.as_py())
+                words, at = row.column(0).flatten(), _values(row.column(1)[0].as_py()) + (np.int64(chunk) << PLACE_BITS)
                 for i in range(0, len(words), 50_000):
                     yield pa.RecordBatch.from_arrays([words.slice(i, 50_000), pa.array(at[i : i + 50_000])], names=["word", "at"])
 
