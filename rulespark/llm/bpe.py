@@ -15,6 +15,7 @@ Defined cases: null and empty texts have no tokens; repeated rows each give a ro
 from __future__ import annotations
 
 import base64
+import ctypes
 import heapq
 import json
 from collections import defaultdict
@@ -38,8 +39,10 @@ CHUNK, PLAN_TEXT = 16 << 20, 1 << 16
 #: A place in a chunk's list (a chunk has no more words than bytes, but for one text longer than CHUNK: 2 ** 31 at most), chunks in a partition.
 PLACE_BITS, CHUNK_BITS, FAR_BITS = 31, 12, 12
 PLACE = (1 << PLACE_BITS) - 1
-#: Places of words that are packed at once on their way back.
-HELD = 1 << 20
+#: Places of words that are packed at once on their way back, and places of texts whose numbers are looked up at once.
+HELD, AT_ONCE = 1 << 18, 1 << 18
+#: zstandard's level for the table of chunks, which is what takes most room.
+LEVEL = 9
 #: Words that are folded in one row; the fold is quadratic in a word's length, so longer ones than LONG bytes are merged by a heap.
 MANY, LONG = 1 << 15, 1024
 #: Bits of a number and of a rank, so vocabularies have fewer than NONE pieces; a word's place takes what is left.
@@ -135,6 +138,14 @@ def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in start if not gone[i]]
 
 
+def _trim() -> None:
+    """Gives free memory back to the system: Python workers live on between stages, and several share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim is not None:
+        trim(0)
+
+
 def _planes(x: np.ndarray) -> bytes:
     """int32 values with their lowest bytes first, then the next ones: far smaller when compressed."""
     return np.ascontiguousarray(x.astype(np.int32).view(np.uint8).reshape(-1, 4).T).tobytes()
@@ -146,7 +157,7 @@ def _values(blob: bytes) -> np.ndarray:
 
 def _packed(table: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", LEVEL))) as out:
         out.write_batch(table)
     return sink.getvalue().to_pybytes()
 
@@ -155,13 +166,21 @@ def _unpacked(blob: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(blob).read_next_batch()
 
 
+def _ranked(counts: np.ndarray) -> np.ndarray:
+    """Places of words that occur so often: the most frequent first, words as frequent as each other in the order given."""
+    places = np.empty(len(counts), np.int32)
+    places[np.argsort(-counts, kind="stable")] = np.arange(len(counts), dtype=np.int32)
+    return places
+
+
 def _one(array: pa.Array) -> pa.Array:
     """A list of one row that holds the array."""
     return pa.LargeListArray.from_arrays(pa.array([0, len(array)], pa.int64()), array)
 
 
 def chunked(rows: DataFrame, pattern: str) -> DataFrame:
-    """(chunk, words, texts) for each chunk of rows (doc_id, text): its distinct words, and its texts as places in that list."""
+    """(chunk, words, texts) for each chunk of rows (doc_id, text): its distinct words, sorted, with their counts, and its texts as
+    places of words. A word's place follows from the counts, frequent words first, so that most places are small numbers."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = regex.compile(pattern)
@@ -172,13 +191,18 @@ def chunked(rows: DataFrame, pattern: str) -> DataFrame:
                 found = []
                 for text in batch.column(1).slice(a, b - a):
                     found.append(np.fromiter(map(places.__getitem__, split.findall(text.as_py())), np.int32))
-                texts = pa.RecordBatch.from_arrays(
-                    [_one(batch.column(0).slice(a, b - a)), pa.array([_planes(np.array([len(x) for x in found]))]), pa.array([_planes(np.concatenate(found))])], names=["docs", "sizes", "places"]
-                )
+                at = np.concatenate(found)
                 words = pa.array(list(places), pa.string())
-                order = pc.sort_indices(words)  # neighbours have much in common, so they take less room here and in the shuffle
-                words = pa.RecordBatch.from_arrays([_one(words.take(order)), pa.array([_planes(np.asarray(order))])], names=["words", "places"])
+                order = np.asarray(pc.sort_indices(words))  # neighbours have much in common, so they take less room here and in the shuffle
+                counts = np.bincount(at, minlength=len(words))[order]
+                ranks = np.empty(len(words), np.int32)
+                ranks[order] = _ranked(counts)
+                sizes = np.array([len(x) for x in found])
+                texts = pa.RecordBatch.from_arrays([_one(batch.column(0).slice(a, b - a)), pa.array([_planes(sizes)]), pa.array([_planes(ranks[at])])], names=["docs", "sizes", "places"])
+                words = pa.RecordBatch.from_arrays([_one(words.take(pa.array(order))), pa.array([_planes(counts)])], names=["words", "counts"])
                 yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([_packed(words)]), pa.array([_packed(texts)])], names=["chunk", "words", "texts"])
+                del places, found, at, words, order, counts, ranks, sizes, texts
+                _trim()
                 n += 1
                 if not n & (1 << CHUNK_BITS) - 1:
                     raise OverflowError("a partition has too many chunks: read it in smaller ones")
@@ -193,7 +217,7 @@ def distinct_words(chunks: DataFrame) -> DataFrame:
         for batch in batches:
             for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 row = _unpacked(blob.as_py())
-                words, at = row.column(0).flatten(), _values(row.column(1)[0].as_py()) + (np.int64(chunk) << PLACE_BITS)
+                words, at = row.column(0).flatten(), _ranked(_values(row.column(1)[0].as_py())) + (np.int64(chunk) << PLACE_BITS)
                 for i in range(0, len(words), 50_000):
                     yield pa.RecordBatch.from_arrays([words.slice(i, 50_000), pa.array(at[i : i + 50_000])], names=["word", "at"])
 
@@ -268,20 +292,22 @@ def by_chunk(known: DataFrame, path: str) -> DataFrame:
                 held = []
         if sum(len(x[0]) for x in held):
             yield done()
+        held = []
+        _trim()
 
     return known.select("ids", "long", "at").mapInArrow(work, "chunk long, n long, blob binary")
 
 
-def _encoded(texts: pa.Table, known: pa.Table) -> tuple[pa.Array, pa.Array]:
-    """Ids of the texts of one chunk, and their token numbers."""
+def _encoded(texts: pa.Table, known: pa.Table, at_once: int) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Ids of the texts of one chunk, and their token numbers, about at_once words (one text at least) at a time."""
     open_ = zstandard.ZstdDecompressor().decompress
-    size, parts = np.zeros(0, np.int64), []
+    size, parts = np.zeros(0, np.int32), []
     for n, blob in zip(known.column("n").to_pylist(), known.column("blob"), strict=True):
         raw = open_(blob.as_py())
         at, some, ids = np.cumsum(_values(raw[: 4 * n])), _values(raw[4 * n : 8 * n]), _values(raw[8 * n :])
         parts.append((at, some, ids))
     if parts:
-        size = np.full(max(int(at.max()) for at, _, _ in parts) + 1, -1, np.int64)
+        size = np.full(max(int(at.max()) for at, _, _ in parts) + 1, -1, np.int32)
         for at, some, _ in parts:
             size[at] = some
     first, flat, base = np.zeros(len(size), np.int64), np.concatenate([np.zeros(0, np.int32), *(x for _, _, x in parts)]), 0
@@ -291,11 +317,16 @@ def _encoded(texts: pa.Table, known: pa.Table) -> tuple[pa.Array, pa.Array]:
     lengths, places = (_values(row.column(i)[0].as_py()) for i in (1, 2))
     if len(places) and (int(places.max()) >= len(size) or (size < 0).any()):
         raise ValueError("a word of the chunk has no numbers")
-    many = size[places]
-    ends = np.concatenate([[0], np.cumsum(many)])
-    values = flat[np.arange(ends[-1]) + np.repeat(first[places] - ends[:-1], many)]
-    offsets = ends[np.concatenate([[0], np.cumsum(lengths)])]
-    return row.column(0).flatten(), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, pa.int32()))
+    docs, edges, a = row.column(0).flatten(), np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]), 0
+    while a < len(docs):
+        b = max(a + 1, int(np.searchsorted(edges, edges[a] + at_once, "right")) - 1)
+        some = places[edges[a] : edges[b]]
+        many = size[some]
+        ends = np.concatenate([[0], np.cumsum(many, dtype=np.int64)])
+        values = flat[np.arange(ends[-1]) + np.repeat(first[some] - ends[:-1], many)]
+        offsets = ends[edges[a : b + 1] - edges[a]]
+        yield docs.slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, pa.int32()))
+        a = b
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -307,7 +338,8 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     known = by_chunk(in_rows(distinct_words(chunks)).select(folded(F.col("words"), F.col("tail"), path).alias("ids"), "long", "at"), path)
 
     def joined(texts: pa.Table, known: pa.Table) -> pa.Table:
-        return pa.table(_encoded(texts, known), names=["doc_id", "ids"])
+        _trim()
+        return pa.Table.from_batches([pa.RecordBatch.from_arrays(list(x), names=["doc_id", "ids"]) for x in _encoded(texts, known, AT_ONCE)])
 
     return chunks.select("chunk", "texts").groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(joined, f"doc_id {kind}, ids array<int>")
 

@@ -526,6 +526,7 @@ def test_bpe_words_are_distinct_over_all_partitions(spark, monkeypatch):
 
     monkeypatch.setattr(bpe, "CHUNK", 400)
     monkeypatch.setattr(bpe, "LONG", 40)
+    monkeypatch.setattr(bpe, "AT_ONCE", 7)
     rows = [(i, prose(i % 3, 40) + " " + "abc" * 30 + " é" * (i % 4)) for i in range(24)] + [(90, None), (91, ""), (91, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     chunks = bpe.chunked(df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), P.PATTERN)
