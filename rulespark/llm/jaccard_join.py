@@ -262,12 +262,13 @@ def duplicate_components(docs: DataFrame, words: int = WORDS, percent: int = PER
 
 
 def _connected(scratch: Scratch, docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The table of sketches, and (doc_id, n_shingles, component_id, th, s1, s2) for each row of docs."""
-    table = scratch.written(sketches(docs, words, percent))
-    each = table.filter("doc_id IS NOT NULL").select("doc_id", F.explode("keys").alias("key"))
+    """The table of sketches without keys, and (doc_id, n_shingles, component_id, th, s1, s2) for each row of docs."""
+    keyed = scratch.written(sketches(docs, words, percent))
+    each = keyed.filter("doc_id IS NOT NULL").select("doc_id", F.explode("keys").alias("key"))
     leads = scratch.written(each.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).filter("lead <> last").select(F.col("key").alias("k"), "lead"))
     held = scratch.written(each.join(leads, F.col("key") == F.col("k")).filter("doc_id <> lead").select("key", "doc_id", "lead"))
-    scratch.drop(leads)
+    table = scratch.written(keyed.drop("keys"))
+    scratch.drop(leads, keyed)  # keys take as much room as texts
     stars = held.select(F.col("doc_id").alias("a"), F.col("lead").alias("b")).distinct()
     links = scratch.written(linked(stars, docs, words, percent, table))
     for cover in (True, False):
