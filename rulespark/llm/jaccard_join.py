@@ -9,7 +9,8 @@ words, so two sets differ in at most as many words as shingles. Words stand in g
 largest d: by the pigeonhole principle linked sets have a group with at most one word that differs, and the join keys are the
 three pairs of words of each group. Sets enter their own band's scheme, and the band's below if a partner may be there.
 A second sketch of single bits,
-each toggled by shingles, gives a Hamming distance that bounds the symmetric difference from below.
+each toggled by shingles, gives a Hamming distance that bounds the symmetric difference from below. It has BITS bits, doubled until they are twice the set's
+size, so it also tells large sets apart; a longer one folds by XOR onto a shorter one's length.
 
 Keys held by one document only are cut off by an aggregate; of the others every holder meets the least holder (a star, never
 all pairs), which is settled on Hamming distance, then on the sets of the whole texts. Components grow by alternating stars.
@@ -124,22 +125,29 @@ def set_sums(x: np.ndarray) -> tuple[np.uint64, np.uint64]:
     return mix(x ^ U64(0x9E6C63D0876A9A35)).sum(dtype=U64), mix(x ^ U64(0xC2B2AE3D27D4EB4F)).sum(dtype=U64)
 
 
+def bit_sketch(x: np.ndarray) -> np.ndarray:
+    """Words of the parity sketch of a set: the first power of two of bits that is BITS and twice the set's size at least."""
+    n = max(BITS, 1 << (2 * len(x) - 1).bit_length()) // 64 if len(x) else BITS // 64
+    at, words = mix(x ^ U64(0x2545F4914F6CDD1D)), np.zeros(n, U64)
+    np.bitwise_xor.at(words, (at >> U64(6) & U64(n - 1)).astype(np.int64), U64(1) << (at & U64(63)))
+    return words
+
+
 def sketches(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(doc_id, th, n, s1, s2, bits, keys) for each row; th tells texts apart, s1 and s2 sets; bits are BITS / 64 words of the parity sketch."""
+    """(doc_id, th, n, s1, s2, bits, keys) for each row; th tells texts apart, s1 and s2 sets; bits are the words of the parity sketch."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offs in blocks(batch.column(1)):
-                n, keys, bits, sums = [], [], np.zeros((b - a, BITS // 64), U64), np.zeros((2, b - a), U64)
+                n, keys, bits, sums = [], [], [], np.zeros((2, b - a), U64)
                 for row, x in enumerate(shingle_sets(data, offs, words)):
                     n.append(len(x))
                     keys.append(sketch_keys(x, percent) if len(x) else x)
                     sums[:, row] = set_sums(x)
-                    at = mix(x ^ U64(0x2545F4914F6CDD1D))
-                    np.bitwise_xor.at(bits[row], (at >> U64(6) & U64(BITS // 64 - 1)).astype(np.int64), U64(1) << (at & U64(63)))
+                    bits.append(bit_sketch(x))
                 flat = pa.array(to_long(np.concatenate(keys) if keys else np.zeros(0, U64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(n, pa.int64()), *(pa.array(to_long(x)) for x in sums), list_array(np.full(b - a, BITS // 64), pa.array(to_long(bits.ravel()))), list_array(np.array([len(k) for k in keys]), flat)],
+                    [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(n, pa.int64()), *(pa.array(to_long(x)) for x in sums), list_array(np.array([len(w) for w in bits]), pa.array(to_long(np.concatenate(bits) if bits else np.zeros(0, U64)))), list_array(np.array([len(k) for k in keys]), flat)],
                     names=["doc_id", "th", "n", "s1", "s2", "bits", "keys"],
                 )
 
@@ -147,10 +155,18 @@ def sketches(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(work, f"doc_id {kind}, th long, n long, s1 long, s2 long, bits array<long>, keys array<long>")
 
 
+def _folded(p: Column, n: Column) -> Column:
+    """The sketch p on n words, of which it has a multiple."""
+    parts = F.sequence(F.lit(1), (F.size(p) / n).cast("int") - 1)
+    return F.when(F.size(p) > n, F.aggregate(parts, F.slice(p, F.lit(1), n), lambda s, k: F.zip_with(s, F.slice(p, k * n + 1, n), lambda x, y: x.bitwiseXOR(y)))).otherwise(p)
+
+
 def _near(a: Column, b: Column, p: Column, q: Column, percent: int) -> Column:
     """Sizes and Hamming distance that a linked pair may have."""
-    apart = F.aggregate(F.zip_with(p, q, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (apart * (100 + percent) <= (100 - percent) * (a + b))
+    n = F.least(F.size(p), F.size(q))
+    apart = F.aggregate(F.zip_with(_folded(p, n), _folded(q, n), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    sizes = 100 * F.least(a, b) >= percent * F.greatest(a, b)
+    return F.when(sizes, apart * (100 + percent) <= (100 - percent) * (a + b)).otherwise(False)
 
 
 def _spread(groups: DataFrame, n: int = SPREAD) -> DataFrame:
@@ -317,7 +333,7 @@ def _near_pairs(groups: DataFrame, table: DataFrame, percent: int, cover: bool)
     If cover, those that a star has: the row with most such partners meets them all, pairs among them wait, and so on. So a
     group in which all link gives as many pairs as rows."""
     brief = table.select(F.col("doc_id").alias("_id"), "n", "bits")
-    cells = _blocks(groups.join(brief, F.col("id") == F.col("_id")).drop("_id"), F.lit(0), F.col("id"), NEAR_CELL)
+    cells = _blocks(groups.join(brief, F.col("id") == F.col("_id")).drop("_id"), F.size("bits"), F.col("id"), NEAR_CELL)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, held = None, []
@@ -328,15 +344,21 @@ def _near_pairs(groups: DataFrame, table: DataFrame, percent: int, cover: bool)
             rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             block, n = (np.asarray(rows.column(c)) for c in ("block", "n"))
             part = np.asarray(pc.dictionary_encode(rows.column("part")).indices)
-            bits = np.asarray(rows.column("bits").flatten()).view(U64).reshape(len(n), -1)
+            flat, ends = np.asarray(rows.column("bits").flatten()).view(U64), np.asarray(rows.column("bits").offsets)
+            ends = ends - ends[0]
+            long = np.diff(ends)
             ok = np.zeros((len(n), len(n)), bool)
-            for at in range(0, len(n), 32):
-                some = slice(at, at + 32)
-                apart = np.bitwise_count(bits[some, None] ^ bits[None, at:]).sum(2, dtype=np.int64)
-                m, k = n[some, None], n[None, at:]
-                good = (100 * np.minimum(m, k) >= percent * np.maximum(m, k)) & ((100 + percent) * apart <= (100 - percent) * (m + k)) & (part[some, None] != part[None, at:])
-                # a cell of two blocks has the pairs across them; those within are another cell's
-                ok[some, at:] = good & ((block[some, None] != block[None, at:]) | (cell[1] == cell[2]))
+            for words in np.unique(long).tolist():  # rows of so many words with those of as many or more
+                mine, all_ = np.flatnonzero(long == words), np.flatnonzero(long >= words)
+                bits = np.stack([np.bitwise_xor.reduce(flat[ends[r] : ends[r + 1]].reshape(-1, words)) for r in all_])
+                step = max(1, 32 * BITS // 64 // words)
+                for at in range(0, len(mine), step):
+                    some = mine[at : at + step]
+                    apart = np.bitwise_count(bits[np.searchsorted(all_, some), None] ^ bits[None]).sum(2, dtype=np.int64)
+                    m, k = n[some, None], n[None, all_]
+                    good = (100 * np.minimum(m, k) >= percent * np.maximum(m, k)) & ((100 + percent) * apart <= (100 - percent) * (m + k)) & (part[some, None] != part[None, all_])
+                    # a cell of two blocks has the pairs across them; those within are another cell's
+                    ok[np.ix_(some, all_)] = good & ((block[some, None] != block[None, all_]) | (cell[1] == cell[2]))
             ok |= ok.T
             if cover:
                 found = []

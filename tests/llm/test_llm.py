@@ -428,6 +428,29 @@ def test_jaccard_large_group_below_the_threshold(spark, monkeypatch):
     assert rows_of(jaccard_join.duplicate_components(df)) == want
 
 
+def test_jaccard_sketches_of_several_lengths(spark, monkeypatch):
+    """Sets on both sides of a size at which the bit sketch doubles: it folds, bounds the difference from below, and no link is lost."""
+    rng = np.random.default_rng(21)
+    for n in (900, 1024, 1025, 1200, 5000):
+        x = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+        y = np.unique(np.concatenate([x[40:], rng.integers(0, 1 << 62, 50).astype(np.uint64)]))
+        a, b = jaccard_join.bit_sketch(x), jaccard_join.bit_sketch(y)
+        assert len(a) * 64 >= 2 * len(x) and len(a) in (len(b) // 2, len(b), 2 * len(b))
+        a, b = (np.bitwise_xor.reduce(w.reshape(-1, min(len(a), len(b)))) for w in (a, b))
+        assert 0 < int(np.bitwise_count(a ^ b).sum()) <= len(np.setxor1d(x, y))
+    long = spark.createDataFrame([([1, 2, 4, 8, 16, 32, 64, 128], 2)], "p array<long>, n int")
+    assert long.select(jaccard_join._folded(F.col("p"), F.col("n")), jaccard_join._folded(F.col("p"), F.lit(8))).first()[:] == ([85, 170], [1, 2, 4, 8, 16, 32, 64, 128])
+    monkeypatch.setattr(jaccard_join, "NEAR_CELL", 8)
+    base, rows = prose(82, 1060).split(), []
+    for i in range(24):
+        at = set(rng.choice(len(base), 9 + 2 * (i % 4), replace=False).tolist())
+        words = [f"e{i}x{k}" if k in at else w for k, w in enumerate(base)]
+        rows.append((i, " ".join(words[: 1010 + 2 * i])))
+    want = brute_components(rows)
+    assert 1 < len({c for _, _, c in want}) < len(rows)
+    assert rows_of(jaccard_join.duplicate_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))) == want
+
+
 def test_pipeline_null_and_repeated_ids(spark, tmp_path):
     import corpus_pipeline
 
