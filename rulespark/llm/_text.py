@@ -6,6 +6,7 @@ texts at once. Blocks hold about BLOCK bytes (one text more at most), which boun
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,6 +29,14 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
+def trim() -> None:
+    """Gives free memory back to the system: Python workers live on between stages, and several share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if release is not None:
+        release(0)
+
+
 def blocks(column: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row exclusive, bytes, offsets from 0) of whole texts; a null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -46,6 +55,8 @@ def blocks(column: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, int, np.
         to = max(at + 1, int(np.searchsorted(offs, offs[at] + limit, "right")) - 1)
         yield at, to, data[offs[at] : offs[to]], offs[at : to + 1] - offs[at]
         at = to
+    if offs[-1] - offs[0] > limit:
+        trim()
 
 
 def spans(solid: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -15,7 +15,6 @@ Defined cases: null and empty texts have no tokens; repeated rows each give a ro
 from __future__ import annotations
 
 import base64
-import ctypes
 import heapq
 import json
 from collections import defaultdict
@@ -33,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._spark import Scratch
-from ._text import blocks, read
+from ._text import blocks, read, trim
 
 CHUNK, PLAN_TEXT = 16 << 20, 1 << 16
 #: A place in a chunk's list (a chunk has no more words than bytes, but for one text longer than CHUNK: 2 ** 31 at most), chunks in a partition.
@@ -138,14 +137,6 @@ def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in start if not gone[i]]
 
 
-def _trim() -> None:
-    """Gives free memory back to the system: Python workers live on between stages, and several share an executor's memory."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
-    if trim is not None:
-        trim(0)
-
-
 def _planes(x: np.ndarray) -> bytes:
     """int32 values with their lowest bytes first, then the next ones: far smaller when compressed."""
     return np.ascontiguousarray(x.astype(np.int32).view(np.uint8).reshape(-1, 4).T).tobytes()
@@ -202,7 +193,7 @@ def chunked(rows: DataFrame, pattern: str) -> DataFrame:
                 words = pa.RecordBatch.from_arrays([_one(words.take(pa.array(order))), pa.array([_planes(counts)])], names=["words", "counts"])
                 yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([_packed(words)]), pa.array([_packed(texts)])], names=["chunk", "words", "texts"])
                 del places, found, at, words, order, counts, ranks, sizes, texts
-                _trim()
+                trim()
                 n += 1
                 if not n & (1 << CHUNK_BITS) - 1:
                     raise OverflowError("a partition has too many chunks: read it in smaller ones")
@@ -293,7 +284,7 @@ def by_chunk(known: DataFrame, path: str) -> DataFrame:
         if sum(len(x[0]) for x in held):
             yield done()
         held = []
-        _trim()
+        trim()
 
     return known.select("ids", "long", "at").mapInArrow(work, "chunk long, n long, blob binary")
 
@@ -338,7 +329,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     known = by_chunk(in_rows(distinct_words(chunks)).select(folded(F.col("words"), F.col("tail"), path).alias("ids"), "long", "at"), path)
 
     def joined(texts: pa.Table, known: pa.Table) -> pa.Table:
-        _trim()
+        trim()
         return pa.Table.from_batches([pa.RecordBatch.from_arrays(list(x), names=["doc_id", "ids"]) for x in _encoded(texts, known, AT_ONCE)])
 
     return chunks.select("chunk", "texts").groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(joined, f"doc_id {kind}, ids array<int>")
