@@ -4,7 +4,8 @@ Only DataFrame functions. A line's key is the line without ASCII white space at
 `min_chars` code points or more stand as two 64-bit hashes (the second with its salt first, as Spark chains columns), so texts never move for the comparison.
 
 Two passes keep a hot line from landing in one task. The first deals (key, salt of the document) out by range, sorted by
-document and position, and streams each group's first document: what isn't first there is dropped for good. The second
+document and position, and streams each group's first document: what isn't first there is dropped for good. Hashes are uniform, so
+the ranges are equal ones of all 64-bit values; none are sampled, which would split and hash every text once more. The second
 deals the rest out by key alone, of which a key has the lines of one document for each salt; what the first pass
 dropped is scattered. Dropped positions become, per document, a keep bitmap as runs (start, length) of kept lines.
 
@@ -33,9 +34,11 @@ def _key(line: Column) -> Column:
     return F.translate(F.regexp_replace(line, ENDS, ""), UPPER, LOW)
 
 
-def _spread(df: DataFrame, cols: list[str]) -> DataFrame:
+def _spread(df: DataFrame, value: Column) -> DataFrame:
+    """df with part, the equal range of all longs that the value, a hash, lies in; dealt out by it."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(n, *cols)
+    part = F.shiftright((F.shiftright(value, 32) + F.lit(1 << 31)) * F.lit(n), 32).cast("int")
+    return df.withColumn("part", part).repartitionById(n, "part")
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -53,11 +56,11 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         stream = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return ~F.col("doc_id").eqNullSafe(F.first("doc_id").over(stream))
 
-    one = _spread(keyed, ["h1", "h2", "salt"]).withColumn("out", later("h1", "h2", "salt"))
+    one = _spread(keyed, F.xxhash64("h1", "salt")).withColumn("out", later("part", "h1", "h2", "salt"))
     two = one.select(
         F.when(F.col("out"), F.xxhash64("doc_id", "th", "pos")).otherwise(F.col("h1")).alias("h1"), "h2", "out", "doc_id", "th", "n_lines", "pos"
     )
-    return _spread(two, ["h1", "h2", "out"]).withColumn("late", later("h1", "h2", "out")).filter(F.col("out") | F.col("late")).select("doc_id", "th", "n_lines", "pos")
+    return _spread(two, F.col("h1")).withColumn("late", later("part", "h1", "h2", "out")).filter(F.col("out") | F.col("late")).select("doc_id", "th", "n_lines", "pos")
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:

@@ -576,3 +576,23 @@ def test_quality_verdicts_do_not_depend_on_how_many_strata_there_are(spark, monk
         monkeypatch.setattr(quality_rules, "MAX_STRATA", most)
         assert {(r["doc_id"], r["kept"]) for r in quality_rules.judged(docs, labels).collect()} == want
         assert {r["doc_id"] for r in quality_rules.kept_rows(docs, labels).collect()} == {i for i, kept in want if kept}
+
+
+def test_line_dedup_reads_texts_once_for_its_lines(spark):
+    """Ranges of hashes are fixed, not sampled by splitting and hashing every text once more; rows are spread over all of them, a hot line's too."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def noted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = [(i, "\n".join([LINE, *(prose(10 * i + k, 5) for k in range(5))])) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    gone = line_dedup.dropped_lines(docs.mapInArrow(noted, docs.schema))
+    assert sorted(tuple(r) for r in gone.select("doc_id", "pos").collect()) == [(i, 0) for i in range(1, 300)]
+    assert seen.value == 300
+    least = spark.createDataFrame([(x,) for x in (-(2**63), -1, 0, 2**63 - 1)], "h long")
+    assert [r["part"] for r in line_dedup._spread(least, F.col("h")).orderBy("h").collect()] == [0, 1, 2, 3]
+    parts = [len(p) for p in line_dedup._spread(spark.range(4000), F.xxhash64("id")).rdd.glom().collect()]
+    assert len(parts) == 4 and min(parts) > 800
