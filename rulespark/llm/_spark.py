@@ -47,10 +47,10 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.top, self.n = spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}", 0
 
-    def written(self, df: DataFrame) -> DataFrame:
+    def written(self, df: DataFrame, **options) -> DataFrame:
         self.n += 1
         with shuffles_removed(self.spark):
-            df.write.option("compression", "zstd").parquet(at := f"{self.top}/{self.n}")
+            df.write.options(compression="zstd", **options).parquet(at := f"{self.top}/{self.n}")
         out = self.spark.read.schema(df.schema).parquet(at)
         out._at = at
         return out

@@ -6,7 +6,8 @@ partitions, so a word is folded once, however many chunks have it (once for ever
 list of the chunks that have a common word). The fold is a Spark expression: a word's bytes become token numbers, and `aggregate` merges, again and
 again, the adjacent pair of the least rank, which it finds in a literal map of pairs to ranks (from the rank file, so its size doesn't
 grow with the texts). Words of more than LONG bytes, for which a fold is too slow, are merged in the same order by a heap. Numbers go back to the chunks as places and numbers, without the words; the texts stay where their buckets are.
-Decoding puts the pieces of the numbers, from a literal table, one after another.
+Decoding puts the pieces of the numbers, from a literal table, one after another; `encode` does so on request in the same pass.
+Folded words are written before they go back, so every task has one Python worker: several of them beside a full heap are what an executor's memory is short of.
 
 Chunks are numbered once, when they are written; a word that has no numbers when texts and words meet fails the task.
 Defined cases: null and empty texts have no tokens; repeated rows each give a row; other columns are ignored.
@@ -42,6 +43,8 @@ PLACE = (1 << PLACE_BITS) - 1
 HELD, AT_ONCE = 1 << 18, 1 << 18
 #: zstandard's level for the table of chunks, which is what takes most room.
 LEVEL = 9
+#: Row groups of folded words: Spark's reader holds a whole one.
+GROUPS = {"parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 1}
 #: Words that are folded in one row; the fold is quadratic in a word's length, so longer ones than LONG bytes are merged by a heap.
 MANY, LONG = 1 << 15, 1024
 #: Bits of a number and of a rank, so vocabularies have fewer than NONE pieces; a word's place takes what is left.
@@ -305,10 +308,11 @@ def _encoded(texts: pa.Table, known: pa.Table, at_once: int) -> Iterator[tuple[p
     for at, some, ids in parts:
         first[at], base = base + np.cumsum(some) - some, base + len(ids)
     row = _unpacked(texts.column("texts")[0].as_py())
-    lengths, places = (_values(row.column(i)[0].as_py()) for i in (1, 2))
+    docs, (lengths, places) = row.column(0).flatten(), (_values(row.column(i)[0].as_buffer()) for i in (1, 2))
+    del row
     if len(places) and (int(places.max()) >= len(size) or (size < 0).any()):
         raise ValueError("a word of the chunk has no numbers")
-    docs, edges, a = row.column(0).flatten(), np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]), 0
+    edges, a = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]), 0
     while a < len(docs):
         b = max(a + 1, int(np.searchsorted(edges, edges[a] + at_once, "right")) - 1)
         some = places[edges[a] : edges[b]]
@@ -320,39 +324,52 @@ def _encoded(texts: pa.Table, known: pa.Table, at_once: int) -> Iterator[tuple[p
         a = b
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, ids) for each row; path: a file of ranks in base64."""
+def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False) -> DataFrame:
+    """(doc_id, ids) for each row, if asked for with decoded as of `decode`; path: a file of ranks in base64."""
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     if spark.conf.get("spark.sql.maxPlanStringLength").startswith("214748"):  # the default; plans as text would hold the rank map many times over
         spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_TEXT))
-    chunks = Scratch(spark).bucketed(chunked(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), pattern), "chunk")
-    known = by_chunk(in_rows(distinct_words(chunks)).select(folded(F.col("words"), F.col("tail"), path).alias("ids"), "long", "at"), path)
+    scratch = Scratch(spark)
+    chunks = scratch.bucketed(chunked(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), pattern), "chunk")
+    words = scratch.written(in_rows(distinct_words(chunks)).select(folded(F.col("words"), F.col("tail"), path).alias("ids"), "long", "at"), **GROUPS)
+    known, pieces = by_chunk(words, path), _shared_pieces(spark, path) if decoded else None
 
     def joined(texts: pa.Table, known: pa.Table) -> pa.Table:
         trim()
-        return pa.Table.from_batches([pa.RecordBatch.from_arrays(list(x), names=["doc_id", "ids"]) for x in _encoded(texts, known, AT_ONCE)])
+        table = pa.array(pieces.value, pa.binary()) if decoded else None
+        return pa.Table.from_batches(
+            [pa.RecordBatch.from_arrays([*x, *([_pieces_of(x[1], table)] if decoded else [])], names=["doc_id", "ids", "decoded"][: 2 + decoded]) for x in _encoded(texts, known, AT_ONCE)]
+        )
 
-    return chunks.select("chunk", "texts").groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(joined, f"doc_id {kind}, ids array<int>")
+    return chunks.select("chunk", "texts").groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(joined, f"doc_id {kind}, ids array<int>" + ", decoded binary" * decoded)
 
 
-def decode(tokens: DataFrame, path: str) -> DataFrame:
-    """tokens with decoded (binary), the pieces of ids one after another."""
+def _shared_pieces(spark: SparkSession, path: str):
+    """A broadcast list of the piece of each number."""
     ranks = ranks_of(path)
     pieces = [b""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
         pieces[rank] = piece
-    shared = tokens.sparkSession.sparkContext.broadcast(pieces)
+    return spark.sparkContext.broadcast(pieces)
+
+
+def _pieces_of(ids: pa.ListArray, table: pa.Array) -> pa.Array:
+    """The pieces of each row's numbers, one after another."""
+    some = pc.take(table, ids.flatten())
+    ends = np.frombuffer(some.buffers()[1], np.int32)[some.offset : some.offset + len(some) + 1]
+    offs = np.asarray(ids.offsets)
+    return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(np.ascontiguousarray(ends[offs - offs[0]])), some.buffers()[2]])
+
+
+def decode(tokens: DataFrame, path: str) -> DataFrame:
+    """tokens with decoded (binary), the pieces of ids one after another."""
+    shared = _shared_pieces(tokens.sparkSession, path)
     at = tokens.columns.index("ids")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.array(shared.value, pa.binary())
         for batch in batches:
-            ids = batch.column(at)
-            some = pc.take(table, ids.flatten())
-            ends = np.frombuffer(some.buffers()[1], np.int32)[some.offset : some.offset + len(some) + 1]
-            offs = np.asarray(ids.offsets)
-            whole = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(np.ascontiguousarray(ends[offs - offs[0]])), some.buffers()[2]])
-            yield pa.RecordBatch.from_arrays([*batch.columns, whole], names=[*batch.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _pieces_of(batch.column(at), table)], names=[*batch.schema.names, "decoded"])
 
     return tokens.mapInArrow(work, ", ".join([*(f"`{c}` {k}" for c, k in tokens.dtypes), "decoded binary"]))
 
@@ -361,7 +378,7 @@ def digests(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    out = decode(encode(docs, path, public_tokenizers.PATTERN), path)
+    out = encode(docs, path, public_tokenizers.PATTERN, decoded=True)
     return out.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )

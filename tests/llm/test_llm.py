@@ -596,3 +596,21 @@ def test_line_dedup_reads_texts_once_for_its_lines(spark):
     assert [r["part"] for r in line_dedup._spread(least, F.col("h")).orderBy("h").collect()] == [0, 1, 2, 3]
     parts = [len(p) for p in line_dedup._spread(spark.range(4000), F.xxhash64("id")).rdd.glom().collect()]
     assert len(parts) == 4 and min(parts) > 800
+
+
+def test_bpe_tasks_have_one_python_worker(spark, docs, monkeypatch):
+    """No stage holds two Python workers in a task; decoding with the encoding gives what `decode` gives."""
+    import public_tokenizers as P
+
+    path, plans, written = P.path("byte_bpe_50k.tiktoken"), [], bpe.Scratch.written
+
+    def noted(self, df, **options):
+        plans.append(df)
+        return written(self, df, **options)
+
+    monkeypatch.setattr(bpe.Scratch, "written", noted)
+    got = bpe.encode(docs, path, P.PATTERN, decoded=True)
+    for df in [*plans, bpe.digests(docs)]:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert all(len(re.findall(r"MapInArrow|CoGroupsInArrow", stage)) <= 1 for stage in plan.split("Exchange"))
+    assert rows_of(got) == rows_of(bpe.decode(got.drop("decoded"), path)) and got.count() == docs.count()
