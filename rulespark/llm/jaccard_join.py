@@ -292,9 +292,9 @@ def _connected(scratch: Scratch, docs: DataFrame, words: int, percent: int) -> t
         groups = scratch.written(_unsettled(held, parts))
         if groups.isEmpty():
             break
-        more = linked(_near_pairs(groups, table, percent, cover), docs, words, percent)
-        old, links = links, scratch.written(links.union(more))
-        scratch.drop(old, groups)
+        pairs = scratch.written(_near_pairs(groups, table, percent, cover))  # so cells are gone before texts are shuffled
+        old, links = links, scratch.written(links.union(linked(pairs, docs, words, percent)))
+        scratch.drop(old, groups, pairs)
     else:
         parts = components(scratch, links)
     scratch.drop(held)

@@ -614,3 +614,18 @@ def test_bpe_tasks_have_one_python_worker(spark, docs, monkeypatch):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert all(len(re.findall(r"MapInArrow|CoGroupsInArrow", stage)) <= 1 for stage in plan.split("Exchange"))
     assert rows_of(got) == rows_of(bpe.decode(got.drop("decoded"), path)) and got.count() == docs.count()
+
+
+def test_jaccard_pairs_are_written_before_texts_are_joined(spark, monkeypatch):
+    """What the cells of sketches give is a table when texts are joined with it, so cells and texts aren't shuffled in one job."""
+    rng, words, plans, linked = np.random.default_rng(8), prose(81, 200).split(), [], jaccard_join.linked
+    rows = [(i, " ".join("e" + str(rng.integers(0, 10**6)) if rng.random() < 0.02 else w for w in words)) for i in range(60)]
+
+    def noted(pairs, *rest):
+        plans.append(pairs._jdf.queryExecution().analyzed().toString())
+        return linked(pairs, *rest)
+
+    monkeypatch.setattr(jaccard_join, "linked", noted)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert jaccard_join.duplicate_components(df).count() == len(rows)
+    assert len(plans) > 1 and not any("InArrow" in p for p in plans)
