@@ -4,8 +4,9 @@ Texts are cut into chunks of about CHUNK bytes, each split once into words (matc
 bucketed by chunk, as its list of distinct words and its texts as places in that list. The lists are gathered by word over all
 partitions, so a word is folded once, however many chunks have it (once for every 2 ** FAR_BITS partitions: that bounds the
 list of the chunks that have a common word). The fold is a Spark expression: a word's bytes become token numbers, and `aggregate` merges, again and
-again, the adjacent pair of the least rank, which it finds in a literal map of pairs to ranks (from the rank file, so its size doesn't
-grow with the texts). Words of more than LONG bytes, for which a fold is too slow, are merged in the same order by a heap. Numbers go back to the chunks as places and numbers, without the words; the texts stay where their buckets are.
+again, the adjacent pair of the least rank, which it finds in a map of pairs to ranks (from the rank file, so its size doesn't
+grow with the texts). The map comes as JSON beside each row of words, from a broadcast: as a literal it would be in every form and text of the plan, which
+the driver makes and keeps. Words of more than LONG bytes, for which a fold is too slow, are merged in the same order by a heap. Numbers go back to the chunks as places and numbers, without the words; the texts stay where their buckets are.
 Decoding puts the pieces of the numbers, from a literal table, one after another; `encode` does so on request in the same pass.
 Folded words are written before they go back, so every task has one Python worker: several of them beside a full heap are what an executor's memory is short of.
 
@@ -75,13 +76,12 @@ def _literal(path: str) -> str:
     return json.dumps({"k": keys, "v": values, "s": [ranks[bytes([i])] for i in range(256)]}, separators=(",", ":"))
 
 
-def folded(words: Column, tail: Column, path: str) -> Column:
-    """The token numbers of each of the words (arrays of bytes): array<array<int>>.
+def folded(words: Column, ranks: Column) -> Column:
+    """The token numbers of each of the words (arrays of bytes): array<array<int>>; ranks: the JSON of `_literal`.
 
     A word's state is an array of longs, one for each piece: the rank of its pair with the next piece, its place and its number. The least
-    one is the pair of the least rank, the leftmost if there are several. The map is parsed once for an array of words;
-    tail, an empty text, keeps it from being a part of every task as an object."""
-    table = F.from_json(F.concat(F.lit(_literal(path)), tail), "k array<array<int>>, v array<array<int>>, s array<int>")
+    one is the pair of the least rank, the leftmost if there are several. The map is parsed once for an array of words."""
+    table = F.from_json(ranks, "k array<array<int>>, v array<array<int>>, s array<int>")
 
     def bind(value: Column, body) -> Column:
         return F.element_at(F.transform(F.array(value), body), 1)
@@ -222,8 +222,9 @@ def distinct_words(chunks: DataFrame) -> DataFrame:
     return dealt.groupBy("word", "far").agg(F.collect_list("at").alias("at"))
 
 
-def in_rows(words: DataFrame) -> DataFrame:
-    """(words, long, at, tail): up to MANY of the distinct words in a row, as bytes; those of over LONG bytes in `long`, where others are null."""
+def in_rows(words: DataFrame, path: str) -> DataFrame:
+    """(words, long, at, ranks): up to MANY of the distinct words in a row, as bytes; those of over LONG bytes in `long`, where others are null; ranks: the JSON of `_literal`."""
+    ranks = words.sparkSession.sparkContext.broadcast(_literal(path))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def row(held: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -236,7 +237,7 @@ def in_rows(words: DataFrame) -> DataFrame:
             bytes_ = pa.ListArray.from_arrays(pa.array(offsets - offsets[0]), pa.array(data.astype(np.int16)))
             only = pc.if_else(long, word, pa.scalar(None, pa.binary()))
             whole = [pa.ListArray.from_arrays(pa.array([0, len(word)], pa.int32()), x) for x in (bytes_, only, table.column(1))]
-            return pa.RecordBatch.from_arrays([*whole, pa.array([""])], names=["words", "long", "at", "tail"])
+            return pa.RecordBatch.from_arrays([*whole, pa.array([ranks.value])], names=["words", "long", "at", "ranks"])
 
         held, n = [], 0
         for batch in batches:
@@ -247,7 +248,7 @@ def in_rows(words: DataFrame) -> DataFrame:
         if n:
             yield row(held)
 
-    return words.select(F.encode("word", "UTF-8").alias("word"), "at").mapInArrow(work, "words array<array<smallint>>, long array<binary>, at array<array<long>>, tail string")
+    return words.select(F.encode("word", "UTF-8").alias("word"), "at").mapInArrow(work, "words array<array<smallint>>, long array<binary>, at array<array<long>>, ranks string")
 
 
 def by_chunk(known: DataFrame, path: str) -> DataFrame:
@@ -327,11 +328,11 @@ def _encoded(texts: pa.Table, known: pa.Table, at_once: int) -> Iterator[tuple[p
 def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False) -> DataFrame:
     """(doc_id, ids) for each row, if asked for with decoded as of `decode`; path: a file of ranks in base64."""
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
-    if spark.conf.get("spark.sql.maxPlanStringLength").startswith("214748"):  # the default; plans as text would hold the rank map many times over
+    if spark.conf.get("spark.sql.maxPlanStringLength").startswith("214748"):  # the default; the driver keeps a text of every plan
         spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_TEXT))
     scratch = Scratch(spark)
     chunks = scratch.bucketed(chunked(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), pattern), "chunk")
-    words = scratch.written(in_rows(distinct_words(chunks)).select(folded(F.col("words"), F.col("tail"), path).alias("ids"), "long", "at"), **GROUPS)
+    words = scratch.written(in_rows(distinct_words(chunks), path).select(folded(F.col("words"), F.col("ranks")).alias("ids"), "long", "at"), **GROUPS)
     known, pieces = by_chunk(words, path), _shared_pieces(spark, path) if decoded else None
 
     def joined(texts: pa.Table, known: pa.Table) -> pa.Table:

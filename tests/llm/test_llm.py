@@ -616,6 +616,21 @@ def test_bpe_tasks_have_one_python_worker(spark, docs, monkeypatch):
     assert rows_of(got) == rows_of(bpe.decode(got.drop("decoded"), path)) and got.count() == docs.count()
 
 
+def test_bpe_plans_hold_no_rank_map(spark, docs, monkeypatch):
+    """The rank map, 1.5 MB of JSON, reaches the fold beside the words: the driver makes and keeps no plan with it."""
+    import public_tokenizers as P
+
+    path, plans, written = P.path("byte_bpe_50k.tiktoken"), [], bpe.Scratch.written
+
+    def noted(self, df, **options):
+        plans.append(df._jdf.queryExecution().analyzed().toString())
+        return written(self, df, **options)
+
+    monkeypatch.setattr(bpe.Scratch, "written", noted)
+    bpe.encode(docs, path, P.PATTERN)
+    assert any("from_json" in p for p in plans) and not any(bpe._literal(path)[:40] in p for p in plans)
+
+
 def test_jaccard_pairs_are_written_before_texts_are_joined(spark, monkeypatch):
     """What the cells of sketches give is a table when texts are joined with it, so cells and texts aren't shuffled in one job."""
     rng, words, plans, linked = np.random.default_rng(8), prose(81, 200).split(), [], jaccard_join.linked
