@@ -339,7 +339,7 @@ def _near_pairs(groups: DataFrame, table: DataFrame, percent: int, cover: bool)
         cell, held = None, []
 
         def done() -> Iterator[pa.RecordBatch]:
-            if len(held) < 2:
+            if sum(b.num_rows for b in held) < 2:  # slices of batches, not rows
                 return
             rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             block, n = (np.asarray(rows.column(c)) for c in ("block", "n"))
