@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import bpe, compression_quality, decontaminate, jaccard_join, license_scan, line_dedup, quality_rules, secret_scan, substring_dedup, toxicity
+from . import bpe, compression_quality, decontaminate, divergence, html_extract, jaccard_join, license_scan, line_dedup, quality_rules, secret_scan, spelling, substring_dedup, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -13,9 +13,14 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_mincut_text": html_extract.op11_mincut_text,
+    "op12_spelling_variants": spelling.op12_spelling_variants,
+    "op13_source_divergence": divergence.op13_source_divergence,
 }
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
     "op9_jaccard_join": jaccard_join.ORACLE,
+    "op12_spelling_variants": spelling.ORACLE,
+    "op13_source_divergence": divergence.ORACLE,
 }
