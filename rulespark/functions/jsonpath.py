@@ -1,9 +1,9 @@
 """JSON paths: selectors, filters and the value functions after `::`.
 
 A path is a chain of selectors, each from nodes to nodes. Paths of single fields and positions compile to one variant lookup (`column`); lists of
-fields and positions, slices and filters compile to higher-order functions on arrays of variants (`columns`). A VARIANT sorts an
-object's keys, so filters give an object's values by key there; wildcards and recursive descent, and any path that must keep the
-document's order of keys, run on the parsed tree in Arrow batches (`find`).
+fields and positions, slices, wildcards, filters and recursive descent compile to higher-order functions on arrays of variants (`columns`). A
+VARIANT sorts an object's keys, so an object's values come by key there; a path that must keep the document's order of keys runs on
+the parsed tree in Arrow batches (`find`).
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .cursor import Cursor, RuleError
 from .jsonvalue import MISSING, Obj, is_number, to_double, to_long
-from .predicate import is_fraction, is_text, is_whole, sure
+from .predicate import FRACTION, WHOLE, double_of, kind_of, long_of, sure, text_of
 from .relation import variant_path
 
 NAME = r"[^*.\[\]()=!<>:\"'\s]+"
@@ -374,40 +374,98 @@ def column(path: Path, v: Column, root: Column | None = None) -> Column | None:
     return F.try_variant_get(source, "$" + "".join(route), "variant") if route else source
 
 
-def columns(path: Path, v: Column, root: Column | None = None) -> Column | None:
-    """All nodes of a path, as ARRAY<VARIANT>, if it has no wildcard or recursive descent; else None. Filters give an object's values by key."""
+def columns(path: Path, v: Column, root: Column | None = None) -> Column:
+    """All nodes of a path, as ARRAY<VARIANT>. Objects give their values by key."""
     root = v if root is None else root
     nodes = F.array(root if path.root else v)
-    for step in path.steps:
-        one = _step_column(step, root)
-        if one is None:
-            return None
-        nodes = F.flatten(F.transform(nodes, one))
+    route: list[str] = []  # single fields so far, one lookup
+    for step in (*path.steps, None):
+        if isinstance(step, Names) and len(step.names) == 1:
+            route.append(step.names[0])
+            continue
+        if route:
+            nodes = F.array_compact(F.transform(nodes, _at(variant_path(route))))
+            route = []
+        if step is None:
+            break
+        nodes = F.flatten(F.transform(nodes, _step_column(step, root)))
     return nodes
 
 
+def _at(path: str):
+    return lambda x: F.try_variant_get(x, path, "variant")
+
+
+NONE = "array<variant>"
+
+
 def _items(x: Column) -> Column:
     """The elements of an array; of anything else none."""
-    return F.when(F.schema_of_variant(x).startswith("ARRAY"), F.try_variant_get(x, "$", "array<variant>")).otherwise(F.array().cast("array<variant>"))
+    return F.coalesce(F.try_variant_get(x, "$", NONE), F.array().cast(NONE))
 
 
 def _members(x: Column) -> Column:
     """The elements of an array or the values of an object, these by key."""
-    values = F.map_values(F.try_variant_get(x, "$", "map<string,variant>"))
-    return F.when(F.schema_of_variant(x).startswith("OBJECT"), values).otherwise(_items(x))
+    return F.coalesce(F.try_variant_get(x, "$", NONE), F.map_values(F.try_variant_get(x, "$", "map<string,variant>")), F.array().cast(NONE))
+
+
+BELOW = "array<struct<at:array<int>,name:string,v:variant>>"
+
+
+def _children_column(node: Column) -> Column:
+    """The children (at, name, v) of a node (at, ...): at is the places on the way, name the key in an object."""
+
+    def child(x: Column, i: Column, name: Column) -> Column:
+        return F.struct(F.concat(node["at"], F.array(i)).alias("at"), name.alias("name"), x.alias("v"))
+
+    entries = F.map_entries(F.try_variant_get(node["v"], "$", "map<string,variant>"))
+    return F.coalesce(
+        F.transform(F.try_variant_get(node["v"], "$", NONE), lambda x, i: child(x, i, F.lit(None).cast("string"))),
+        F.transform(entries, lambda e, i: child(e["value"], i, e["key"])),
+        F.array().cast(BELOW),
+    )
+
+
+def _deep_column(x: Column, keep, order) -> Column:
+    """What lies below x and is kept, level by level and then in order; a level less than the text has opening brackets is empty at the latest."""
+    text = F.to_json(x)
+    levels = F.length(text) - F.length(F.translate(text, "[{", ""))
+    start = F.struct(F.array(F.struct(F.array().cast("array<int>").alias("at"), F.lit(None).cast("string").alias("name"), x.alias("v"))).alias("front"), F.array().cast(BELOW).alias("found"))
+
+    def level(state: Column, _: Column) -> Column:
+        def use(front: Column) -> Column:
+            return F.struct(front.alias("front"), F.concat(state["found"], F.filter(front, keep)).alias("found"))
+
+        below = F.flatten(F.transform(state["front"], _children_column))
+        return F.when(F.size(state["front"]) == 0, state).otherwise(F.get(F.transform(F.array(below), use), F.lit(0)))
+
+    found = F.aggregate(F.filter(F.sequence(F.lit(0), levels), lambda i: i > 0), start, level, lambda s: s["found"])
+    ordered = F.array_sort(found, lambda a, b: F.when(order(a) < order(b), -1).when(order(a) > order(b), 1).otherwise(0))
+    return F.transform(ordered, lambda n: n["v"])
+
+
+def _level_order(n: Column) -> Column:
+    """Children of one node stand together, before what is below them."""
+    return F.struct(F.slice(n["at"], F.lit(1), F.size(n["at"]) - 1), n["at"])
 
 
 def _step_column(step, root: Column):
     if isinstance(step, Names):
         return lambda x: F.array_compact(F.array(*[F.try_variant_get(x, variant_path([n]), "variant") for n in step.names]))
+    if isinstance(step, Every):
+        return _members
+    if isinstance(step, Deep):
+        if step.name is None:
+            return lambda x: _deep_column(x, lambda n: F.lit(True), _level_order)
+        return lambda x: _deep_column(x, lambda n: F.coalesce(n["name"] == F.lit(step.name), F.lit(False)), lambda n: n["at"])
     if isinstance(step, Places):
-        return lambda x: F.array_compact(F.array(*[F.try_variant_get(x, f"$[{i}]", "variant") for i in step.at if i >= 0])) if any(i >= 0 for i in step.at) else F.array().cast("array<variant>")
+        return lambda x: F.array_compact(F.array(*[F.try_variant_get(x, f"$[{i}]", "variant") for i in step.at if i >= 0])) if any(i >= 0 for i in step.at) else F.array().cast(NONE)
     if isinstance(step, Slice):
         return lambda x: _sliced(_items(x), step)
-    if isinstance(step, Filter) and not step.deep:
-        made = _test_column(step.test, root)
-        return None if made is None else lambda x: F.filter(_members(x), made)
-    return None
+    made = _test_column(step.test, root)
+    if step.deep:
+        return lambda x: _deep_column(x, lambda n: made(n["v"]), _level_order)
+    return lambda x: F.filter(_members(x), made)
 
 
 def _sliced(items: Column, s: Slice) -> Column:
@@ -421,42 +479,105 @@ def _sliced(items: Column, s: Slice) -> Column:
 def _test_column(t: Test, root: Column):
     if t.sign in ("&&", "||"):
         a, b = _test_column(t.left, root), _test_column(t.right, root)
-        if a is None or b is None:
-            return None
         return (lambda x: a(x) & b(x)) if t.sign == "&&" else (lambda x: a(x) | b(x))
-    sides = [_side(s, root) for s in ((t.left, t.right) if t.sign not in ("exists", "=~") else (t.left,))]
-    if None in sides:
-        return None
     if t.sign == "exists":
-        return lambda x: sides[0](x).isNotNull()
+        return lambda x: _some(t.left, x, root, lambda v: v.isNotNull())
     if t.sign == "=~":
-        return lambda x: sure(F.when(is_text(sides[0](x)), F.try_variant_get(sides[0](x), "$", "string")).rlike(t.right))
-    return lambda x: _compared(sides[0](x), t.sign, sides[1](x))
+        return lambda x: _some(t.left, x, root, lambda v: text_of(v).rlike(t.right))
+    if isinstance(t.right, Literal):
+        return lambda x: _some(t.left, x, root, lambda v: _against(v, t.sign, t.right.value))
+    if isinstance(t.left, Literal):
+        return lambda x: _some(t.right, x, root, lambda v: _compared(_constant(t.left.value), t.sign, v))
+    if _single(t.left) and _single(t.right):
+        return lambda x: sure(_compared(column(t.left, x, root), t.sign, column(t.right, x, root)))
+
+    def of_lists(x: Column) -> Column:
+        pair = F.struct(*[columns(side, x, root).alias(n) for n, side in (("a", t.left), ("b", t.right))])
+        met = lambda s: F.exists(s["a"], lambda a: F.exists(s["b"], lambda b: sure(_compared(a, t.sign, b))))
+        return sure(F.get(F.transform(F.array(pair), lambda s: ((F.size(s["a"]) == 1) | (F.size(s["b"]) == 1)) & met(s)), F.lit(0)))
+
+    return of_lists
+
+
+def _single(path: Path) -> bool:
+    return column(path, F.lit(None)) is not None
 
 
-def _side(side, root: Column):
+def _some(side, x: Column, root: Column, holds_for) -> Column:
+    """Whether a node of a side holds."""
     if isinstance(side, Literal):
-        text = {True: "true", False: "false", None: "null"}.get(side.value) if side.value is None or isinstance(side.value, bool) else None
-        if side.value is MISSING:
-            return lambda x: F.lit(None).cast("variant")
-        return lambda x: F.parse_json(F.lit(text)) if text else F.lit(side.value).cast("variant")
-    if column(side, F.lit(None)) is None:
+        return sure(holds_for(_constant(side.value)))
+    if _single(side):
+        return sure(holds_for(column(side, x, root)))
+    return F.exists(columns(side, x, root), lambda v: sure(holds_for(v)))
+
+
+def _constant(value) -> Column:
+    if value is MISSING:
+        return F.lit(None).cast("variant")
+    if value is None or isinstance(value, bool):
+        return F.parse_json(F.lit({True: "true", False: "false", None: "null"}[value]))
+    return F.lit(value).cast("variant")
+
+
+SIGNS = {"==": lambda x, y: x == y, "!=": lambda x, y: x != y, "<": lambda x, y: x < y, "<=": lambda x, y: x <= y, ">": lambda x, y: x > y, ">=": lambda x, y: x >= y}
+
+
+def _bound(x: Column, use) -> Column:
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
+def _against(a: Column, sign: str, value) -> Column:
+    """A node against a constant, by the node's type; its kind is looked at once."""
+    if isinstance(value, str):
+        whole, double = (long_text(value), double_text_of(value))
+        text = SIGNS[sign](F.try_variant_get(a, "$", "string"), F.lit(value))
+    elif is_number(value):
+        whole, double, text = int(value), float(value), None
+    else:
+        return F.lit(False)
+    kind = kind_of(a)
+
+    def use(k: Column) -> Column:
+        out = F.when(k == "STRING", F.lit(False) if text is None else text)
+        if whole is not None:
+            out = out.when(k.rlike(WHOLE), SIGNS[sign](F.try_variant_get(a, "$", "bigint"), F.lit(whole).cast("bigint")))
+        if double is not None:
+            out = out.when(k.rlike(FRACTION), SIGNS[sign](F.try_variant_get(a, "$", "double"), F.lit(double)))
+        return out
+
+    return _bound(kind, use)
+
+
+def long_text(s: str) -> int | None:
+    try:
+        return to_long(s)
+    except ValueError:
+        return None
+
+
+def double_text_of(s: str) -> float | None:
+    try:
+        return to_double(s)
+    except ValueError:
         return None
-    return lambda x: column(side, x, root)
 
 
 def _compared(a: Column, sign: str, b: Column) -> Column:
-    from .predicate import double_of, long_of, text_of
-
-    op = {"==": lambda x, y: x == y, "!=": lambda x, y: x != y, "<": lambda x, y: x < y, "<=": lambda x, y: x <= y, ">": lambda x, y: x > y, ">=": lambda x, y: x >= y}[sign]
-    b_number = is_whole(b) | is_fraction(b)
-    as_long = F.when(is_text(b), long_of(text_of(b))).when(is_whole(b), F.try_variant_get(b, "$", "bigint")).when(is_fraction(b), F.try_variant_get(b, "$", "double").try_cast("bigint"))
-    as_double = F.when(is_text(b), double_of(text_of(b))).when(b_number, F.try_variant_get(b, "$", "double"))
-    return sure(
-        F.when(is_text(a) & is_text(b), op(text_of(a), text_of(b)))
-        .when(is_whole(a), op(F.try_variant_get(a, "$", "bigint"), as_long))
-        .when(is_fraction(a), op(F.try_variant_get(a, "$", "double"), as_double))
-    )
+    op = SIGNS[sign]
+
+    def use(s: Column) -> Column:
+        a, b, ka, kb = (s[n] for n in ("a", "b", "ka", "kb"))
+        text = F.try_variant_get(b, "$", "string")
+        as_long = F.when(kb == "STRING", long_of(text)).when(kb.rlike(WHOLE), F.try_variant_get(b, "$", "bigint")).when(kb.rlike(FRACTION), F.try_variant_get(b, "$", "double").try_cast("bigint"))
+        as_double = F.when(kb == "STRING", double_of(text)).when(kb.rlike(WHOLE) | kb.rlike(FRACTION), F.try_variant_get(b, "$", "double"))
+        return (
+            F.when((ka == "STRING") & (kb == "STRING"), op(F.try_variant_get(a, "$", "string"), text))
+            .when(ka.rlike(WHOLE), op(F.try_variant_get(a, "$", "bigint"), as_long))
+            .when(ka.rlike(FRACTION), op(F.try_variant_get(a, "$", "double"), as_double))
+        )
+
+    return _bound(F.struct(a.alias("a"), b.alias("b"), kind_of(a).alias("ka"), kind_of(b).alias("kb")), use)
 
 
 __all__ = ["Path", "Function", "parse_path", "parse_with_functions", "find", "column", "columns", "RuleError"]

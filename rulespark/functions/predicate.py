@@ -89,12 +89,16 @@ def is_text(v: Column) -> Column:
     return kind_of(v) == "STRING"
 
 
+#: Names of a VARIANT's number types.
+WHOLE, FRACTION = r"^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL\(\d+,0\))$", r"^(DOUBLE|FLOAT|DECIMAL\(\d+,[1-9]\d*\))$"
+
+
 def is_whole(v: Column) -> Column:
-    return kind_of(v).rlike(r"^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL\(\d+,0\))$")
+    return kind_of(v).rlike(WHOLE)
 
 
 def is_fraction(v: Column) -> Column:
-    return kind_of(v).rlike(r"^(DOUBLE|FLOAT|DECIMAL\(\d+,[1-9]\d*\))$")
+    return kind_of(v).rlike(FRACTION)
 
 
 def text_of(v: Column) -> Column:

@@ -11,8 +11,8 @@ from ..functions.values import compile_chain, run_chain
 from .validator import in_batches
 
 
-def path_nodes(path: str, variant: Column) -> Column | None:
-    """The nodes of a path as ARRAY<VARIANT>, or None if the path needs parsed trees."""
+def path_nodes(path: str, variant: Column) -> Column:
+    """The nodes of a path as ARRAY<VARIANT>."""
     return columns(parse_path(path), variant)
 
 
@@ -22,14 +22,15 @@ def path_value(path: str, variant: Column) -> Column | None:
 
 
 def json_path(df: DataFrame, json_col: str, path: str, out: str = "nodes", keep_order: bool = False) -> DataFrame:
-    """df with the nodes of a path, as an array of JSON texts; bad JSON has none. Paths stay in Columns where they can; keep_order=True
-    runs them on trees, so that what a filter finds in an object keeps the document's order."""
-    compiled = None if keep_order else columns(parse_path(path), F.col("__v"))
-    if compiled is not None:
-        parsed = df.withColumn("__v", F.try_parse_json(F.col(json_col)))
-        texts = F.coalesce(F.transform(compiled, lambda x: F.to_json(x)), F.array().cast("array<string>"))
-        return parsed.withColumn(out, F.when(F.col("__v").isNull(), F.array().cast("array<string>")).otherwise(texts)).drop("__v")
-    return json_path_trees(df, json_col, path, out)
+    """df with the nodes of a path, as an array of JSON texts; bad JSON has none. Paths run in Columns, where an object's values come by
+    key; keep_order=True runs them on trees, in the document's order. Functions after the path run on trees as well."""
+    tree, calls = parse_with_functions(path)
+    if keep_order or calls:
+        return json_path_trees(df, json_col, path, out)
+    parsed = df.withColumn("__v", F.try_parse_json(F.col(json_col)))
+    texts = F.transform(columns(tree, F.col("__v")), lambda x: F.to_json(x))
+    none = F.array().cast("array<string>")
+    return parsed.withColumn(out, F.when(F.col("__v").isNull(), none).otherwise(F.coalesce(texts, none))).drop("__v")
 
 
 def json_path_trees(df: DataFrame, json_col: str, path: str, out: str = "nodes") -> DataFrame:
