@@ -3,14 +3,26 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 
 class RuleError(ValueError):
-    """A rule that can't be compiled; `tree` is what is wrong, as JSON-like data."""
+    """A rule that can't be compiled. tree: what is wrong, as JSON-like data; kind: json (no JSON), node (a part that no rule may have), syntax (a text that
+    can't be parsed), value or object (a value rule or a relation, with all its faults), fields or items (of parts, by name)."""
 
-    def __init__(self, tree):
+    def __init__(self, tree, kind: str = "syntax", parts: list[tuple[str, RuleError]] = ()):
         super().__init__(str(tree))
-        self.tree = tree
+        self.tree, self.kind, self.parts = tree, kind, list(parts)
+
+    def faults(self, path: str = "$") -> Iterator[tuple[str, str, str]]:
+        """All faults as (path, kind, detail), in the rule's order."""
+        if self.parts:
+            for name, e in self.parts:
+                yield from e.faults(path + (name if name == "[]" else f".{name}"))
+        elif isinstance(self.tree, dict):
+            yield from ((path, self.kind, str(x)) for x in self.tree["result"])
+        else:
+            yield path, self.kind, str(self.tree)
 
 
 class Cursor:

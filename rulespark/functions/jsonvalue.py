@@ -56,8 +56,8 @@ def _repaired(v):
 
 
 def dump(v) -> str:
-    if isinstance(v, Obj):
-        return "{" + ",".join(json.dumps(k, ensure_ascii=False) + ":" + dump(x) for k, x in v) + "}"
+    if isinstance(v, (Obj, dict)):
+        return "{" + ",".join(json.dumps(str(k), ensure_ascii=False) + ":" + dump(x) for k, x in (v.items() if isinstance(v, dict) else v)) + "}"
     if isinstance(v, (list, tuple)):
         return "[" + ",".join(map(dump, v)) + "]"
     return double_text(v) if isinstance(v, float) else json.dumps(v, ensure_ascii=False)

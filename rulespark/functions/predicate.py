@@ -224,7 +224,7 @@ class ValueRule:
         self.text, self.documented = text, documented
         self.tree = parse(text)
         if wrong := self._wrong(self.tree):
-            raise RuleError({"type": "Value Syntax error", "value": text, "result": wrong})
+            raise RuleError({"type": "Value Syntax error", "value": text, "result": wrong}, "value")
 
     def _wrong(self, t) -> list[str]:
         if isinstance(t, Both):

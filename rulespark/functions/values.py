@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .cursor import RuleError
 from .jsonpath import Function
 from .jsonvalue import MISSING, double_text, is_number, scalar_text, to_double, to_long, wrapped
-from .predicate import double_of, long_of, units
+from .predicate import double_of, kind_of, long_of, units
 
 BLANKS = "".join(map(chr, range(33)))
 
@@ -181,4 +181,89 @@ COLUMNS: dict[str, Callable[..., Column]] = {
 TAKES = {"abs": "number", "toString": "any", "toStringOr": "any"}
 GIVES = {"abs": "number"} | {n: "number" for n in FUNCTIONS if n.startswith(("toLong", "toDouble"))}
 
-__all__ = ["FUNCTIONS", "ALIASES", "COLUMNS", "TAKES", "GIVES", "compile_chain", "run_chain", "register", "units", "double_text"]
+
+# -- chains as Columns over a VARIANT, with the reasons of failures
+
+
+def shown(v: Column) -> Column:
+    """A node as the text that messages show."""
+    return F.coalesce(F.try_variant_get(v, "$", "string"), F.lit("null"))
+
+
+def _why(name: str, args: tuple, s: Column) -> Column:
+    """Why a function failed on a text."""
+    kind = "long" if "Long" in name else "double"
+    if "Sep" in name:
+        stripped = F.replace(s, F.lit(args[0]), F.lit("")) if args[0] else s
+        return F.when(_sep(s, args[0]).isNull(), F.concat(s, F.lit(f" is not separated by {args[0]}"))).otherwise(F.concat(stripped, F.lit(f" is not {kind}")))
+    if name in ("toLong", "toDouble"):
+        return F.concat(s, F.lit(f" is not {kind}"))
+    return F.concat(F.lit(f"out of range ({args[0]},{args[1]}) :: "), s)
+
+
+def has_columns(calls: tuple[Function, ...]) -> bool:
+    """Whether a chain has a Column form: its functions have, and abs follows a number."""
+    kind = "any"
+    for c in calls:
+        name = ALIASES.get(c.name, c.name)
+        if name not in COLUMNS or (name == "abs" and kind == "any"):
+            return False
+        kind = GIVES.get(name, "text")
+    return True
+
+
+def chain_outcome(calls: tuple[Function, ...], v: Column, before: str, documented: bool = False) -> Column:
+    """A struct of value and error, JSON texts, for the chain over the node v; before: what an error's text begins with."""
+    from .outcome import bound, outcome, quoted
+
+    if not calls:
+        return outcome(F.to_json(v), None)
+
+    def fail(name: str, why: Column) -> Column:
+        return outcome(None, quoted(F.concat(F.lit(f"{before}{name} :: "), why)))
+
+    def step(k: int, x: Column, kind: str) -> Column:
+        """The rest of the chain from x, which is there and of that kind."""
+        if k == len(calls):
+            # A number is its own JSON text; what isn't one (NaN) is a text, as in trees.
+            return outcome(quoted(x) if kind == "text" else x.cast("string"), None)
+        call = calls[k]
+        name = ALIASES.get(call.name, call.name)
+        takes = TAKES.get(name, "text")
+        if takes != "any" and takes != kind:
+            other = _defaulted(call, name, k)
+            return fail(call.name, F.lit("not String" if takes == "text" else "not numeric")) if other is None else other
+        if takes == "any" and kind != "text":
+            return step(k + 1, x.cast("string"), "text")
+        made = _made(name, call.args, x, documented)
+        return bound(made, lambda y: F.when(y.isNull(), fail(call.name, _why(name, call.args, x) if name in FAILS else F.lit(""))).otherwise(step(k + 1, y, GIVES.get(name, "text"))))
+
+    def _defaulted(call: Function, name: str, k: int) -> Column | None:
+        """toLongOr and toDoubleOr give their default for what is no text."""
+        if name not in ("toLongOr", "toDoubleOr"):
+            return None
+        return step(k + 1, F.lit(call.args[0]).cast("bigint" if name == "toLongOr" else "double"), "number")
+
+    first = calls[0]
+    name = ALIASES.get(first.name, first.name)
+    if TAKES.get(name) == "any":
+        plain = F.coalesce(F.when(kind_of(v) == "VOID", F.lit(first.args[0] if first.args else "")), F.try_variant_get(v, "$", "string"))
+        nested = kind_of(v).rlike("^(OBJECT|ARRAY)")
+        other = step(1, F.lit(first.args[0]), "text") if first.args else fail(first.name, F.lit("not a value"))
+        return F.when(nested, other).otherwise(bound(plain, lambda s: step(1, s, "text")))
+    no_text = _defaulted(first, name, 0)
+    return F.when(kind_of(v) == "STRING", bound(F.try_variant_get(v, "$", "string"), lambda s: step(0, s, "text"))).otherwise(fail(first.name, F.lit("not String")) if no_text is None else no_text)
+
+
+#: Functions that fail on some texts.
+FAILS = {"toLong", "toDouble", "toLongSep", "toDoubleSep", "toLongSepOr", "toDoubleSepOr", "subString"}
+
+
+def _made(name: str, args: tuple, x: Column, documented: bool) -> Column:
+    if documented and name in DOCUMENTED:
+        kind, of = ("bigint", long_of) if name == "toLongSepOr" else ("double", double_of)
+        return F.coalesce(of(_sep(x, args[0])), F.lit(args[1]).cast(kind))
+    return COLUMNS[name](x, *args)
+
+
+__all__ = ["FUNCTIONS", "chain_outcome", "has_columns", "shown", "ALIASES", "COLUMNS", "TAKES", "GIVES", "compile_chain", "run_chain", "register", "units", "double_text"]

@@ -4,8 +4,10 @@ A template has a root pair (`[$$]` path and `[$>]` body: an array of one object
 paths (`$...`, with functions), literals, nested objects, merges (`{::}` and `{=>}`) and sub-arrays (`[::]` and `[=>]`). Any failing
 field fails the document, and the failures come back as a tree under the fields' names.
 
-Output keeps the template's order and any JSON shape, so it runs on parsed trees in Arrow batches, without a shuffle; the text
-is parsed once for all fields. `columns` gives flat templates of single paths as Columns instead.
+`transform` compiles the template to one nested Column over a VARIANT (`outcome`): each part is a value or a failure, both JSON texts, and
+failures are gathered upward. The text is parsed once and nothing is shuffled. Within what is copied whole, a VARIANT has an object's keys
+in order of name and numbers without zeros at their ends; `transform_trees` keeps both as they stand, in Arrow batches, and takes templates whose functions
+have no Column form. `columns` gives flat templates of single paths as typed Columns.
 """
 
 from __future__ import annotations
@@ -17,10 +19,11 @@ from pyspark.sql import functions as F
 
 from ..functions import jsonpath
 from ..functions.cursor import RuleError
-from ..functions.jsonpath import Path, column, find
+from ..functions.jsonpath import Path, column, columns, find
 from ..functions.jsonvalue import Obj, dump, parse, scalar_text
+from ..functions.outcome import bound, braces, either, elements, fields, literal, members, outcome, quoted
 from ..functions.predicate import is_text
-from ..functions.values import ALIASES, COLUMNS, GIVES, TAKES, compile_chain, run_chain
+from ..functions.values import ALIASES, COLUMNS, GIVES, TAKES, chain_outcome, compile_chain, has_columns, run_chain, shown
 from .validator import in_batches
 
 # Reserved keys.
@@ -51,6 +54,7 @@ class Value:
     path: Path
     calls: tuple
     chain: list
+    documented: bool = False
 
     def build(self, root, current):
         found = find(self.path, root, current)
@@ -63,6 +67,17 @@ class Value:
         except ValueError as e:
             raise Denied(f"{self.text}: manipulate fail : {e}") from None
 
+    def outcome(self, root: Column, current: Column) -> Column:
+        def use(found: Column) -> Column:
+            all_ = F.concat(F.lit(f"{self.text}: too many("), F.size(found).cast("string"), F.lit(")["), F.array_join(F.transform(found, shown), ","), F.lit("]"))
+            one = chain_outcome(self.calls, F.get(found, F.lit(0)), f"{self.text}: manipulate fail : ", self.documented)
+            return F.when(F.size(found) == 1, one).otherwise(outcome(None, F.when(F.size(found) == 0, literal(f"{self.text}: not found")).otherwise(quoted(all_))))
+
+        return bound(columns(self.path, current, root), use)
+
+    def native(self) -> bool:
+        return has_columns(self.calls)
+
 
 @dataclass
 class Constant:
@@ -71,6 +86,12 @@ class Constant:
     def build(self, root, current):
         return self.value
 
+    def outcome(self, root: Column, current: Column) -> Column:
+        return outcome(literal(self.value), None)
+
+    def native(self) -> bool:
+        return True
+
 
 @dataclass
 class Body:
@@ -97,6 +118,29 @@ class Body:
             raise Denied(bad)
         return out
 
+    def outcome(self, root: Column, current: Column) -> Column:
+        own = [(key, node.outcome(root, current)) for key, node in self.fields]
+        if self.merge is None:
+            return fields(own)
+        text, path, body = self.merge
+
+        def merged(found: Column) -> Column:
+            n = F.size(found)
+            why = F.when(n == 0, literal(f"{text} : 0 -> empty")).otherwise(quoted(F.concat(F.lit(f"{text} : too many("), n.cast("string"), F.lit(")"))))
+            return F.when(n == 1, body.outcome(root, F.get(found, F.lit(0)))).otherwise(outcome(None, why))
+
+        def use(s: Column) -> Column:
+            got = [(k, s[f"f{i}"]) for i, (k, _) in enumerate(own)]
+            failed = F.coalesce(s["m"]["error"], *[x["error"] for _, x in got])
+            within = F.nullif(F.substring(s["m"]["value"], F.lit(2), F.length(s["m"]["value"]) - 2), F.lit(""))
+            value = F.concat_ws(",", within, *[F.concat(F.lit(dump(k) + ":"), x["value"]) for k, x in got])
+            return either(braces(value), F.when(failed.isNotNull(), braces(members([(MERGE[1], s["m"]["error"]), *((k, x["error"]) for k, x in got)]))))
+
+        return bound(F.struct(bound(columns(path, current, root), merged).alias("m"), *[x.alias(f"f{i}") for i, (_, x) in enumerate(own)]), use)
+
+    def native(self) -> bool:
+        return all(node.native() for _, node in self.fields) and (self.merge is None or self.merge[2].native())
+
 
 @dataclass
 class Items:
@@ -107,6 +151,12 @@ class Items:
     def build(self, root, current) -> list:
         return _each(find(self.path, root, current), lambda x: self.body.build(root, x), SUB_ARRAY[1])
 
+    def outcome(self, root: Column, current: Column) -> Column:
+        return elements(columns(self.path, current, root), lambda x: self.body.outcome(root, x), lambda e: braces(members([(SUB_ARRAY[1], e)])))
+
+    def native(self) -> bool:
+        return self.body.native()
+
 
 def _each(nodes: list, make, key: str) -> list:
     out, bad = [], []
@@ -164,7 +214,7 @@ class Converter:
         if isinstance(rule, list):
             raise RuleError("an array is not allowed here")
         if isinstance(rule, str) and rule[:1] in ("$", "@"):
-            return Value(rule, *_path(rule, True, self.documented))
+            return Value(rule, *_path(rule, True, self.documented), self.documented)
         return Constant(rule[1:] if isinstance(rule, str) and rule[:1] == "\\" else rule)
 
     def _body(self, rule: Obj) -> Body:
@@ -194,9 +244,14 @@ class Converter:
         found = find(self.path, doc, doc)
         try:
             if self.kind == ROOT_ARRAY:
-                out = _each(found, lambda x: self.body.build(x, x), ROOT_ARRAY[1])
-                if not out:
-                    raise Denied(Obj([(ROOT_ARRAY[0], f"{self.text} : 0 -> empty")]))
+                out, bad = [], []
+                for x in found:
+                    try:
+                        out.append(self.body.build(x, x))
+                    except Denied as e:
+                        bad.append(e.tree)
+                if bad or not out:
+                    raise Denied(Obj([*([] if out else [(ROOT_ARRAY[0], f"{self.text} : {len(found)} -> empty")]), *([(ROOT_ARRAY[1], bad)] if bad else [])]))
             elif len(found) == 1:
                 out = self.body.build(found[0], found[0])
             else:
@@ -205,8 +260,42 @@ class Converter:
             return False, None, dump(e.tree)
         return True, dump(out), None
 
-    def transform(self, df: DataFrame, json_col: str) -> DataFrame:
-        """df with ok, value and error."""
+    def outcome(self, variant: Column) -> Column | None:
+        """The whole template as one Column, a struct of a value and an error as JSON texts; None if a function has no Column form."""
+        if not self.body.native():
+            return None
+
+        def use(found: Column) -> Column:
+            n = F.size(found)
+            if self.kind == ROOT_OBJECT:
+                why = F.when(n == 0, literal(f"{ROOT_OBJECT[0]} : empty ")).otherwise(quoted(F.concat(F.lit(f"{ROOT_OBJECT[0]} : too many("), n.cast("string"), F.lit(")"))))
+                one = F.get(found, F.lit(0))
+                return F.when(n == 1, self.body.outcome(one, one)).otherwise(outcome(None, why))
+            empty = quoted(F.concat(F.lit(f"{self.text} : "), n.cast("string"), F.lit(" -> empty")))
+
+            def whole(got: Column) -> Column:
+                bad = F.filter(F.transform(got, lambda x: x["error"]), lambda e: e.isNotNull())
+                all_bad = F.size(bad) == n
+                errors = F.concat(F.lit("["), F.array_join(bad, ","), F.lit("]"))
+                failed = braces(members([(ROOT_ARRAY[0], F.when(all_bad, empty)), (ROOT_ARRAY[1], F.when(F.size(bad) > 0, errors))]))
+                value = F.concat(F.lit("["), F.array_join(F.transform(got, lambda x: x["value"]), ","), F.lit("]"))
+                return either(value, F.when((F.size(bad) > 0) | (n == 0), failed))
+
+            return bound(F.transform(found, lambda x: self.body.outcome(x, x)), whole)
+
+        return bound(columns(self.path, variant, variant), use)
+
+    def transform(self, df: DataFrame, json_col: str, keep_order: bool = False) -> DataFrame:
+        """df with ok, value and error; keep_order: see transform_trees."""
+        made = None if keep_order else self.outcome(F.col("__v"))
+        if made is None:
+            return self.transform_trees(df, json_col)
+        out = F.when(F.col("__v").isNull(), outcome(None, literal("not valid json"))).otherwise(made)
+        got = df.withColumn("__v", F.try_parse_json(F.col(json_col))).withColumn("__o", out)
+        return got.select(*[F.col(f"`{c}`") for c in df.columns], F.col("__o.value").isNotNull().alias("ok"), F.col("__o.value").alias("value"), F.col("__o.error").alias("error"))
+
+    def transform_trees(self, df: DataFrame, json_col: str) -> DataFrame:
+        """The same on parsed trees in Arrow batches: keys in the document's order, numbers as they stand."""
         return in_batches(df, json_col, self.convert, [("ok", "boolean"), ("value", "string"), ("error", "string")])
 
     def columns(self, variant: Column) -> dict[str, Column] | None:

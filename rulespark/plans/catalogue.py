@@ -340,8 +340,7 @@ def _tree_function(path: str):
 
 for _name, (_expr, _sql) in FN.items():
     add(f"fn_{_name}", _function(_expr), f"SELECT p_partkey AS id, {_sql} AS r FROM part")
-    if _name not in ("toDouble", "toDoubleOr", "toDoubleSep", "toDoubleSepOr"):
-        add(f"fn_{_name}_tree", _tree_function(_expr), f"SELECT p_partkey AS id, true AS ok, CAST({_sql} AS VARCHAR) AS r FROM part")
+    add(f"fn_{_name}_tree", _tree_function(_expr), f"SELECT p_partkey AS id, ({_sql}) IS NOT NULL AS ok, CAST({_sql} AS VARCHAR) AS r FROM part")
 add("fn_fails_tree", _tree_function("$.brand::toLongSepOr(',', 5)"), "SELECT p_partkey AS id, false AS ok, CAST(NULL AS VARCHAR) AS r FROM part")
 
 # -- converter
