@@ -14,13 +14,15 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int, most_bytes: int) -> tuple[list[tuple[int, str]], dict[int, int]]:
     """(label, text) of at most `rows` labelled ids of each class, the first by their hashes, whose texts have at most most_bytes bytes; and
-    the number of all labelled ids to learn from by class. Null labels and ids are left out; the largest of repeated labels counts."""
+    the number of all labelled ids to learn from by class. Null labels and ids are left out; the largest of repeated labels and one text of
+    a repeated id (the least by hash, then by itself) count."""
     marks = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & learn).groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("y"))
     totals = {r["y"]: r["count"] for r in marks.groupBy("y").count().collect()}
     chosen = [marks.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for y in (0, 1)]
     ids = F.broadcast(chosen[0].union(chosen[1]))  # 2 * rows at most
     short = docs.filter(F.octet_length("text") <= most_bytes).select("doc_id", "text")
-    got = [(r["y"], r["text"]) for r in short.join(ids, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("y", "text").collect()]
+    one = short.join(ids, "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))  # so 2 * rows at most are collected
+    got = [(r["y"], r["text"]) for r in one.orderBy(F.xxhash64("doc_id"), "doc_id").select("y", "t.text").collect()]
     return got, totals
 
 

@@ -74,14 +74,15 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """docs with n_lines, n_dropped and kept_text; a text without a bitmap stays whole."""
-    d = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.xxhash64("text").alias("_th"))
+    """docs with n_lines, n_dropped and kept_text; a text without a bitmap stays whole. Columns of docs may have any names but those three."""
+    own = [F.col(f"`{c}`").alias(f"_own{i}") for i, c in enumerate(docs.columns)]
+    d = docs.select(*own, F.col("doc_id").alias("_doc"), F.col("text").alias("_text"), F.xxhash64("text").alias("_th"))
     b = bitmaps.select(F.col("doc_id").alias("_id"), F.col("th").alias("_bth"), F.col("n_dropped").alias("_gone"), F.col("kept").alias("_kept"))
-    both = d.join(b, d["doc_id"].eqNullSafe(b["_id"]) & (d["_th"] == b["_bth"]), "left").withColumn("_lines", _lines(F.col("text")))
+    both = d.join(b, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_bth")), "left").withColumn("_lines", _lines(F.col("_text")))
     kept = F.flatten(F.transform("_kept", lambda r: F.slice("_lines", r["start"] + 1, r["length"])))
     return both.select(
-        *[F.col(f"`{c}`") for c in docs.columns], F.size("_lines").cast("long").alias("n_lines"), F.coalesce("_gone", F.lit(0)).alias("n_dropped"),
-        F.when(F.col("_kept").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
+        *[F.col(f"_own{i}").alias(c) for i, c in enumerate(docs.columns)], F.size("_lines").cast("long").alias("n_lines"), F.coalesce("_gone", F.lit(0)).alias("n_dropped"),
+        F.when(F.col("_kept").isNull(), F.coalesce("_text", F.lit(""))).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
     )
 
 

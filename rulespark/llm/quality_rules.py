@@ -10,7 +10,7 @@ A stratum with too few labels has no cutoffs and keeps what the base rules keep.
 
 Labels are counted over all labelled rows. Each value of the stratum column is a stratum, however many there are: strata are counted and
 certified by executors, and cutoffs are a table (stratum, step) that is joined with the documents. It has only strata that were certified, which takes about 100
-good labels of each at least. A caller may fold the values to MAX_STRATA hashes instead (folded=True); nothing folds them by itself.
+good labels of each at least. Values are never folded.
 
 Defined cases: null and empty texts have no words and fail the base rules; a null stratum is a stratum of its own; null labels
 are ignored, the worst of repeated ones counts; repeated rows each give a row; other columns are ignored.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ._spark import Scratch
 from ._text import SOLID, U64, blocks, gram_hash, mix, per_text, prefix, read, span_hash, spans
 
-ALPHA, DELTA, WEIGHT, MAX_STRATA = 0.03, 0.05, 5.0, 4096
+ALPHA, DELTA, WEIGHT = 0.03, 0.05, 5.0
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 UPPER = np.isin(np.arange(256), list(range(65, 91)))
 BANG = np.isin(np.arange(256), list(b"!?"))
@@ -149,28 +149,23 @@ def calibrate(counts: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     return out
 
 
-def many_strata(docs: DataFrame, col: str = "lang") -> bool:
-    """Whether the column has more values than MAX_STRATA, null among them."""
-    return docs.select(F.col(f"`{col}`").cast("string")).distinct().limit(MAX_STRATA + 1).count() > MAX_STRATA
-
-
-def with_stratum(docs: DataFrame, col: str = "lang", folded: bool = False) -> DataFrame:
-    """docs with stratum: "=" and the value, "" for null; if folded, one of MAX_STRATA hashes of that."""
+def with_stratum(docs: DataFrame, col: str = "lang") -> DataFrame:
+    """docs with stratum: "=" and the value, "" for null."""
     value = F.coalesce(F.concat(F.lit("="), F.col(f"`{col}`").cast("string")), F.lit(""))
-    return docs.drop("stratum").withColumn("stratum", F.pmod(F.xxhash64(value), F.lit(MAX_STRATA)).cast("string") if folded else value)
+    return docs.drop("stratum").withColumn("stratum", value)
 
 
-def judged(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang", folded: bool = False) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang") -> DataFrame:
     """doc_id, COUNTS, base_failed, failed_rules and kept for each row of docs. Texts are read twice, for cutoffs and for the verdict."""
-    counts = text_counts(with_stratum(docs, stratum_col, folded), ["doc_id", "stratum"])
+    counts = text_counts(with_stratum(docs, stratum_col), ["doc_id", "stratum"])
     return verdicts(counts, calibrate(counts, labels))
 
 
-def kept_rows(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang", folded: bool = False) -> DataFrame:
+def kept_rows(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang") -> DataFrame:
     """The rows of docs that are kept, as they are. Texts are read twice, for cutoffs and for the verdict."""
-    cutoffs = calibrate(text_counts(with_stratum(docs, stratum_col, folded), ["doc_id", "stratum"]), labels)
+    cutoffs = calibrate(text_counts(with_stratum(docs, stratum_col), ["doc_id", "stratum"]), labels)
     own = [F.col(f"`{c}`").alias(f"_own{i}") for i, c in enumerate(docs.columns)]  # whatever they are called
-    rows = with_stratum(docs.withColumn("_lang", F.col(f"`{stratum_col}`")).select(*own, "_lang", F.col("text").alias("_whole")), "_lang", folded)
+    rows = with_stratum(docs.withColumn("_lang", F.col(f"`{stratum_col}`")).select(*own, "_lang", F.col("text").alias("_whole")), "_lang")
     kept = verdicts(text_counts(rows, [*(f"_own{i}" for i in range(len(own))), "stratum"], "_whole"), cutoffs).filter("kept")
     return kept.select(*[F.col(f"_own{i}").alias(c) for i, c in enumerate(docs.columns)])
 

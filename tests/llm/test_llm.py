@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rulespark.llm import (
+    _fit,
     bpe,
     compression_quality,
     decontaminate,
@@ -479,14 +480,10 @@ def test_second_hash_is_not_of_the_first(spark):
     assert re.search(r"xxhash64\(second, key#\d+, 42\) AS h2", plan) and not re.search(r"xxhash64\(key#\d+, second", plan)
 
 
-def test_quality_strata_are_values(spark, monkeypatch):
+def test_quality_strata_are_values(spark):
     values = [None, "", "\x00", *(f"l{i}" for i in range(300))]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "doc_id long, lang string")
-    assert not quality_rules.many_strata(df)
     assert quality_rules.with_stratum(df).select("stratum").distinct().count() == len(values)
-    monkeypatch.setattr(quality_rules, "MAX_STRATA", 100)
-    assert quality_rules.many_strata(df)
-    assert quality_rules.with_stratum(df, folded=True).select("stratum").distinct().count() <= 100
 
 
 def test_quality_guarantee_holds():
@@ -564,18 +561,16 @@ def test_bpe_words_are_distinct_over_all_partitions(spark, monkeypatch):
     assert Counter(tuple(r) for r in bpe.digests(df).collect()) == want
 
 
-def test_quality_verdicts_do_not_depend_on_how_many_strata_there_are(spark, monkeypatch):
-    """One value more than MAX_STRATA changes no verdict: values are strata, never folded by themselves."""
+def test_quality_verdicts_by_stratum(spark):
+    """Values are strata: what fails in one language is kept in another, in both forms."""
     marked = lambda i: prose(i, 55) + " %%%%" * 8
     # Of "de", good and bad documents have symbols; of "en", bad ones only.
     rows = [(i, marked(i) if i % 2 or i % 4 == 0 else prose(i, 55), ["en", "de"][i % 4 == 0]) for i in range(1600)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
     labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(1600)], "doc_id long, quality int")
     want = {(i, lang == "de" or i % 2 == 0) for i, _, lang in rows}
-    for most in (quality_rules.MAX_STRATA, 1):
-        monkeypatch.setattr(quality_rules, "MAX_STRATA", most)
-        assert {(r["doc_id"], r["kept"]) for r in quality_rules.judged(docs, labels).collect()} == want
-        assert {r["doc_id"] for r in quality_rules.kept_rows(docs, labels).collect()} == {i for i, kept in want if kept}
+    assert {(r["doc_id"], r["kept"]) for r in quality_rules.judged(docs, labels).collect()} == want
+    assert {r["doc_id"] for r in quality_rules.kept_rows(docs, labels).collect()} == {i for i, kept in want if kept}
 
 
 def test_line_dedup_reads_texts_once_for_its_lines(spark):
@@ -631,16 +626,79 @@ def test_bpe_plans_hold_no_rank_map(spark, docs, monkeypatch):
     assert any("from_json" in p for p in plans) and not any(bpe._literal(path)[:40] in p for p in plans)
 
 
-def test_jaccard_pairs_are_written_before_texts_are_joined(spark, monkeypatch):
-    """What the cells of sketches give is a table when texts are joined with it, so cells and texts aren't shuffled in one job."""
-    rng, words, plans, linked = np.random.default_rng(8), prose(81, 200).split(), [], jaccard_join.linked
+@pytest.fixture(scope="module")
+def loose(spark):
+    """60 copies of one text that the stars don't settle: links are left that only cells of sketches find. The rows and their components."""
+    rng, words = np.random.default_rng(8), prose(81, 200).split()
     rows = [(i, " ".join("e" + str(rng.integers(0, 10**6)) if rng.random() < 0.02 else w for w in words)) for i in range(60)]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(4), brute_components(rows)
+
+
+def test_jaccard_pairs_are_written_before_texts_are_joined(spark, monkeypatch, loose):
+    """What the cells of sketches give is a table when texts are joined with it, so cells and texts aren't shuffled in one job."""
+    plans, linked = [], jaccard_join.linked
 
     def noted(pairs, *rest):
         plans.append(pairs._jdf.queryExecution().analyzed().toString())
         return linked(pairs, *rest)
 
     monkeypatch.setattr(jaccard_join, "linked", noted)
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    assert jaccard_join.duplicate_components(df).count() == len(rows)
+    _, df, want = loose
+    assert rows_of(jaccard_join.duplicate_components(df)) == want
     assert len(plans) > 1 and not any("InArrow" in p for p in plans)
+
+
+@pytest.mark.parametrize("rows_a_batch", [1, 7, 10_000])
+def test_jaccard_cells_do_not_depend_on_batches(spark, rows_a_batch, loose, monkeypatch):
+    """The same components and links however rows fall into Arrow batches; the cells of sketches are needed for them."""
+    rows, df, want = loose
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was, found, near = spark.conf.get(key), [], jaccard_join._near_pairs
+
+    def noted(*args):
+        found.append(out := near(*args))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_near_pairs", noted)
+    spark.conf.set(key, rows_a_batch)
+    try:
+        got = jaccard_join.jaccard_links(df).collect()
+    finally:
+        spark.conf.set(key, was)
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=repr) == want
+    sets = [set(zip(*(solid(t.translate(LOWERED))[k:] for k in range(4)))) for _, t in rows]
+    links = lambda a: sum(a is not b and 100 * len(a & b) >= 85 * len(a | b) for b in sets)
+    assert [r["n_links"] for r in sorted(got)] == [links(a) for a in sets]
+    monkeypatch.setattr(jaccard_join, "_near_pairs", lambda groups, *rest: near(groups.filter("false"), *rest))
+    assert rows_of(jaccard_join.duplicate_components(df)) != want
+
+
+def test_pipeline_columns_of_any_name(spark, tmp_path):
+    """Stages give back columns that are named as their own helpers are, with their values; empty tables and long texts pass too."""
+    import corpus_pipeline
+
+    names = ["_row", "_th", "_id", "_kept", "key", "_own0", "n_lines", "kept_text", "n_shingles", "stratum", "_text", "kept", "part", "n_words"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    texts = {1: prose(1, 90) + "\n" + LINE, 2: prose(3, 90) + "\n" + LINE, 3: prose(1, 90) + "\n" + LINE, 4: prose(5, 9000), 5: None, 6: prose(7, 60) + " " + PASSAGE}
+    rows = [(i, t, "en", "s", len(t or ""), *(f"{n} of {i}" for n in names)) for i, t in texts.items()]
+    df = spark.createDataFrame(rows, schema).repartition(2)
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, PASSAGE)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = {"quality_rules": [1, 2, 3, 4, 6], "line_dedup": [1, 2, 3, 4, 5, 6], "near_duplicates": [1, 2, 4, 5, 6], "decontamination": [1, 2, 3, 4, 5]}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, str(tmp_path))
+        assert out.columns == df.columns, name
+        got = sorted(tuple(r) for r in out.collect())
+        assert [r[0] for r in got] == want[name], name
+        assert all(r[5:] == tuple(f"{n} of {r[0]}" for n in names) for r in got), name
+        assert stage(spark, df.filter("false"), str(tmp_path)).collect() == [], name
+    assert corpus_pipeline.tokens(spark, df.filter("false"), str(tmp_path)).collect() == []
+    assert corpus_pipeline.tokens(spark, df, str(tmp_path)).count() == 6
+
+
+def test_labelled_sample_has_one_row_of_an_id(spark):
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (1, "a"), (2, "c"), (3, None), (None, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, 1), (None, 1), (4, None)], "doc_id long, toxic int")
+    got, totals = _fit.labelled_sample(docs, labels, "toxic", F.lit(True), 5, 100)
+    assert totals == {0: 1, 1: 2} and sorted(got)[0] == (0, "c") and [y for y, _ in sorted(got)] == [0, 1] and got[0][1] in "abc"
