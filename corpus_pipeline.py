@@ -6,7 +6,7 @@ again, to the next. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulespark.llm import bpe, decontaminate, jaccard_join, line_dedup, quality_rules
@@ -22,11 +22,26 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.kept_rows(docs, read(spark, sf_dir, "labels"))
 
 
+def own(docs: DataFrame) -> list[Column]:
+    """The columns of docs under names that no helper column has, whatever they are called."""
+    return [F.col(f"`{c}`").alias(f"_own{i}") for i, c in enumerate(docs.columns)]
+
+
+def back(docs: DataFrame, new: dict[str, Column] = {}) -> list[Column]:  # noqa: B006
+    """They under their own names again; new: columns that are replaced."""
+    return [new.get(c, F.col(f"_own{i}")).alias(c) for i, c in enumerate(docs.columns)]
+
+
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that an earlier document holds."""
-    out = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
-    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
-    return out.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(*own(docs), "doc_id", "text")
+    out = line_dedup.apply_bitmaps(rows, line_dedup.keep_bitmaps(rows))
+    return out.select(*back(docs, {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}))
+
+
+def numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The rows of docs with a number each, written, so a row keeps its number: their own columns as of `own`, _row, _id and _text."""
+    return Scratch(spark).written(docs.select(*own(docs), F.monotonically_increasing_id().alias("_row"), F.col("doc_id").alias("_id"), F.col("text").alias("_text")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,25 +49,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows are compared, not ids: a row without an id comes after all others of its component, and rows that repeat an id are told
     apart. Rows without words link with nothing and stay, but for those that repeat an id and its text."""
-    rows = Scratch(spark).written(docs.withColumn("_row", F.monotonically_increasing_id()))  # written, so a row keeps its number
-    parts = jaccard_join.duplicate_components(rows.select(F.col("_row").alias("doc_id"), "text"), words=NEAR_WORDS, percent=NEAR_PERCENT)
+    rows = numbered(spark, docs)
+    parts = jaccard_join.duplicate_components(rows.select(F.col("_row").alias("doc_id"), F.col("_text").alias("text")), words=NEAR_WORDS, percent=NEAR_PERCENT)
     parts = parts.select(F.col("doc_id").alias("_of"), "n_shingles", "component_id")
-    each = rows.select("_row", F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_th"), F.coalesce(F.sha2("text", 256), F.lit("")).alias("_sha")).join(parts, F.col("_row") == F.col("_of"))
+    each = rows.select("_row", "_id", F.xxhash64("_text").alias("_th"), F.coalesce(F.sha2("_text", 256), F.lit("")).alias("_sha")).join(parts, F.col("_row") == F.col("_of"))
     # The group of a row without words: its id and text, or itself where it has no id.
     bare = F.col("n_shingles") == 0
     named = bare & F.col("_id").isNotNull()
     group = [F.when(~named, F.col("component_id")), F.when(named, F.col("_id")), F.when(named, F.col("_sha"))]
     order = F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_th"), F.col("_row"))
     firsts = each.groupBy(*[g.alias(f"_g{i}") for i, g in enumerate(group)]).agg(F.min(order).alias("_first")).select(F.col("_first._row").alias("_kept"))
-    return rows.join(firsts, rows["_row"] == firsts["_kept"], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.join(firsts, rows["_row"] == firsts["_kept"], "left_semi").select(*back(docs))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark; each row is judged by its own text, whatever its id."""
-    rows = Scratch(spark).written(docs.withColumn("_row", F.monotonically_increasing_id()))
-    judged = rows.select(F.col("_row").alias("doc_id"), "text")
+    rows = numbered(spark, docs)
+    judged = rows.select(F.col("_row").alias("doc_id"), F.col("_text").alias("text"))
     hit = decontaminate.contamination(judged, read(spark, sf_dir, "benchmark")).filter("n_hit > 0").select(F.col("doc_id").alias("_hit")).distinct()
-    return rows.join(hit, rows["_row"] == hit["_hit"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.join(hit, rows["_row"] == hit["_hit"], "left_anti").select(*back(docs))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
