@@ -108,6 +108,7 @@ class Parser:
         self.at_p: int | None = None  # where an open paragraph stands; only inline elements stand above it
         self.blocks: list[Block] = []
         self.block: Block | None = None
+        self.side: Block | None = None  # what inline elements of boilerplate hold within the block
         self.any_on = False
 
     def run(self) -> list[Block]:
@@ -171,7 +172,7 @@ class Parser:
                 self.block.parts.append(" ")
             return
         if tag in BREAKS:
-            self.block = None
+            self.block = self.side = None
             if self.at_p is not None:
                 self.pop(self.at_p)
             closes = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "option": ("option",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr")}.get(tag, ())
@@ -191,8 +192,8 @@ class Parser:
         self.open[tag] += 1
 
     def end(self, tag: str) -> None:
-        if tag in BREAKS or tag in SILENT:
-            self.block = None
+        if tag in BREAKS:
+            self.block = self.side = None
         if self.open[tag]:
             at = len(self.stack) - 1
             while self.stack[at].tag != tag:
@@ -211,15 +212,23 @@ class Parser:
         node = self.stack[-1]
         if node.silent:
             return
-        if self.block is None:
+        holder, block = node.holder or node, self.block
+        aside = node.off and not holder.off
+        if aside:
+            block = self.side
+        if block is None:
             if raw.isspace():
                 return
-            self.block = Block(node.holder or node)
-            self.blocks.append(self.block)
+            block = Block(node if aside else holder)
+            self.blocks.append(block)
+            if aside:
+                self.side = block
+            else:
+                self.block = block
         text = unescape(raw) if "&" in raw else raw
-        self.block.parts.append(text)
+        block.parts.append(text)
         if node.link:
-            self.block.linked += len(text)
+            block.linked += len(text)
 
 
 def cost(b: Block, any_on: bool) -> int:
