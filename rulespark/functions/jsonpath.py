@@ -262,6 +262,45 @@ def _literal(c: Cursor) -> Literal | None:
     return None
 
 
+# -- printing: what the parser reads back to the same path
+
+
+def _quote(text: str) -> str:
+    return "'" + re.sub(r"(['\"\\])", r"\\\1", text) + "'"
+
+
+def _name_source(name: str) -> str:
+    return name if re.fullmatch(NAME, name) and "," not in name else _quote(name)
+
+
+def source(t) -> str:
+    """The text of a path, a step, a filter, a literal or a function."""
+    if isinstance(t, Path):
+        return ("$" if t.root else "@") + "".join(map(source, t.steps))
+    if isinstance(t, Names):
+        return "." + _name_source(t.names[0]) if len(t.names) == 1 else f"[{','.join(map(_quote, t.names))}]"
+    if isinstance(t, Deep):
+        return "..*" if t.name is None else ".." + _name_source(t.name)
+    if isinstance(t, Filter):
+        return (".." if t.deep else "") + f"[?({source(t.test)})]"
+    if isinstance(t, Literal):
+        words = {True: "true", False: "false", None: "null"}
+        return "empty" if t.value is MISSING else words[t.value] if t.value is None or isinstance(t.value, bool) else _quote(t.value) if isinstance(t.value, str) else format(t.value, "f") if isinstance(t.value, float) else str(t.value)
+    if isinstance(t, Function):
+        return f"{t.name}({','.join(source(Literal(a)) for a in t.args)})"
+    if isinstance(t, Test):
+        if t.sign == "exists":
+            return source(t.left)
+        if t.sign in ("&&", "||"):
+            return " ".join((f"({source(t.left)})", t.sign, f"({source(t.right)})"))
+        return f"{source(t.left)} {t.sign} {_quote(t.right) if t.sign == '=~' else source(t.right)}"
+    return str(t)
+
+
+def source_with_functions(path: Path, calls: tuple[Function, ...]) -> str:
+    return source(path) + ("::" + ".".join(map(source, calls)) if calls else "")
+
+
 # -- evaluation on trees
 
 
@@ -580,4 +619,4 @@ def _compared(a: Column, sign: str, b: Column) -> Column:
     return _bound(F.struct(a.alias("a"), b.alias("b"), kind_of(a).alias("ka"), kind_of(b).alias("kb")), use)
 
 
-__all__ = ["Path", "Function", "parse_path", "parse_with_functions", "find", "column", "columns", "RuleError"]
+__all__ = ["Path", "Function", "parse_path", "parse_with_functions", "find", "column", "columns", "source", "source_with_functions", "RuleError"]

@@ -63,6 +63,16 @@ def dump(v) -> str:
     return double_text(v) if isinstance(v, float) else json.dumps(v, ensure_ascii=False)
 
 
+def pretty(v, indent: str = "") -> str:
+    """Two blanks a level, a member a line."""
+    inner = indent + "  "
+    if isinstance(v, Obj) and v:
+        return "{\n" + ",\n".join(f"{inner}{json.dumps(k, ensure_ascii=False)} : {pretty(x, inner)}" for k, x in v) + f"\n{indent}}}"
+    if isinstance(v, list) and v:
+        return "[\n" + ",\n".join(inner + pretty(x, inner) for x in v) + f"\n{indent}]"
+    return dump(v)
+
+
 def double_text(x: float) -> str:
     """A double as Java writes it."""
     if x != x or x in (float("inf"), float("-inf")):

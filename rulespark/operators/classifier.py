@@ -114,6 +114,20 @@ class Classifier:
         return df.mapInArrow(work, schema)
 
 
+def exact_lookup(df: DataFrame, text: str, keywords: DataFrame, key: str = "id", keyword: str = "keyword") -> DataFrame:
+    """A row (df's columns, key) for each keyword of a table that is the whole text, whatever its case: a dictionary of any size, met by an
+    equi-join. Both sides join on a hash of the lower-cased text and then on the text, so the dictionary's keys alone decide how rows move, and texts that are
+    longer than any keyword never move. Keywords that repeat give a row each; an empty keyword or text and nulls meet nothing."""
+    words = keywords.select(F.col(f"`{key}`").alias("_key"), F.lower(F.col(f"`{keyword}`")).alias("_word")).filter(F.length("_word") > 0)
+    words = words.withColumn("_hash", F.xxhash64("_word"))
+    longest = words.agg(F.coalesce(F.max(F.length("_word")), F.lit(0))).first()[0]
+    own = [F.col(f"`{c}`").alias(f"_own{i}") for i, c in enumerate(df.columns)]
+    low = F.lower(F.col(f"`{text}`"))
+    rows = df.select(*own, low.alias("_low"), F.xxhash64(low).alias("_of")).filter(F.length("_low").between(1, longest))
+    met = rows.join(words, (F.col("_of") == F.col("_hash")) & (F.col("_low") == F.col("_word")))
+    return met.select(*[F.col(f"_own{i}").alias(c) for i, c in enumerate(df.columns)], F.col("_key").alias(f"keyword_{key}"))
+
+
 class Engine:
     """All rules' keywords in one automaton, and their evaluation on its hits."""
 

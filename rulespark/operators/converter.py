@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import jsonpath
 from ..functions.cursor import RuleError
 from ..functions.jsonpath import Path, column, columns, find
-from ..functions.jsonvalue import Obj, dump, parse, scalar_text
+from ..functions.jsonvalue import Obj, dump, parse, pretty, scalar_text
 from ..functions.outcome import bound, braces, either, elements, fields, literal, members, outcome, quoted
 from ..functions.predicate import is_text
 from ..functions.values import ALIASES, COLUMNS, GIVES, TAKES, chain_outcome, compile_chain, has_columns, run_chain, shown
@@ -78,6 +78,9 @@ class Value:
     def native(self) -> bool:
         return has_columns(self.calls)
 
+    def source(self) -> str:
+        return jsonpath.source_with_functions(self.path, self.calls)
+
 
 @dataclass
 class Constant:
@@ -92,6 +95,9 @@ class Constant:
     def native(self) -> bool:
         return True
 
+    def source(self):
+        return "\\" + self.value if isinstance(self.value, str) and self.value[:1] in ("$", "@", "\\") else self.value
+
 
 @dataclass
 class Body:
@@ -141,6 +147,10 @@ class Body:
     def native(self) -> bool:
         return all(node.native() for _, node in self.fields) and (self.merge is None or self.merge[2].native())
 
+    def source(self) -> Obj:
+        merge = [] if self.merge is None else [(MERGE[0], jsonpath.source(self.merge[1])), (MERGE[1], self.merge[2].source())]
+        return Obj([*merge, *((k, node.source()) for k, node in self.fields)])
+
 
 @dataclass
 class Items:
@@ -157,6 +167,9 @@ class Items:
     def native(self) -> bool:
         return self.body.native()
 
+    def source(self) -> Obj:
+        return Obj([(SUB_ARRAY[0], jsonpath.source(self.path)), (SUB_ARRAY[1], self.body.source())])
+
 
 def _each(nodes: list, make, key: str) -> list:
     out, bad = [], []
@@ -260,6 +273,17 @@ class Converter:
             return False, None, dump(e.tree)
         return True, dump(out), None
 
+    def source(self) -> str:
+        """The compiled template as JSON, paths in one form; it compiles to the same template."""
+        return dump(self._tree())
+
+    def pretty(self) -> str:
+        """The same, a member a line."""
+        return pretty(self._tree())
+
+    def _tree(self) -> Obj:
+        return Obj([(self.kind[0], jsonpath.source(self.path)), (self.kind[1], self.body.source())])
+
     def outcome(self, variant: Column) -> Column | None:
         """The whole template as one Column, a struct of a value and an error as JSON texts; None if a function has no Column form."""
         if not self.body.native():
@@ -324,3 +348,16 @@ class Converter:
                 x = COLUMNS[name](x, *call.args)
             out[key] = x
         return out
+
+
+def check_templates(df: DataFrame, template_col: str) -> DataFrame:
+    """df, whose rows hold templates as texts, with ok, the compiled template in one form (source) and the tree of all its errors; a null
+    template is no JSON."""
+
+    def one(text: str | None) -> tuple[bool, str | None, str | None]:
+        try:
+            return True, Converter(text or "").source(), None
+        except RuleError as e:
+            return False, None, dump(e.tree)
+
+    return in_batches(df, template_col, one, [("ok", "boolean"), ("source", "string"), ("errors", "string")])

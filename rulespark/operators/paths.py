@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.jsonpath import column, columns, find, parse_path, parse_with_functions
+from ..functions.cursor import RuleError
+from ..functions.jsonpath import column, columns, find, parse_path, parse_with_functions, source_with_functions
 from ..functions.jsonvalue import dump, parse
 from ..functions.values import compile_chain, run_chain
 from .validator import in_batches
@@ -51,3 +52,15 @@ def json_path_trees(df: DataFrame, json_col: str, path: str, out: str = "nodes")
 def explode_path(df: DataFrame, json_col: str, path: str, out: str = "node") -> DataFrame:
     """A row for each node."""
     return json_path(df, json_col, path, "__nodes").withColumn(out, F.explode("__nodes")).drop("__nodes")
+
+
+def printed_paths(df: DataFrame, path_col: str, out: str = "printed") -> DataFrame:
+    """df, whose rows hold paths as texts, with each in one form, which reads back to the same path; null for what is no path."""
+
+    def run(text):
+        try:
+            return (source_with_functions(*parse_with_functions(text)) if text is not None else None,)
+        except RuleError:
+            return (None,)
+
+    return in_batches(df, path_col, run, [(out, "string")])

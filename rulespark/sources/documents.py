@@ -58,5 +58,5 @@ def load_rule(spark: SparkSession, path: str) -> str:
 
 
 def pretty(json: Column) -> Column:
-    """A struct, map or variant as indented JSON, nulls kept."""
+    """A struct or map as indented JSON, nulls kept; a VARIANT stays on one line."""
     return F.to_json(json, {"pretty": "true", "ignoreNullFields": "false"})
