@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import javaregex
 from .cursor import Cursor, RuleError
 from .jsonvalue import MISSING, Obj, is_number, to_double, to_long
 from .predicate import FRACTION, WHOLE, double_of, kind_of, long_of, sure, text_of
@@ -234,7 +235,7 @@ def _one(c: Cursor):
         q = _quoted(c)
         c.need(q is not None and isinstance(left, Path))
         try:
-            regex.compile(q)
+            javaregex.compiled(q)
         except regex.error as e:
             raise RuleError(f"bad regex {q}: {e}") from None
         return Test("=~", left, q)
@@ -368,7 +369,7 @@ def holds(t: Test, root, x) -> bool:
     if t.sign == "exists":
         return bool(left)
     if t.sign == "=~":
-        return any(isinstance(v, str) and regex.search(t.right, v) for v in left)
+        return any(isinstance(v, str) and javaregex.compiled(t.right).search(v) for v in left)
     right = _values(t.right, root, x)
     if len(left) != 1 and len(right) != 1:
         return False

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import javaregex
 from .cursor import Cursor, RuleError
 from .jsonvalue import INTEGER, NUMBER, is_number, to_double
 
@@ -175,7 +176,7 @@ def _any_find(patterns: Callable) -> tuple[Callable, Callable]:
             found = found | s.rlike(p)
         return found
 
-    return _text(column, lambda s, args: any(regex.search(p, s) for p in patterns(args)))
+    return _text(column, lambda s, args: any(javaregex.compiled(p).search(s) for p in patterns(args)))
 
 
 def _utf16(s: str) -> int:
@@ -242,7 +243,7 @@ class ValueRule:
         if t.name == "_regex":
             for a in t.args:
                 try:
-                    regex.compile(a)
+                    javaregex.compiled(a)
                 except regex.error as e:
                     return [f"bad regex({e}):: {shown}"]
         return []

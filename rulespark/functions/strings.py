@@ -11,6 +11,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .values import paired
+
 # Keys, keys with an index, and single-character escapes.
 KEY, INDEXED = r"\$\{([a-zA-Z0-9.]+)\}", r"\$\{([a-zA-Z0-9.]+)\[([a-zA-Z0-9.]+)\]\}"
 ESCAPES = {"b": "\b", "t": "\t", "n": "\n", "f": "\f", "r": "\r", '"': '"', "'": "'", "\\": "\\"}
@@ -53,23 +55,11 @@ def unescape_unicode(s: Column) -> Column:
 
     def decoded(found: Column) -> Column:
         units = F.transform(F.regexp_extract_all(found, F.lit(r"(\\u+[0-9a-fA-F]{4})"), F.lit(1)), four)
-        return F.decode(F.unhex(F.array_join(_paired(units), "")), "UTF-16BE")
+        return F.decode(F.unhex(F.array_join(paired(units), "")), "UTF-16BE")
 
     return _replaced(s, run, decoded)
 
 
-def _paired(units: Column) -> Column:
-    """Units in hexadecimal, with FFFD for surrogates without their other half."""
-    high, low = r"^[dD][89abAB]", r"^[dD][c-fC-F]"
-
-    def fixed(x: Column, i: Column) -> Column:
-        before, after = F.get(units, i - 1), F.get(units, i + 1)
-        lone = (x.rlike(high) & ~F.coalesce(after.rlike(low), F.lit(False))) | (x.rlike(low) & ~F.coalesce(before.rlike(high), F.lit(False)))
-        return F.when(lone, F.lit("FFFD")).otherwise(x)
-
-    return F.transform(units, fixed)
-
-
 def unescape(s: Column) -> Column:
     r"""Escapes as characters: \uXXXX, then \b \t \n \f \r \" \' \\. NULL for any other escape and for one that the text's end cuts off."""
     chars = F.filter(F.split(unescape_unicode(s), ""), lambda c: c != "")

@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import javaregex
 from .cursor import RuleError
 from .jsonpath import Function
 from .jsonvalue import MISSING, double_text, is_number, scalar_text, to_double, to_long, wrapped
@@ -43,11 +44,14 @@ def _default(run: Callable, default):
 
 
 def _substring(v, a: int, b: int) -> str:
+    """By UTF-16 units; half a surrogate pair becomes U+FFFD."""
     s = _text(v)
-    x, y = a + len(s) if a < 0 else a, b + len(s) if b <= 0 else b
-    if not 0 <= x <= y <= len(s):
+    raw = s.encode("utf-16-be", "surrogatepass")
+    n = len(raw) // 2
+    x, y = a + n if a < 0 else a, b + n if b <= 0 else b
+    if not 0 <= x <= y <= n:
         raise ValueError(f"out of range ({a},{b}) :: {s}")
-    return s[x:y]
+    return raw[2 * x : 2 * y].decode("utf-16-be", "replace")
 
 
 def _between(v, before: str, after: str, default: str) -> str:
@@ -57,9 +61,9 @@ def _between(v, before: str, after: str, default: str) -> str:
     return s[a + len(before) : b] if b >= 0 else default
 
 
-def java_replacement(r: str) -> str:
-    """$1 as \\g<1>, and plain backslashes escaped."""
-    return re.sub(r"\\(.)|\$(\d)", lambda m: re.escape(m[1]) if m[1] else rf"\g<{m[2]}>", r)
+def _replaced(s: str, pattern: str, by: str) -> str:
+    p = javaregex.compiled(pattern)
+    return p.sub(javaregex.replacement(by, p), s)
 
 
 def _abs(v):
@@ -92,7 +96,7 @@ FUNCTIONS: dict[str, tuple[tuple[type, ...], Callable]] = {
     "toDoubleSepOr": ((str, int), lambda v, c, d: (lambda s: _default(lambda: to_double(s), float(d)))(_separated(v, c))),
     "subString": ((int, int), _substring),
     "replace": ((str, str), lambda v, a, b: _text(v).replace(a, b)),
-    "regexReplace": ((str, str), lambda v, p, r: regex.sub(p, java_replacement(r), _text(v))),
+    "regexReplace": ((str, str), lambda v, p, r: _replaced(_text(v), p, r)),
     "replaceIf": ((str, str, str), lambda v, x, t, f: t if _text(v) == x else f),
     "subStringBetween": ((str, str, str), _between),
     "abs": ((), _abs),
@@ -122,7 +126,7 @@ def compile_chain(calls: tuple[Function, ...], documented: bool = False) -> list
             raise RuleError(f"arguments of {c.name} must be ({', '.join(k.__name__ for k in kinds)}) :: {c.args}")
         if name == "regexReplace":
             try:
-                regex.compile(c.args[0])
+                javaregex.replacement(c.args[1], javaregex.compiled(c.args[0]))
             except regex.error as e:
                 raise RuleError(f"bad regex {c.args[0]}: {e}") from None
         out.append((c.name, DOCUMENTED.get(name, run) if documented else run, c.args))
@@ -143,9 +147,25 @@ def _sep(s: Column, c: str) -> Column:
 
 
 def _cut(s: Column, a: int, b: int) -> Column:
-    n = F.length(s)
+    """By UTF-16 units, which are characters in nearly all texts; half a surrogate pair becomes U+FFFD."""
+    n, chars = units(s), F.length(s)
     x, y = n + a if a < 0 else F.lit(a), n + b if b <= 0 else F.lit(b)
-    return F.when((x >= 0) & (x <= y) & (y <= n), F.substring(s, x + 1, y - x))
+    whole = F.regexp_extract_all(F.hex(F.encode(s, "UTF-16BE")), F.lit("(.{4})"), F.lit(1))
+    cut = F.slice(whole, x + 1, y - x)
+    by_units = F.decode(F.unhex(F.array_join(paired(cut), "")), "UTF-16BE")
+    return F.when((x >= 0) & (x <= y) & (y <= n), F.when(n == chars, F.substring(s, x + 1, y - x)).otherwise(by_units))
+
+
+def paired(units_in_hex: Column) -> Column:
+    """UTF-16 units in hexadecimal, with FFFD for surrogates without their other half."""
+    high, low = r"^[dD][89abAB]", r"^[dD][c-fC-F]"
+
+    def fixed(x: Column, i: Column) -> Column:
+        before, after = F.get(units_in_hex, i - 1), F.get(units_in_hex, i + 1)
+        lone = (x.rlike(high) & ~F.coalesce(after.rlike(low), F.lit(False))) | (x.rlike(low) & ~F.coalesce(before.rlike(high), F.lit(False)))
+        return F.when(lone, F.lit("FFFD")).otherwise(x)
+
+    return F.transform(units_in_hex, fixed)
 
 
 def _inner(s: Column, before: str, after: str, default: str) -> Column:

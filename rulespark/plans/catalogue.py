@@ -140,6 +140,7 @@ PREDICATES = {
     "_charsIn": (CUSTOMER, "seg", "_charsIn(ABUILDNGOTE)", "regexp_full_match(c_mktsegment, '[ABUILDNGOTE]*')"),
     "_charsNotIn": (CUSTOMER, "seg", "_charsNotIn(Y)", "NOT contains(c_mktsegment, 'Y')"),
     "_regex": (CUSTOMER, "name", "_regex('7$', '^X')", "regexp_matches(c_name, '7$|^X')"),
+    "_regex_unicode": (CUSTOMER, "name", r"_regex('^\\p{Lu}\\p{javaLowerCase}++#\\Q0\\E', '[\\w&&[^a-z]]7\\z')", r"regexp_matches(c_name, '^\p{Lu}\p{Ll}+#0|[A-Z0-9_]7$')"),
     "_date": (ORDER, "day", "_date('^${yyyy}-0${x}[12]-${dd}$')", "month(o_orderdate) IN (1, 2)"),
     "_length": (CUSTOMER, "seg", "_length(8, 9)", "length(c_mktsegment) IN (8, 9)"),
     "_longerThan": (ORDER, "prio", "_longerThan(5)", "length(o_orderpriority) > 5"),
