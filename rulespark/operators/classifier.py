@@ -1,8 +1,8 @@
 """Classification of texts by many patterns.
 
 Few keywords: every rule is a Column of `contains` and chained `locate`, evaluated by generated code. Many: the keywords of all rules go
-into one Aho-Corasick automaton that each Python worker builds once from a broadcast; a batch's texts stream through it, and only rules
-with a hit are evaluated. `occurrences` always takes the second way. Neither shuffles.
+into an automaton that each Python worker builds once from a broadcast; all texts of an Arrow batch walk through it side by side, and
+rules of one shape are evaluated together (functions/automaton.py). `occurrences` reports every place, text by text. None of them shuffles.
 
 semantics="reference": start and end marks don't restrict, !(a & b) is "none of them" and !(a | b) "not all of them".
 semantics="documented": start and end marks hold, and negated groups negate. In both a rule needs a keyword hit to be evaluated at all.
@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.automaton import Rules
 from ..functions.pattern import Group, Term, compile_rules, terms
 
 try:
@@ -87,8 +88,14 @@ class Classifier:
             native = sum(1 for r in self.rules.values() for _ in terms(r)) <= NATIVE_TERMS
         if native:
             return df.withColumn(out, self.ids(F.col(text)))
-        found = self.occurrences(df, text, "__hits")
-        return found.withColumn(out, F.array_sort(F.transform("__hits", lambda h: h["rule_id"]))).drop("__hits")
+        shared = df.sparkSession.sparkContext.broadcast(Rules(self.rules, self.documented))
+        at = df.columns.index(text)
+
+        def work(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([*batch.columns, shared.value.ids(batch.column(at).to_pylist())], names=[*batch.schema.names, out])
+
+        return df.mapInArrow(work, ", ".join([*(f"`{c}` {k}" for c, k in df.dtypes), f"`{out}` array<int>"]))
 
     def rows(self, df: DataFrame, text: str, native: bool | None = None) -> DataFrame:
         """A row (df's columns, rule_id, rule) for each rule that holds."""
