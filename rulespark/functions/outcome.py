@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .jsonvalue import dump
@@ -72,3 +72,16 @@ def elements(nodes: Column, each: Callable[[Column], Column], wrap: Callable[[Co
         return either(brackets(F.transform(got, lambda x: x["value"])), F.when(F.size(bad) > 0, wrap(brackets(bad))))
 
     return bound(F.transform(nodes, each), use)
+
+
+def over_documents(df: DataFrame, json_col: str, make: Callable[[Column], Column], outs: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """df with outs, each made from the one Column that `make` gives for the parsed document. Columns of df may have any names; those named as an
+    out are replaced."""
+    own = [F.col(f"`{c}`").alias(f"_own{i}") for i, c in enumerate(df.columns)]
+    parsed = df.select(*own, F.try_parse_json(F.col(f"`{json_col}`")).alias("_v"))
+    made = parsed.withColumn("_o", make(F.col("_v")))
+    kept = [F.col(f"_own{i}").alias(c) for i, c in enumerate(df.columns) if c not in outs]
+    return made.select(*kept, *[use(F.col("_o")).alias(name) for name, use in outs.items()])
+
+
+TOLD = {"ok": lambda o: o["value"].isNotNull(), "value": lambda o: o["value"], "error": lambda o: o["error"]}

@@ -21,7 +21,7 @@ from ..functions import jsonpath
 from ..functions.cursor import RuleError
 from ..functions.jsonpath import Path, column, columns, find
 from ..functions.jsonvalue import Obj, dump, parse, pretty, scalar_text
-from ..functions.outcome import bound, braces, either, elements, fields, literal, members, outcome, quoted
+from ..functions.outcome import TOLD, bound, braces, either, elements, fields, literal, members, outcome, over_documents, quoted
 from ..functions.predicate import is_text
 from ..functions.values import ALIASES, COLUMNS, GIVES, TAKES, chain_outcome, compile_chain, has_columns, run_chain, shown
 from .validator import in_batches
@@ -311,12 +311,9 @@ class Converter:
 
     def transform(self, df: DataFrame, json_col: str, keep_order: bool = False) -> DataFrame:
         """df with ok, value and error; keep_order: see transform_trees."""
-        made = None if keep_order else self.outcome(F.col("__v"))
-        if made is None:
+        if keep_order or not self.body.native():
             return self.transform_trees(df, json_col)
-        out = F.when(F.col("__v").isNull(), outcome(None, literal("not valid json"))).otherwise(made)
-        got = df.withColumn("__v", F.try_parse_json(F.col(json_col))).withColumn("__o", out)
-        return got.select(*[F.col(f"`{c}`") for c in df.columns], F.col("__o.value").isNotNull().alias("ok"), F.col("__o.value").alias("value"), F.col("__o.error").alias("error"))
+        return over_documents(df, json_col, lambda v: F.when(v.isNull(), outcome(None, literal("not valid json"))).otherwise(self.outcome(v)), TOLD)
 
     def transform_trees(self, df: DataFrame, json_col: str) -> DataFrame:
         """The same on parsed trees in Arrow batches: keys in the document's order, numbers as they stand."""

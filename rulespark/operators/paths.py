@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.cursor import RuleError
 from ..functions.jsonpath import column, columns, find, parse_path, parse_with_functions, source_with_functions
 from ..functions.jsonvalue import dump, parse
+from ..functions.outcome import over_documents
 from ..functions.values import compile_chain, run_chain
 from .validator import in_batches
 
@@ -28,10 +29,12 @@ def json_path(df: DataFrame, json_col: str, path: str, out: str = "nodes", keep_
     tree, calls = parse_with_functions(path)
     if keep_order or calls:
         return json_path_trees(df, json_col, path, out)
-    parsed = df.withColumn("__v", F.try_parse_json(F.col(json_col)))
-    texts = F.transform(columns(tree, F.col("__v")), lambda x: F.to_json(x))
     none = F.array().cast("array<string>")
-    return parsed.withColumn(out, F.when(F.col("__v").isNull(), none).otherwise(F.coalesce(texts, none))).drop("__v")
+
+    def nodes(v: Column) -> Column:
+        return F.when(v.isNull(), none).otherwise(F.coalesce(F.transform(columns(tree, v), lambda x: F.to_json(x)), none))
+
+    return over_documents(df, json_col, nodes, {out: lambda x: x})
 
 
 def json_path_trees(df: DataFrame, json_col: str, path: str, out: str = "nodes") -> DataFrame:

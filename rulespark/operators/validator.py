@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cursor import RuleError
 from ..functions.jsonvalue import MISSING, Obj, dump, parse, scalar_text
-from ..functions.outcome import bound, braces, brackets, either, elements, literal, members, outcome, quoted
+from ..functions.outcome import TOLD, bound, braces, brackets, either, elements, literal, members, outcome, over_documents, quoted
 from ..functions.predicate import ValueRule, kind_of
 from ..functions.relation import EvaluationError, Relation, variant_path
 
@@ -243,8 +243,7 @@ class Validator:
 
     def transform(self, df: DataFrame, json_col: str, ok: str = "ok", errors: str = "errors") -> DataFrame:
         """df with ok and errors (path, type, detail); the document is parsed once."""
-        parsed = df.withColumn("__v", F.try_parse_json(F.col(json_col)))
-        return parsed.withColumn(errors, self.errors(F.col("__v"))).withColumn(ok, F.size(errors) == 0).drop("__v")
+        return over_documents(df, json_col, self.errors, {errors: lambda e: e, ok: lambda e: F.size(e) == 0})
 
     def validate(self, text: str | None) -> tuple[bool, str | None, str | None]:
         """(ok, pruned document, error tree) of one document."""
@@ -261,8 +260,7 @@ class Validator:
 
     def report(self, df: DataFrame, json_col: str) -> DataFrame:
         """df with ok, value and error as JSON texts."""
-        got = df.withColumn("__v", F.try_parse_json(F.col(json_col))).withColumn("__o", self.outcome(F.col("__v")))
-        return got.select(*[F.col(f"`{c}`") for c in df.columns], F.col("__o.value").isNotNull().alias("ok"), F.col("__o.value").alias("value"), F.col("__o.error").alias("error"))
+        return over_documents(df, json_col, self.outcome, TOLD)
 
     def report_trees(self, df: DataFrame, json_col: str) -> DataFrame:
         """The same on parsed trees in Arrow batches."""
