@@ -17,7 +17,9 @@ from ..operators.converter import Converter, check_templates
 from ..operators.paths import printed_paths
 from ..operators.validator import Validator, check_rules
 from ..sources.documents import gunzip, pretty, table
-from .catalogue import CUSTOMER, EVENT, J, K, LINE, PART, _over, add, documents_of, has, orders_json, seq
+from .catalogue import CUSTOMER, EVENT, LINE, ORACLES, PART, QUERIES, J, K, _over, add, documents_of, has, orders_json, seq
+
+__all__ = ["ORACLES", "QUERIES"]
 
 # -- exact lookup and rule sets
 
