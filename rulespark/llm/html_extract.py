@@ -28,7 +28,7 @@ from ._text import read, trim
 
 SLICE = 64
 # The classifier's weights: positive for content. Capacities are whole numbers.
-BIAS, LINKS, LENGTH, LONG_WORDS, SENTENCE, INSIDE, OUTSIDE, HARD = -6, -24, 16, 40, 6, 30, -16, -120
+BIAS, LINKS, LENGTH, LONG_WORDS, SENTENCE, INSIDE, NAMED, OUTSIDE, HARD = -6, -24, 16, 40, 6, 40, 30, -16, -120
 BY_TAG = {"p": 6, "blockquote": 6, "pre": 6, "h1": 6, "li": -4, "td": -2, "th": -2}
 # Smoothness: between neighbours with a common parent, and between a block and its container, a container and the next one.
 NEXT, HOLDS, NESTS = 8, 2, 1
@@ -67,7 +67,7 @@ class Node:
     depth: int
     holder: Node | None = None
     off: bool = False
-    on: bool = False
+    on: int = 0  # INSIDE an article, or within what a class names one
     silent: bool = False
     link: bool = False
 
@@ -89,12 +89,12 @@ def element(tag: str, attrs: dict[str, str], parent: Node) -> Node:
     words = _words(attrs.get("class", "")) + _words(attrs.get("id", ""))
     told = {w for before, w in zip(["", *words], words, strict=False) if before not in TURNED}
     role = attrs.get("role", "").lower()
-    on = tag in ON_TAGS or role in ("main", "article") or "articlebody" in attrs.get("itemprop", "").lower()
+    on = INSIDE * (tag in ON_TAGS or role in ("main", "article") or "articlebody" in attrs.get("itemprop", "").lower())
     off = tag in OFF_TAGS or role in OFF_ROLES
     if tag not in ("html", "body", "main"):
         off |= bool(told & OFF_WORDS) or ((tag == "header" or bool(told & HEADER_WORDS)) and not parent.on and not on)
-        on |= bool(told & ON_WORDS)
-    node = Node(tag, parent, parent.depth + 1, None, parent.off or off, parent.on or (on and not off), parent.silent or tag in SILENT, parent.link or tag == "a")
+        on = on or NAMED * bool(told & ON_WORDS)
+    node = Node(tag, parent, parent.depth + 1, None, parent.off or off, max(parent.on, 0 if off else on), parent.silent or tag in SILENT, parent.link or tag == "a")
     node.holder = node if tag in BREAKS else parent.holder or parent
     return node
 
@@ -183,7 +183,7 @@ class Parser:
         if tag == "body":
             self.end("head")
         node = element(tag, attrs, self.stack[-1])
-        self.any_on |= node.on
+        self.any_on |= node.on > 0
         if tag == "p":
             self.at_p = len(self.stack)
         elif tag in ("li", "ul", "ol", "menu", "dl", "dd", "dt", "table", "tr", "td", "th", "select", "option"):
@@ -238,7 +238,7 @@ def cost(b: Block, any_on: bool) -> int:
     share = min(1.0, b.linked / len(b.text))
     words = b.text.count(" ") + 1
     out = BIAS + round(LINKS * share) + round(LENGTH * min(words, LONG_WORDS) / LONG_WORDS) + SENTENCE * bool(SENTENCES.search(b.text)) + BY_TAG.get(b.node.tag, 0)
-    return out + (INSIDE if b.node.on else OUTSIDE if any_on else 0)
+    return out + (b.node.on or OUTSIDE * any_on)
 
 
 def distance(a: Node, b: Node) -> int:

@@ -25,6 +25,7 @@ PAGES = {
     f"<div><a href=1>One</a> | <a href=2>Two</a></div><div><h1>Head line</h1><p>{LONG}<p>Short.<p>{LONG} a &lt; b &amp;amp; c&nbsp;d</div>": f"Head line\n\n{LONG}\n\nShort.\n\n{LONG} a < b &amp; c d",
     "<article><p>One <b>two</b>\n\t three<br>four<script>x('</p>')</script> five</p>six<!-- no > --> seven<form>No <input> more</form><p title='a>b'>It's <i title=\"it's\">eight": "One two three four five\n\nsix seven\n\nIt's eight",
     "<article><ul><li>a<li>b<ul><li>c</ul><li>d</ul><table><tr><td>e<td>f<tr><td>g</table><dl><dt>h<dd>i</dl></article>": "\n\n".join("abcdefghi"),
+    "<article><p>Sources:</p><ul><li><a href=1>One</a><li><a href=2>Two</a></ul><p><a href=3>Three</a></article>": "Sources:\n\nOne\n\nTwo\n\nThree",
     "<article><p>a <!-- open <p>b": "a", "<article><p>a <script>open <p>b": "a", "<article><p>a <a href='x": "a", "<article><p>a</p></b></p></span>b": "a\n\nb", "<main><p>x &#233;&#x1F600;&copy y &bogus; z": "x é😀© y &bogus; z",
     '<article><section class="cookie-notice"><p>We use them.</p></section><p>Kept.</p><aside>No.</aside><div role="navigation">No.</div><noscript>No.</noscript></article>': "Kept.",
 }
