@@ -675,7 +675,7 @@ def test_jaccard_cells_do_not_depend_on_batches(spark, rows_a_batch, loose, monk
 
 @pytest.mark.parametrize("cell", [8, 1024])
 def test_jaccard_cells_of_equal_sets(spark, loose, cell, monkeypatch):
-    """Equal sets that their lead doesn't link are one row of a cell and still one component; the largest component's rows meet only those outside of it."""
+    """Equal sets that their lead doesn't link are one component, also in small cells."""
     monkeypatch.setattr(jaccard_join, "NEAR_CELL", cell)
     rows = [(3 * i + k, t if k < 2 else t + " " + t.split()[0]) for i, t in loose[0] for k in range(3)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
