@@ -7,7 +7,8 @@ difference is at most d = (100 - PERCENT) / (100 + PERCENT) of the sum of sizes.
 Size bands: a scheme serves pairs whose smaller set lies in its band. Each shingle XORs its hash into one of the scheme's sketch
 words, so two sets differ in at most as many words as shingles. Words stand in groups of three, more than d / 2 for the band's
 largest d: by the pigeonhole principle linked sets have a group with at most one word that differs, and the join keys are the
-three pairs of words of each group. Sets enter their own band's scheme, and the band's below if a partner may be there.
+three pairs of words of each group. Sets enter their own band's scheme, and the band's below if a partner may be there, with as many groups as their own size asks for.
+Groups beyond that bound (the slack) let most sets leave out the pairs that no shingle went into, which unlike texts share.
 A second sketch of single bits,
 each toggled by shingles, gives a Hamming distance that bounds the symmetric difference from below. It has BITS bits, doubled until they are twice the set's
 size, so it also tells large sets apart; a longer one folds by XOR onto a shorter one's length.
@@ -32,7 +33,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from math import factorial
+from math import ceil, exp
 
 import numpy as np
 import pyarrow as pa
@@ -43,13 +44,13 @@ from pyspark.sql import functions as F
 from ._spark import Scratch, components
 from ._text import LOWER, SOLID, U64, blocks, gram_hash, list_array, mix, prefix, read, span_hash, spans, to_long
 
-PERCENT, WORDS, BITS, LIGHT = 85, 4, 2048, 2
+PERCENT, WORDS, BITS = 85, 4, 2048
 #: Rows of a group that are dealt out together, and texts that make a group's reference set.
 SPREAD, SAMPLE = 1000, 15
 #: Rows of a block of sketches; rows and elements (in all) of a block of differences, and elements compared at once.
 NEAR_CELL, CELL, CELL_SIZE, COLUMNS = 1024, 768, 1 << 20, 1 << 13
 #: Sizes in a band grow by about (100 / PERCENT) ** BAND.
-BAND = 2
+BAND = 1.5
 
 
 @lru_cache(4)
@@ -81,42 +82,52 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, words: int) -> Iterator[np.
 
 @lru_cache(4096)
 def scheme(band: int, percent: int) -> tuple[int, int]:
-    """(groups of sketch words, slack) of a band. Keys that at most LIGHT shingles went into tell little and would be held by all kinds of
+    """(groups of sketch words, slack) of a band. Keys that no shingle went into tell nothing and would be held by all kinds of
     texts, so a set sends them only if more than `slack` of its groups have one. Linked sets have `slack` + 1 groups at
-    least that agree in a key: in one of them the key is heavy, or both sets have so many light ones that they send them."""
+    least that agree in a key: in one of them the key is no empty one, or both sets have so many that they send them.
+
+    The slack is for sets from the middle of the band, 1.5 deviations above what they have: few sets send empty keys."""
     edges = bands(percent)
     least = _most(edges[band + 1] - 1, percent) // 2 + 1
     groups = least
-    for _ in range(30):
-        m = 2 * edges[band] / (3 * groups)
-        light = min(1.0, 3 * np.exp(-m) * sum(m**i / factorial(i) for i in range(LIGHT + 1)))
-        slack = int(np.ceil(groups * light + 2 * (groups * light) ** 0.5))
-        if least + slack == groups:
-            break
+    while groups <= 1.5 * least + 1:
+        bare = groups * min(1.0, 3 * exp(-2 * (edges[band] * edges[band + 1]) ** 0.5 / (3 * groups)))
+        slack = ceil(bare + 1.5 * bare**0.5)
+        if least + slack <= groups:
+            return groups, slack
         groups = least + slack
-        if groups > 1.5 * least:
-            return least, 0
-    return groups, groups - least
+    return least, 0
 
 
 def sketch_keys(x: np.ndarray, percent: int) -> np.ndarray:
-    """Join keys of each scheme that the set takes part in."""
+    """Join keys of each scheme that the set takes part in.
+
+    A set differs from any partner it may have there by at most `most` shingles, so in at most most // 2 groups it has no key in common with it: of the
+    scheme's groups, which are enough for all of the band, it sends the first that are enough for itself. Two linked sets have a key in common
+    in the groups that both send."""
     edges, n = bands(percent), len(x)
     own = int(np.searchsorted(edges, n, "right")) - 1
     out = []
     for band in (own, own - 1):
         if band < 0 or (band < own and n * percent > 100 * (edges[own] - 1)):
             continue
+        # The partner has at most n * 100 / percent, in the band below less than the own band's least.
+        most = _most(n, percent) if band == own else (100 - percent) * (n + edges[own] - 1) // (100 + percent)
+        if most == 0:  # only equal sets link
+            if band == own:
+                out.append(np.array([set_sums(x)[0]], U64))
+            continue
         groups, slack = scheme(band, percent)
         words = np.zeros(3 * groups, U64)
         salted = mix(x + U64(band * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
         at = (salted % U64(3 * groups)).astype(np.int64)
         np.bitwise_xor.at(words, at, mix(salted ^ U64(0x5851F42D4C957F2D)))
-        words, count = words.reshape(-1, 3), np.bincount(at, minlength=3 * groups).reshape(-1, 3)
-        place = np.arange(groups, dtype=U64) * U64(4) + U64(band << 48)
+        sent = most // 2 + 1 + slack
+        words, count = words.reshape(-1, 3)[:sent], np.bincount(at, minlength=3 * groups).reshape(-1, 3)[:sent]
+        place = np.arange(sent, dtype=U64) * U64(4) + U64(band << 48)
         keys = np.stack([mix(words[:, i] + mix(words[:, j] + mix(place + U64(i + j)))) for i, j in ((0, 1), (0, 2), (1, 2))], 1)
-        light = np.stack([count[:, i] + count[:, j] <= LIGHT for i, j in ((0, 1), (0, 2), (1, 2))], 1)
-        out.append(keys.ravel() if light.any(1).sum() > slack else keys[~light])
+        bare = np.stack([count[:, i] + count[:, j] == 0 for i, j in ((0, 1), (0, 2), (1, 2))], 1)
+        out.append(keys.ravel() if bare.any(1).sum() > slack else keys[~bare])
     return np.concatenate(out)
 
 

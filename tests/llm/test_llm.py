@@ -711,3 +711,25 @@ def test_labelled_sample_has_one_row_of_an_id(spark):
     labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, 1), (None, 1), (4, None)], "doc_id long, toxic int")
     got, totals = _fit.labelled_sample(docs, labels, "toxic", F.lit(True), 5, 100)
     assert totals == {0: 1, 1: 2} and sorted(got)[0] == (0, "c") and [y for y, _ in sorted(got)] == [0, 1] and got[0][1] in "abc"
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85])
+def test_jaccard_linked_sets_share_a_key(percent):
+    """Pairs as far apart as links allow, of all sizes, also with partners in the band below."""
+    rng = np.random.default_rng(percent)
+    for _ in range(1000):
+        n = int(np.exp(rng.uniform(0, 7)))
+        x = rng.integers(0, 2**63, 3 * n, dtype=np.uint64)
+        drop = int(rng.integers(0, n * (100 - percent) // 100 + 1))
+        add = 100 * (n - drop) // percent - n  # union: n + add
+        a, b = np.sort(x[:n]), np.sort(x[drop : n + add])
+        assert np.intersect1d(jaccard_join.sketch_keys(a, percent), jaccard_join.sketch_keys(b, percent)).size
+
+
+@pytest.mark.parametrize("size", [3, 90, 300, 1000])
+def test_jaccard_unlike_sets_share_few_keys(size):
+    """Sets that have nothing in common; what they share makes pairs that grow with the square of the rows."""
+    rng = np.random.default_rng(size)
+    keys = [jaccard_join.sketch_keys(np.unique(rng.integers(0, 2**63, size, dtype=np.uint64)), 80) for _ in range(200)]
+    sharing = sum(np.intersect1d(a, b).size > 0 for i, a in enumerate(keys) for b in keys[:i])
+    assert sharing < 0.03 * 200 * 199 / 2
