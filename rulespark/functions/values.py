@@ -202,6 +202,13 @@ TAKES = {"abs": "number", "toString": "any", "toStringOr": "any"}
 GIVES = {"abs": "number"} | {n: "number" for n in FUNCTIONS if n.startswith(("toLong", "toDouble"))}
 
 
+def double_as_sql(x: Column) -> Column:
+    """A double as CAST(... AS VARCHAR) writes it, without an exponent from 1e-4 to 1e16; beyond that as Java does."""
+    java = x.cast("string")
+    plain = F.regexp_replace(F.regexp_replace(java.cast("decimal(38,20)").cast("string"), "0+$", ""), r"\.$", ".0")
+    return F.when(java.contains("E") & F.abs(x).between(1e-4, 9999999999999998.0), plain).otherwise(java)
+
+
 # -- chains as Columns over a VARIANT, with the reasons of failures
 
 
@@ -286,4 +293,4 @@ def _made(name: str, args: tuple, x: Column, documented: bool) -> Column:
     return COLUMNS[name](x, *args)
 
 
-__all__ = ["FUNCTIONS", "chain_outcome", "has_columns", "shown", "ALIASES", "COLUMNS", "TAKES", "GIVES", "compile_chain", "run_chain", "register", "units", "double_text"]
+__all__ = ["FUNCTIONS", "double_as_sql", "chain_outcome", "has_columns", "shown", "ALIASES", "COLUMNS", "TAKES", "GIVES", "compile_chain", "run_chain", "register", "units", "double_text"]

@@ -5,13 +5,14 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from rulespark.functions import jsonpath, strings
+from rulespark.functions import jsonpath, strings, values
 from rulespark.functions.navigate import Node
 from rulespark.operators import sql
 from rulespark.operators.classifier import Classifier, exact_lookup
 from rulespark.operators.converter import Converter, check_templates
 from rulespark.operators.paths import printed_paths
 from rulespark.operators.validator import Validator
+from rulespark.plans.library import QUERIES
 
 CRATE = '{"a":[{"b":1},[{"b":2},[{"b":[3]}]],{"c":4}],"s":"12","d":-1.5,"n":null,"t":true,"o":{"z":1,"y":2},"big":123456789012345678901,"e":"1e2","one":[{"b":7}],"huge":1e300,"none":[]}'
 
@@ -149,3 +150,17 @@ def test_sql_functions_are_expressions(spark):
     assert "Python" not in plan and "Arrow" not in plan
     hits = spark.sql("SELECT id, h.rule_id, h.rule FROM t_rows, LATERAL t_hits(t) h")
     assert sorted(tuple(r) for r in hits.collect()) == [(1, 1, "(it & b)"), (1, 2, "(q ~ z)")]
+
+
+def test_doubles_as_sql_writes_them(spark):
+    """A number of 10,000,000 and more has no exponent in the query's text."""
+    want = {1e7: "10000000.0", 10000145.0: "10000145.0", 24740000.5: "24740000.5", 1.5e15: "1500000000000000.0", 0.0005: "0.0005", -12345678.9: "-12345678.9", 7.0: "7.0", 900.25: "900.25", 0.0: "0.0", 1e20: "1.0E20"}
+    got = spark.createDataFrame([(x,) for x in want], "x double").select("x", values.double_as_sql(F.col("x"))).collect()
+    assert dict(map(tuple, got)) == want
+
+
+def test_tree_functions_on_large_parts(spark, tmp_path):
+    rows = spark.range(8084, 8088).selectExpr("id AS p_partkey", "'n' AS p_name", "'Brand#12' AS p_brand", "'t' AS p_type", "cast(5 AS int) AS p_size", "901.5D AS p_retailprice")
+    rows.write.parquet(str(tmp_path / "part.parquet"))
+    got = QUERIES["fn_toDoubleSep_tree"](spark, str(tmp_path)).orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(k, True, f"{k * 1237}.0") for k in range(8084, 8088)]
