@@ -138,7 +138,11 @@ def _number(compare: Callable, cut: bool) -> tuple[Callable, Callable]:
 
     def column(v, args, documented):
         whole = [int(a) if cut and not documented else a for a in args]
-        return F.when(is_whole(v), compare(F.try_variant_get(v, "$", "decimal(38,0)"), *map(F.lit, whole))).when(is_fraction(v), compare(F.try_variant_get(v, "$", "double"), *[F.lit(float(a)) for a in args]))
+        number = F.try_variant_get(v, "$", "decimal(38,0)")
+        by_fraction = compare(F.try_variant_get(v, "$", "double"), *[F.lit(float(a)) for a in args])
+        by_whole = F.when(is_whole(v), compare(number, *map(F.lit, whole))).when(is_fraction(v), by_fraction)
+        # A decimal that 64 bits would hold was written with a fraction (0.0), so its bounds keep theirs.
+        return F.when(kind_of(v).rlike(r"^DECIMAL\(\d+,0\)$") & F.try_variant_get(v, "$", "bigint").isNotNull(), by_fraction).otherwise(by_whole) if cut and not documented else by_whole
 
     def test(v, args, documented):
         if not is_number(v):
