@@ -2,12 +2,13 @@
 
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from rulespark.functions import jsonpath, strings, values
 from rulespark.functions.navigate import Node
-from rulespark.operators import sql
+from rulespark.operators import classifier, sql
 from rulespark.operators.classifier import Classifier, exact_lookup
 from rulespark.operators.converter import Converter, check_templates
 from rulespark.operators.paths import printed_paths
@@ -174,3 +175,14 @@ def test_customer_balances_of_zero(spark, tmp_path):
     assert ok("val_between0") == [3, 5, 6]
     assert ok("val_digitOr") == [1, 2, 3, 5, 6, 7]
     assert ok("val_lte0") == [1, 2, 3, 4]
+
+
+def test_occurrences_hold_a_slice_of_a_batch(spark, monkeypatch):
+    """A batch goes through in parts by the size of its texts; the rows are the same."""
+    monkeypatch.setattr(classifier, "SLICE", 10)
+    batch = pa.RecordBatch.from_pydict({"t": ["a" * 4, "b" * 6, None, "", "c" * 50, "d"]})
+    parts = list(classifier.slices(batch, 0))
+    assert [p.num_rows for p in parts] == [4, 1, 1] and pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    texts = [None, "", "the the", "x" * 40, "the", "thee " * 9]
+    out = Classifier({1: "'the'"}).occurrences(spark.createDataFrame(list(enumerate(texts)), "id int, t string"), "t").orderBy("id").collect()
+    assert [[list(o["loc"]) for h in r["hits"] for o in h["occurrences"]] for r in out] == [[], [], [[0, 4]], [], [[0]], [[5 * i for i in range(9)]]]
