@@ -185,10 +185,15 @@ def _of_elements(array: Column, path: str) -> Column:
     def one_level(nodes: Column) -> Column:
         return F.flatten(F.transform(nodes, lambda x: F.coalesce(_list(x), F.array(x))))
 
-    text = F.to_json(array)
-    levels = F.length(text) - F.length(F.translate(text, "[", ""))  # arrays in arrays end after so many levels
     nested = lambda nodes: F.exists(nodes, lambda x: _list(x).isNotNull())
-    flat = F.aggregate(F.sequence(F.lit(1), levels), F.array(array), lambda nodes, _: F.when(nested(nodes), one_level(nodes)).otherwise(nodes))
+
+    def deeper(nodes: Column) -> Column:
+        text = F.to_json(array)
+        levels = F.length(text) - F.length(F.translate(text, "[", ""))  # arrays in arrays end after so many levels
+        return F.aggregate(F.sequence(F.lit(1), levels), nodes, lambda nodes, _: F.when(nested(nodes), one_level(nodes)).otherwise(nodes))
+
+    # Most arrays have no arrays in them, and need no count of levels.
+    flat = bound(_list(array), lambda nodes: F.when(nested(nodes), deeper(nodes)).otherwise(nodes))
     found = F.array_compact(F.transform(flat, lambda x: F.try_variant_get(x, path, "variant")))
     return bound(found, lambda f: F.when(F.size(f) == 1, F.get(f, F.lit(0))).when(F.size(f) > 1, f.cast("variant")))
 

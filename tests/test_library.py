@@ -186,3 +186,10 @@ def test_occurrences_hold_a_slice_of_a_batch(spark, monkeypatch):
     texts = [None, "", "the the", "x" * 40, "the", "thee " * 9]
     out = Classifier({1: "'the'"}).occurrences(spark.createDataFrame(list(enumerate(texts)), "id int, t string"), "t").orderBy("id").collect()
     assert [[list(o["loc"]) for h in r["hits"] for o in h["occurrences"]] for r in out] == [[], [], [[0, 4]], [], [[0]], [[5 * i for i in range(9)]]]
+
+
+def test_flat_arrays_need_no_count_of_levels(spark):
+    """Levels are counted only where arrays lie in arrays; texts with brackets in them change nothing."""
+    rows = [('{"a":[{"b":1},{"b":"[[["}]}',), ('{"a":[[{"b":1}],[[{"b":2}]],{"b":3}]}',), ('{"a":[]}',), ('{"a":{"b":4}}',)]
+    v = spark.createDataFrame(rows, "json string").select(F.parse_json("json").alias("v"))
+    assert [r[0] for r in v.select(F.to_json(Node(F.col("v")).route("a", "b").v)).collect()] == ['[1,"[[["]', "[1,2,3]", None, "4"]
