@@ -480,8 +480,9 @@ def _deep_column(x: Column, keep, order) -> Column:
         return F.when(F.size(state["front"]) == 0, state).otherwise(F.get(F.transform(F.array(below), use), F.lit(0)))
 
     found = F.aggregate(F.filter(F.sequence(F.lit(0), levels), lambda i: i > 0), start, level, lambda s: s["found"])
-    ordered = F.array_sort(found, lambda a, b: F.when(order(a) < order(b), -1).when(order(a) > order(b), 1).otherwise(0))
-    return F.transform(ordered, lambda n: n["v"])
+    # Keys are made once a node and sorted with the nodes' numbers, not compared by an expression.
+    keys = lambda nodes: F.sort_array(F.transform(nodes, lambda n, i: F.struct(order(n).alias("key"), i.alias("i"))))
+    return _bound(found, lambda nodes: F.transform(keys(nodes), lambda k: F.get(nodes, k["i"])["v"]))
 
 
 def _level_order(n: Column) -> Column:

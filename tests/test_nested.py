@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rulespark.functions.cursor import RuleError
 from rulespark.functions.relation import EvaluationError, Relation
 from rulespark.operators.converter import Converter
+from rulespark.operators.paths import json_path
 from rulespark.operators.validator import Validator, check_rules
 
 CARGO = [
@@ -131,3 +132,13 @@ def test_syntax_errors_as_data(spark):
     for i, (_, faults) in enumerate(bad):
         assert [tuple(f) for f in got[i]["faults"]] == faults and got[i]["ok"] == (not faults)
     assert json.loads(got[0]["tree"])["l"] == [{"d": {"type": "Value Syntax error", "value": "between(1)", "result": ["arg-count must 2 :: between(1)"]}}]
+
+
+def test_what_lies_below_is_sorted_by_keys_made_once(spark):
+    """No lambda compares nodes: n log n calls of an expression that makes two keys each. More than ten children keep their order."""
+    doc = '{"a":[' + ",".join(f'{{"x":{i},"y":[{i},{{"x":{-i}}}]}}' for i in range(13)) + '],"b":{"x":[]}}'
+    df = spark.createDataFrame([(doc,)], "json string")
+    for path in ("$..*", "$..x", "$..[?(@.x)]"):
+        out = json_path(df, "json", path)
+        assert out.first()["nodes"] == json_path(df, "json", path, keep_order=True).first()["nodes"]
+        assert "array_sort" not in out._jdf.queryExecution().analyzed().toString()
