@@ -32,7 +32,7 @@ that repeat a doc_id are one vertex; other columns are ignored. Shingles are com
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from math import ceil, exp
 
 import numpy as np
@@ -49,6 +49,8 @@ PERCENT, WORDS, BITS = 85, 4, 2048
 SPREAD, SAMPLE = 1000, 15
 #: Rows of a block of sketches; rows and elements (in all) of a block of differences, and elements compared at once.
 NEAR_CELL, CELL, CELL_SIZE, COLUMNS = 1024, 768, 1 << 20, 1 << 13
+#: Parts, equal by the keys' remainders, in which holders of keys meet one after the other: a shuffle of keys is as large as its part.
+PASSES = 2
 #: Sizes in a band grow by about (100 / PERCENT) ** BAND.
 BAND = 1.5
 
@@ -292,25 +294,30 @@ def _connected(scratch: Scratch, docs: DataFrame, words: int, percent: int) -> t
     """The table of sketches without keys, and (doc_id, n_shingles, component_id, th, s1, s2) for each row of docs."""
     keyed = scratch.written(sketches(docs, words, percent))
     each = keyed.filter("doc_id IS NOT NULL").select("doc_id", F.explode("keys").alias("key"))
-    leads = scratch.written(each.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).filter("lead <> last").select(F.col("key").alias("k"), "lead"))
-    held = scratch.written(each.join(leads, F.col("key") == F.col("k")).filter("doc_id <> lead").select("key", "doc_id", "lead"))
+    parts = []
+    for k in range(PASSES):
+        some = each.filter(F.pmod("key", F.lit(PASSES)) == k)
+        leads = scratch.written(some.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).filter("lead <> last").select(F.col("key").alias("k"), "lead"))
+        parts.append(scratch.written(some.join(leads, F.col("key") == F.col("k")).filter("doc_id <> lead").select("key", "doc_id", "lead")))
+        scratch.drop(leads)
+    held = reduce(DataFrame.union, parts)
     table = scratch.written(keyed.drop("keys"))
-    scratch.drop(leads, keyed)  # keys take as much room as texts
+    scratch.drop(keyed)  # keys take as much room as texts
     stars = held.select(F.col("doc_id").alias("a"), F.col("lead").alias("b")).distinct()
     links = scratch.written(linked(stars, docs, words, percent, table))
     for cover in (True, False):
-        parts = components(scratch, links)
-        groups = scratch.written(_unsettled(held, parts))
+        least = components(scratch, links)
+        groups = scratch.written(_unsettled(held, least))
         if groups.isEmpty():
             break
         pairs = scratch.written(_near_pairs(groups, table, percent, cover))  # so cells are gone before texts are shuffled
         old, links = links, scratch.written(links.union(linked(pairs, docs, words, percent)))
         scratch.drop(old, groups, pairs)
     else:
-        parts = components(scratch, links)
-    scratch.drop(held)
+        least = components(scratch, links)
+    scratch.drop(*parts)
     out = scratch.written(
-        table.select("doc_id", F.col("n").alias("n_shingles"), "th", "s1", "s2").join(parts, F.col("doc_id") == F.col("v"), "left")
+        table.select("doc_id", F.col("n").alias("n_shingles"), "th", "s1", "s2").join(least, F.col("doc_id") == F.col("v"), "left")
         .select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), "th", "s1", "s2")
     )
     scratch.drop(links)

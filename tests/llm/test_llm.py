@@ -733,3 +733,34 @@ def test_jaccard_unlike_sets_share_few_keys(size):
     keys = [jaccard_join.sketch_keys(np.unique(rng.integers(0, 2**63, size, dtype=np.uint64)), 80) for _ in range(200)]
     sharing = sum(np.intersect1d(a, b).size > 0 for i, a in enumerate(keys) for b in keys[:i])
     assert sharing < 0.03 * 200 * 199 / 2
+
+
+def test_pipeline_numbers_rows_with_one_text_each(spark):
+    """The table that near_duplicates and decontamination work on holds each text once."""
+    import corpus_pipeline
+    from pathlib import Path
+
+    rows = [(i, prose(i, 400)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    size = lambda t: sum(Path(f.removeprefix("file://")).stat().st_size for f in t.inputFiles())
+    out = corpus_pipeline.numbered(spark, df)
+    assert sorted((r["_id"], r["_text"]) for r in out.collect()) == rows
+    assert size(out) < 1.2 * size(jaccard_join.Scratch(spark).written(df))
+
+
+def test_jaccard_keys_meet_in_parts(spark, monkeypatch):
+    """Keys are dealt out in parts of about one size, and none is in two; so no shuffle holds them all."""
+    found, written = [], jaccard_join.Scratch.written
+
+    def watched(self, df, **options):
+        out = written(self, df, **options)
+        if set(df.columns) == {"k", "lead"}:
+            found.append({r["k"] for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(jaccard_join.Scratch, "written", watched)
+    rows = [(i, prose(i // 2, 120)) for i in range(40)]
+    out = jaccard_join.duplicate_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["component_id"]) for r in out.collect()) == [(i, i // 2 * 2) for i in range(40)]
+    each = [len(f) for f in found]
+    assert max(each) < 0.6 * sum(each) and len(set.union(*found)) == sum(each)
