@@ -510,11 +510,24 @@ def _step_column(step, root: Column):
 
 
 def _sliced(items: Column, s: Slice) -> Column:
-    size, step = F.size(items), 1 if s.step is None else s.step
-    a = F.lit(0) if s.start is None else F.lit(s.start) if s.start >= 0 else size + s.start
-    b = size if s.end is None else F.lit(s.end)
-    lo, hi = F.least(a, b), F.greatest(a, b)
-    return F.filter(items, lambda x, i: (i >= lo) & (i < hi) & ((i - lo) % step == 0)) if step > 0 else F.slice(items, F.lit(1), F.lit(0))
+    """The items and their bounds are made once an array, not once for each of its elements."""
+    step = 1 if s.step is None else s.step
+    if step < 0:
+        return F.slice(items, F.lit(1), F.lit(0))
+
+    def use(found: Column) -> Column:
+        size = F.size(found)
+        a = F.lit(0) if s.start is None else F.lit(s.start) if s.start >= 0 else size + s.start
+        b = size if s.end is None else F.lit(s.end)
+
+        def within(to: Column) -> Column:
+            first = F.least(F.greatest(to["lo"], F.lit(0)), size).cast("int")
+            some = F.slice(found, first + 1, F.greatest(F.least(to["hi"], size).cast("int") - first, F.lit(0)))
+            return some if step == 1 else F.filter(some, lambda _, i: (i + first - to["lo"]) % step == 0)
+
+        return _bound(F.struct(F.least(a, b).cast("bigint").alias("lo"), F.greatest(a, b).cast("bigint").alias("hi")), within)
+
+    return _bound(items, use)
 
 
 def _test_column(t: Test, root: Column):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rulespark.functions.cursor import RuleError
 from rulespark.functions.relation import EvaluationError, Relation
 from rulespark.operators.converter import Converter
-from rulespark.operators.paths import json_path
+from rulespark.operators.paths import json_path, json_path_trees
 from rulespark.operators.validator import Validator, check_rules
 
 CARGO = [
@@ -142,3 +142,22 @@ def test_what_lies_below_is_sorted_by_keys_made_once(spark):
         out = json_path(df, "json", path)
         assert out.first()["nodes"] == json_path(df, "json", path, keep_order=True).first()["nodes"]
         assert "array_sort" not in out._jdf.queryExecution().analyzed().toString()
+
+
+SLICES = ["[-2:]", "[1:]", "[:2]", "[1:3]", "[3:1]", "[-3:-1]", "[0:6:2]", "[-4::3]", "[-9:]", "[-9::2]", "[5:]", "[2147483647:]", "[-2147483648::2]", "[:3000000000]", "[::-1]"]
+
+
+@pytest.mark.parametrize("part", SLICES)
+def test_slices_as_on_trees(spark, part):
+    docs = ['{"a": %s}' % json.dumps(x) for x in (*(list(range(n)) for n in range(8)), [None, [1], {"b": 2}, "x"], {"b": 1}, "text", None)] + ["{}", "bad", None]
+    df = spark.createDataFrame(list(enumerate(docs)), "id int, json string")
+    got, want = ({r["id"]: r["nodes"] for r in f(df, "json", f"$.a{part}").collect()} for f in (json_path, json_path_trees))
+    assert got == want
+
+
+@pytest.mark.parametrize("part", ["[-2:]", "[1:]", "[-4::3]"])
+def test_slices_make_an_array_once(spark, part):
+    """Its elements are looked up once an array; within the filter over elements that would be once for each."""
+    df = spark.createDataFrame([('{"a": [1, 2, 3]}',)], "json string")
+    plan = json_path(df, "json", f"$.a{part}")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrayType(VariantType") == 1, plan
